@@ -1 +1,139 @@
-"""License scans by canonical digest: normalise a whole text, then hash-join it to known licence digests."""
+"""License scans by canonical digest: normalise a whole text, then hash-join it to known licence digests.
+
+DataFrame functions only. A text is looked up as a whole, and so is each of its lines, since a grant notice
+("Licensed under ...") is a complete licence statement that stands on a line of its own.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# Public licence texts without their copyright lines, and grant notices.
+_WARRANTY_MIT = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_WARRANTY_ISC = """THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+_WARRANTY_BSD = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_BSD_TERMS = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+_MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+"""
+LICENSES = (
+    ("MIT", _MIT + _WARRANTY_MIT),
+    ("MIT", "MIT License\n" + _MIT + _WARRANTY_MIT),
+    ("MIT", "The MIT License (MIT)\n" + _MIT + _WARRANTY_MIT),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n" + _WARRANTY_ISC),
+    ("ISC", "ISC License\nPermission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n" + _WARRANTY_ISC),
+    ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.\n" + _WARRANTY_ISC),
+    ("BSD-2-Clause", _BSD_TERMS + "\n" + _WARRANTY_BSD),
+    ("BSD-3-Clause", _BSD_TERMS + "\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n" + _WARRANTY_BSD),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("Apache-2.0", "Released under the Apache License 2.0."),
+    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
+    ("MIT", "Released under the MIT License."),
+    ("MIT", "Licensed under the MIT License."),
+    ("MIT", "SPDX-License-Identifier: MIT"),
+    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("GPL-3.0", "Licensed under the GNU General Public License, version 3."),
+    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-only"),
+    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-or-later"),
+    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("CC-BY-NC-4.0", "This work is licensed under CC BY-NC 4.0."),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+    ("CC-BY-4.0", "This work is licensed under CC BY 4.0."),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC0-1.0", "Released under CC0 1.0."),
+)
+# Spellings that count as one; applied in this order to lower-cased text.
+SPELLINGS = (
+    ("licence", "license"), ("licencing", "licensing"), ("organis", "organiz"), ("authoris", "authoriz"), ("recognis", "recogniz"),
+    ("merchantib", "merchantab"), ("favour", "favor"), ("programme", "program"), ("whilst", "while"), ("acknowledgement", "acknowledgment"),
+    ("judgement", "judgment"), ("per cent", "percent"), ("copyright owner", "copyright holder"), ("non-commercial", "noncommercial"),
+    ("sub-license", "sublicense"), ("non-infringement", "noninfringement"), ("https://", "http://"),
+)
+#: A line that names the holder: "Copyright (c) 2020 ...", "(c) 2020 ...", "All rights reserved."
+COPYRIGHT_LINE = r"(?m)^[^\n0-9a-z(©]*(copyright[ \t]+(\(c\)|©|[0-9]{4})|\(c\)[ \t]*[0-9]{4}|©|all rights reserved)[^\n]*$"
+#: What stands between the letters and digits of a line.
+PUNCTUATION = r"[^\p{L}\p{N}\n]+"
+
+
+def canonical_lines(text: Column) -> Column:
+    """The non-empty lines of a text in canonical form: lower case, one spelling, no copyright lines, single spaces for punctuation."""
+    t = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "")
+    for a, b in SPELLINGS:
+        t = F.replace(t, F.lit(a), F.lit(b))
+    t = F.regexp_replace(t, PUNCTUATION, " ")
+    return F.filter(F.transform(F.split(t, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def known(spark: SparkSession) -> DataFrame:
+    """digest, license of every known text; as many rows as LICENSES, a constant."""
+    rows = F.array(*[F.struct(F.lit(i).alias("license"), F.lit(t).alias("text")) for i, t in LICENSES])
+    k = spark.range(1).select(F.explode(rows).alias("x")).select("x.license", canonical_lines(F.col("x.text")).alias("lines"))
+    return k.select("license", F.sha2(F.concat_ws(" ", "lines").cast("binary"), 256).alias("digest")).distinct()
+
+
+def scan(docs: DataFrame) -> DataFrame:
+    """Per row of docs (doc_id, text; others are left out): the licence that the whole text is, and all that it states.
+
+    text_license: the licence whose canonical text is the whole text, else null. licenses: ids of the whole text
+    and of single lines, distinct, in order, comma-joined, '' for none; n_licenses counts them. Null and empty
+    texts and texts of copyright lines only match nothing. Repeated rows each get a row. Lines longer than every known
+    one are not hashed; that is no cap, as they can't match.
+    """
+    spark = docs.sparkSession
+    longest = max(len(t) for _, t in LICENSES) * 2
+    d = docs.select("doc_id", "text").withColumn("lines", canonical_lines(F.coalesce("text", F.lit(""))))
+    d = d.select(
+        "doc_id",
+        F.sha2(F.col("text").cast("binary"), 256).alias("text_digest"),
+        F.sha2(F.concat_ws(" ", "lines").cast("binary"), 256).alias("whole"),
+        F.array_distinct(F.transform(F.filter("lines", lambda x: F.length(x) <= longest), lambda x: F.sha2(x.cast("binary"), 256))).alias("line_digests"),
+    )
+    lookup = F.broadcast(known(spark))  # as many rows as LICENSES
+    stated = (
+        d.select("text_digest", F.explode("line_digests").alias("digest"))
+        .join(lookup, "digest")
+        .groupBy("text_digest")
+        .agg(F.collect_set("license").alias("stated"))
+    )
+    return (
+        d.drop("line_digests")
+        .join(lookup.select(F.col("digest").alias("whole"), F.col("license").alias("text_license")), "whole", "left")
+        .join(stated, "text_digest", "left")
+        .select("doc_id", "text_license", F.array_sort(F.array_union(F.coalesce("stated", F.array().cast("array<string>")), F.filter(F.array("text_license"), lambda x: x.isNotNull()))).alias("found"))
+        .select("doc_id", "text_license", F.array_join("found", ",").alias("licenses"), F.size("found").cast("long").alias("n_licenses"))
+    )
+
+
+def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.common import table
+
+    return scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _sql() -> str:
+    t = f"regexp_replace(lower(text), {_quoted(COPYRIGHT_LINE)}, '', 'g')"
+    for a, b in SPELLINGS:
+        t = f"replace({t}, {_quoted(a)}, {_quoted(b)})"
+    lines = f"list_filter(list_transform(string_split(regexp_replace({t}, {_quoted(PUNCTUATION)}, ' ', 'g'), chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '')"
+    values = ", ".join(f"({_quoted(i)}, {_quoted(x)})" for i, x in LICENSES)
+    return f"""
+WITH raw(license, text) AS (VALUES {values}),
+known AS (SELECT DISTINCT license, array_to_string({lines}, ' ') AS canon FROM raw),
+d AS (SELECT doc_id, {lines} AS lines FROM (SELECT doc_id, COALESCE(text, '') AS text FROM documents)),
+found AS (
+  SELECT doc_id, (SELECT min(license) FROM known WHERE canon = array_to_string(lines, ' ')) AS text_license,
+    (SELECT list_sort(list(DISTINCT license)) FROM known WHERE list_contains(lines, canon) OR canon = array_to_string(lines, ' ')) AS found
+  FROM d
+)
+SELECT doc_id, text_license, COALESCE(array_to_string(found, ','), '') AS licenses, COALESCE(len(found), 0)::BIGINT AS n_licenses FROM found
+"""
+
+
+SQL = _sql()

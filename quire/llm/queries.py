@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from quire.llm import mixing
+from quire.llm import license, mixing
 
 QUERIES = {
+    "op10_license": license.query,
     "op7_mixing": mixing.query,
     "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL = {
+    "op10_license": license.SQL,
     "op7_mixing": mixing.SQL,
 }
 if corpus_pipeline.ORACLE_SQL is not None:
