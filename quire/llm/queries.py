@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from quire.llm import license, mixing
+from quire.llm import chat, license, mixing
 
 QUERIES = {
+    "op2_chat": chat.query,
     "op10_license": license.query,
     "op7_mixing": mixing.query,
     "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL = {
+    "op2_chat": chat.SQL,
     "op10_license": license.SQL,
     "op7_mixing": mixing.SQL,
 }
