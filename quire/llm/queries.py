@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from quire.llm import chat, license, mixing
+from quire.llm import chat, license, mixing, quality
 
 QUERIES = {
+    "op1_quality": quality.query,
     "op2_chat": chat.query,
     "op10_license": license.query,
     "op7_mixing": mixing.query,
@@ -13,6 +14,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_quality": quality.SQL,
     "op2_chat": chat.SQL,
     "op10_license": license.SQL,
     "op7_mixing": mixing.SQL,
