@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from quire.llm import chat, license, mixing, quality, secrets
+from quire.llm import bpe, chat, license, mixing, quality, secrets
 
 QUERIES = {
+    "op6_bpe": bpe.query,
     "op5_secrets": secrets.query,
     "op1_quality": quality.query,
     "op2_chat": chat.query,
