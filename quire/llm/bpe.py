@@ -44,6 +44,7 @@ class Merges:
         self.id_of = {raw[p]: i for p, i in spec["model"]["vocab"].items() if p not in self.special}
         pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         self.rank = {(raw[a], raw[b]): r for r, (a, b) in enumerate(pairs)}
+        self.made = {a + b: (r, a, b) for (a, b), r in reversed(self.rank.items())}
         self.bytes_of = {i: b for b, i in self.id_of.items()} | {i: s.encode() for s, i in self.special.items()}
         self.text_of = {i: str(i) for i in self.bytes_of}
         #: Bytes that decide a boundary: no merge makes a longer token.
@@ -74,10 +75,27 @@ class Merges:
         if got is None:
             if len(self._fits) > 500_000:
                 self._fits.clear()
-            x, y = self.bytes_of[a], self.bytes_of[b]
-            got = self._fits[a, b] = self.merge(x + y) == [x, y]
+            got = self._fits[a, b] = self._apart(self.bytes_of[a], self.bytes_of[b])
         return got
 
+    def _apart(self, x: bytes, y: bytes) -> bool:
+        """Whether no merge joins x and y while both are built up, from the last merge at their boundary back to bytes.
+
+        before: merges of a lower rank came before x or y was merged into something larger. Equal ranks go left to
+        right: a merge across the boundary comes before that of y's right side, and after that of x's left side.
+        """
+        made, rank, before = self.made, self.rank, float("inf")
+        while True:
+            if rank.get((x, y), before) < before:
+                return False
+            r, q = made.get(x), made.get(y)
+            if r is None and q is None:
+                return True
+            if q is None or r is not None and r[0] > q[0]:
+                before, x = r[0], r[2]
+            else:
+                before, y = q[0] + 0.5, q[1]
+
 
 class Transducer:
     """Bytes of one piece in, stable tokens out."""
@@ -146,16 +164,21 @@ def _encode_piece(m: Merges, data: bytes) -> tuple[int, ...]:
     t = m.id_of.get(data)
     if t is not None and m.ends[data] >= 0:
         return (t,)
-    ends, fits = m.ends, m.fits
+    ends, fits, known = m.ends, m.fits, m._fits.get
     last, n = [-1], len(data)
     for end in range(1, n + 1):
-        for start in range(end - 1, -1, -1):
-            t = ends.get(data[start:end])
-            if t is None:
-                raise ValueError("the merge list has no encoding for this input")
-            if t >= 0 and (not start or fits(last[start], t)):
+        start, found = end - 1, []
+        while start >= 0 and (t := ends.get(data[start:end])) is not None:
+            if t >= 0:
+                found.append((start, t))
+            start -= 1
+        for start, t in reversed(found):  # one of them fits; most often the longest
+            ok = not start or known((last[start], t))
+            if ok or ok is None and fits(last[start], t):
                 last.append(t)
                 break
+        else:
+            raise ValueError("the merge list has no encoding for this input")
     out = []
     while n:
         out.append(last[n])
@@ -168,7 +191,7 @@ class Encoder:
 
     #: Characters of a piece that is kept before it goes through a transducer as it comes.
     HELD = 1024
-    CACHE = 150_000
+    CACHE = 300_000
 
     def __init__(self, merges: Merges, special: bool = True):
         self.m, self.carry, self.open, self.run = merges, "", None, None
