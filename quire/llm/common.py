@@ -6,8 +6,11 @@ import atexit
 import functools
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,6 +104,23 @@ class BitmapTest:
         return (self.words[slot >> 6] >> (slot & 63)) & 1 == 1
 
 
+#: Bytes of text that are worked on together. A longer text is a chunk of its own.
+CHUNK_BYTES = 3 << 19
+
+
+def chunks(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Slices of a batch of texts with about CHUNK_BYTES each."""
+    start = held = 0
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+    for i, size in enumerate(sizes):
+        if held and held + size > CHUNK_BYTES:
+            yield start, i
+            start, held = i, 0
+        held += size
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Smallest reachable node of every node that has an edge.
 

@@ -15,10 +15,9 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm.common import SPACES
+from quire.llm.common import SPACES, chunks
 
 SYMBOLS = "#*$%&|<>"
 
@@ -150,10 +149,6 @@ def _dup_lines(text: str) -> int:
     return dup
 
 
-#: Words that go through one suffix array. A longer text has one of its own.
-CHUNK_WORDS = 1 << 18
-
-
 def measure(texts: list[str | None], rules: Rules) -> dict[str, np.ndarray]:
     """Columns for a chunk of texts."""
     words = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
@@ -190,20 +185,9 @@ def measure(texts: list[str | None], rules: Rules) -> dict[str, np.ndarray]:
 MEASURES = {"n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long", "covered_chars": "long", "longest_repeat": "long", "base_failed": "boolean", "kept": "boolean"}
 
 
-def _chunks(sizes: list[int]) -> Iterator[tuple[int, int]]:
-    start = held = 0
-    for i, s in enumerate(sizes):
-        if held and held + s > CHUNK_WORDS * 6:
-            yield start, i
-            start, held = i, 0
-        held += s
-    if start < len(sizes):
-        yield start, len(sizes)
-
-
 def _map(batches: Iterator[pa.RecordBatch], rules: Rules, only_kept: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for a, b in _chunks(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()):
+        for a, b in chunks(batch.column("text")):
             part = batch.slice(a, b - a)
             m = measure(part.column("text").to_pylist(), rules)
             if only_kept:

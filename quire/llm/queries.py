@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from quire.llm import bpe, chat, license, mixing, pii, quality, secrets
+from quire.llm import bpe, chat, license, mixing, pii, quality, secrets, toxicity
 
 QUERIES = {
+    "op4_toxicity": toxicity.query,
     "op3_pii": pii.query,
     "op6_bpe": bpe.query,
     "op5_secrets": secrets.query,
