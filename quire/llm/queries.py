@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from quire.llm import bpe, chat, license, mixing, pii, quality, secrets, toxicity
+from quire.llm import bpe, chat, license, mixing, pii, quality, secrets, toxicity, vectors
 
 QUERIES = {
+    "op9_vectors": vectors.query,
     "op4_toxicity": toxicity.query,
     "op3_pii": pii.query,
     "op6_bpe": bpe.query,
@@ -18,6 +19,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op9_vectors": vectors.SQL,
     "op1_quality": quality.SQL,
     "op2_chat": chat.SQL,
     "op10_license": license.SQL,
