@@ -15,6 +15,7 @@ import hashlib
 import json
 from collections.abc import Iterable, Iterator
 
+import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -57,6 +58,11 @@ class Merges:
         for b, i in self.id_of.items():
             # A token that its own bytes don't merge to is never emitted.
             self.ends[b] = i if len(self.merge(b)) == 1 else -1
+        self.automaton = ahocorasick.Automaton()
+        for b, i in self.id_of.items():
+            if self.ends[b] >= 0:
+                self.automaton.add_word(b.decode("latin-1"), (i, len(b)))
+        self.automaton.make_automaton()
         self._fits: dict[tuple[int, int], bool] = {}
 
     def merge(self, data: bytes) -> list[bytes]:
@@ -160,29 +166,26 @@ class Transducer:
 
 
 def _encode_piece(m: Merges, data: bytes) -> tuple[int, ...]:
-    """A whole short piece through the same recurrence."""
+    """A whole short piece through the same recurrence; one automaton finds the tokens that end at each place."""
     t = m.id_of.get(data)
     if t is not None and m.ends[data] >= 0:
         return (t,)
-    ends, fits, known = m.ends, m.fits, m._fits.get
-    last, n = [-1], len(data)
-    for end in range(1, n + 1):
-        start, found = end - 1, []
-        while start >= 0 and (t := ends.get(data[start:end])) is not None:
-            if t >= 0:
-                found.append((start, t))
-            start -= 1
-        for start, t in reversed(found):  # one of them fits; most often the longest
-            ok = not start or known((last[start], t))
-            if ok or ok is None and fits(last[start], t):
-                last.append(t)
-                break
-        else:
-            raise ValueError("the merge list has no encoding for this input")
-    out = []
+    known, last, done = m._fits.get, [-1], 0
+    for at, (t, length) in m.automaton.iter(data.decode("latin-1")):  # the longest first
+        if at < done:
+            continue
+        start = at + 1 - length
+        ok = not start or known((last[start], t))
+        if ok or ok is None and m.fits(last[start], t):  # of the tokens that end here, one fits
+            last.append(t)
+            done = at + 1
+    n = len(data)
+    if done != n:
+        raise ValueError("the merge list has no encoding for this input")
+    out, bytes_of = [], m.bytes_of
     while n:
         out.append(last[n])
-        n -= len(m.bytes_of[last[n]])
+        n -= len(bytes_of[last[n]])
     return tuple(out[::-1])
 
 
@@ -191,11 +194,13 @@ class Encoder:
 
     #: Characters of a piece that is kept before it goes through a transducer as it comes.
     HELD = 1024
+    #: Pieces of a generation that are remembered, of up to 64 characters.
     CACHE = 300_000
 
     def __init__(self, merges: Merges, special: bool = True):
         self.m, self.carry, self.open, self.run = merges, "", None, None
         self.cache: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.special = dict(merges.special) if special else {}
         self._split = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self._keep = max(map(len, self.special), default=1) - 1
@@ -225,36 +230,40 @@ class Encoder:
         out: list[int] = []
         if self.open is not None:
             buf = self._go_on(buf, last, out)
-        cache, m, end = self.cache, self.m, 0
-        bound = len(buf) if last else len(buf) - 3  # a contraction may take two more letters
-        for x in _PIECES.finditer(buf):
-            if x.end() > bound:
-                break
-            piece = x[0]
-            end = x.end()
-            ids = cache.get(piece)
-            if ids is None:
-                if len(piece) > 64:
-                    t = Transducer(m)
-                    out += t.feed(piece.encode())
-                    out += t.finish()
-                    continue
-                if len(cache) >= self.CACHE:
-                    cache.clear()
-                ids = cache[piece] = _encode_piece(m, piece.encode())
-            out += ids
+        pieces, end = _PIECES.findall(buf), len(buf)
+        if not last:  # a contraction may take two more letters, and the last piece any
+            while pieces and end > len(buf) - 3:
+                end -= len(pieces.pop())
+        found = self.cache
+        for piece in pieces:
+            ids = found.get(piece)
+            out += self._look_up(piece) if ids is None else ids
         rest = buf[end:]
         if not last and len(rest) > self.HELD:
             # One piece, but for the last few characters: it goes through a transducer from here on.
             lead = rest[0] if rest[0] == " " and not _SPACES.match(rest[1]) else ""
             self.run = next((r for r in _RUNS if r.match(rest, len(lead))), _SPACES)
             if self.run is _SPACES or self.run.match(rest, len(lead)).end() == len(rest):
-                self.open = Transducer(m)
+                self.open = Transducer(self.m)
                 out += self.open.feed(lead.encode())
                 rest = self._go_on(rest[len(lead) :], False, out)
         self.carry = rest
         return out
 
+    def _look_up(self, piece: str) -> Iterable[int]:
+        """A piece that isn't among the recent ones. Two generations: what the older one gives is recent again."""
+        if len(piece) > 64:
+            t = Transducer(self.m)
+            return t.feed(piece.encode()) + t.finish()
+        if len(self.cache) >= self.CACHE:
+            self.older = dict(self.cache)
+            self.cache.clear()
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = _encode_piece(self.m, piece.encode())
+        self.cache[piece] = ids
+        return ids
+
     def _go_on(self, buf: str, last: bool, out: list[int]) -> str:
         """Feeds the open piece; what is left of buf is no part of it, or may not be."""
         x = self.run.match(buf)
