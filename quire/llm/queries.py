@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from quire.llm import bpe, chat, license, mixing, pii, quality, secrets, toxicity, vectors
+from quire.llm import bpe, chat, license, minhash, mixing, pii, quality, secrets, toxicity, vectors
 
 QUERIES = {
+    "op8_minhash": minhash.query,
     "op9_vectors": vectors.query,
     "op4_toxicity": toxicity.query,
     "op3_pii": pii.query,
@@ -19,6 +20,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op8_minhash": minhash.SQL,
     "op9_vectors": vectors.SQL,
     "op1_quality": quality.SQL,
     "op2_chat": chat.SQL,
