@@ -1,0 +1,193 @@
+"""The operators' kernels against brute force, without Spark."""
+
+import math
+import random
+import re
+
+import numpy as np
+import pytest
+import public_tokenizers
+from tokenizers import Tokenizer
+
+from quire.llm import bpe, chat, minhash, quality, secrets, spans, toxicity, vectors
+
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def _repeats(words, least):
+    covered, longest = set(), 0
+    for a in range(len(words)):
+        for b in range(a + 1, len(words)):
+            n = 0
+            while b + n < len(words) and words[a + n] == words[b + n]:
+                n += 1
+            if n >= least:
+                longest = max(longest, n)
+                covered |= {*range(a, a + n), *range(b, b + n)}
+    return len(covered), longest
+
+
+def test_quality_measures_match_brute_force():
+    rng = random.Random(1)
+    for _ in range(80):
+        texts = [" ".join(rng.choice("abc"[: rng.randint(1, 3)]) for _ in range(rng.randint(0, 50))) for _ in range(4)]
+        m = quality.measure(texts, quality.Rules())
+        for k, t in enumerate(texts):
+            assert _repeats(t.split(), 5) == (m["n_repeat_words"][k], m["longest_repeat"][k]), t
+
+
+def test_quality_edges():
+    m = quality.measure([None, "", "\x85 a\tb\x0bc", "x\nx\n \nx", "é " * 12], quality.Rules())
+    assert m["n_words"].tolist() == [0, 0, 4, 3, 12]  # U+0085 is no space here
+    assert m["word_chars"].tolist() == [0, 0, 4, 3, 12]
+    assert m["n_dup_lines"].tolist() == [0, 0, 0, 2, 0]
+    assert m["base_failed"].tolist() == [True] * 5
+    assert not m["kept"].any()
+
+
+def test_maximal_repeats_are_maximal():
+    words = "a b c d e x a b c d e y a b c d e f".split()
+    assert quality.maximal_repeats(words, 3) == [(5, (0, 6, 12))]
+
+
+def test_base_spans_match_plain_regex():
+    rng = random.Random(2)
+    for _ in range(4000):
+        t = "".join(rng.choice(["a", "@", ".", "1", "23", "456", " ", "-", "+", "(", ")", "x.y", "%", "é", "4111111111111111", "255"]) for _ in range(rng.randint(0, 25)))
+        want = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+        want += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
+        digits = lambda m: re.sub("[^0-9]", "", m[0])
+        want += [("card", *m.span()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 14 <= len(digits(m)) <= 19 and spans.luhn(digits(m))]
+        want += [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 10 <= len(digits(m)) <= 15]
+        assert sorted(spans.personal(t)) == sorted(want), t
+
+
+def test_long_runs_take_linear_time():
+    for t in ("a" * 300_000, "1" * 300_000, "@" * 100_000, "+1" + "-" * 200_000, "password" + " " * 200_000, "0123456789abcdef" * 20_000):
+        spans.personal(t)
+        spans.secrets(t)
+
+
+def test_luhn():
+    assert spans.luhn("4111111111111111") and not spans.luhn("4111111111111112")
+
+
+def test_guess_bits_prefers_structure():
+    ranks = secrets.word_ranks(VOCABULARY)
+    dear = min(secrets.guess_bits(v, ranks)[0] for v in ("x9#kQ2!vLp", "7602ad27cf5550de1c"))
+    cheap = max(secrets.guess_bits(v, ranks)[0] for v in ("password123", "qwertyuiop", "aaaaaaaaaaaa", "20240131", "P@ssw0rd", "changeme"))
+    assert cheap < secrets.MIN_BITS < dear
+    assert [k for k, _, _ in secrets.guess_bits("Summer2024!", ranks)[1]] == ["word", "date", "brute"]
+
+
+def test_guess_bits_is_the_least_over_segmentations():
+    ranks = {"ab": 1, "abc": 5, "cd": 2}
+
+    def least(v):
+        best = {0: 0.0}
+        for j in range(1, len(v) + 1):
+            options = [best[j - 1] + secrets._char_bits(v[j - 1])]
+            options += [best[i] + 1.5 + math.log2(ranks[v[i:j]] + 1) for i in range(j) if v[i:j] in ranks]
+            best[j] = min(options)
+        return best[len(v)]
+
+    for v in ("abcd", "abxcd", "xabcab", "cdab"):
+        assert secrets.guess_bits(v, ranks)[0] <= least(v) + 1e-9
+
+
+def test_secrets_are_found_beyond_the_patterns():
+    ranks = secrets.word_ranks(VOCABULARY)
+    t = 'my passphrase is "x9#kQ2!vLp" and password: changeme'
+    assert [t[a:b] for _, a, b in secrets.guessed(t, ranks)] == ["x9#kQ2!vLp"]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_bpe_equals_the_library(seed):
+    rng, library, encoder = random.Random(seed), Tokenizer.from_file(VOCABULARY), bpe._encoder(open(VOCABULARY).read())
+    parts = ["a", "the", " ", "  ", "\n", "\t", "'s", "'", "re", "é", "中", "😀", " ", "　", "\x1c", "\x85", "23", "½", "!!", "----", "<|endoftext|>", "<|end", "ing", "́", "ſ", "\x00"]
+    for _ in range(600):
+        s = "".join(rng.choice(parts) for _ in range(rng.randint(0, 25)))
+        want = library.encode(s, add_special_tokens=False).ids
+        assert encoder.encode(s) == want, s
+        got, at = [], 0
+        while at < len(s):
+            step = rng.randint(1, 4)
+            got += encoder.feed(s[at : at + step])
+            at += step
+        assert got + encoder.finish() == want, s
+        assert bpe.Decoder(encoder.m).feed(want, True) == library.decode(want, skip_special_tokens=False)
+
+
+def test_bpe_streams_long_pieces_in_little_memory():
+    library, encoder = Tokenizer.from_file(VOCABULARY), bpe._encoder(open(VOCABULARY).read())
+    for s in ("ab" * 4000, " " * 5000 + "x", "-" * 5000 + "'re", "1" * 3000 + "a", " " + "quick" * 1500, "\n" * 3000):
+        got, most = [], 0
+        for at in range(0, len(s), 1000):
+            got += encoder.feed(s[at : at + 1000])
+            most = max(most, len(encoder.carry) + (len(encoder.open.data) if encoder.open else 0))
+        assert got + encoder.finish() == library.encode(s, add_special_tokens=False).ids
+        assert most < 2100
+
+
+def test_decoder_replaces_bad_bytes():
+    m = bpe._encoder(open(VOCABULARY).read()).m
+    d = bpe.Decoder(m)
+    first = m.id_of["é".encode()[:1]]
+    assert d.feed([first]) + d.feed([m.id_of[b"a"]], True) == "�a"
+
+
+def test_chat_round_trip_of_hostile_turns():
+    rng = random.Random(5)
+    parts = ["###", "</turn>", "\\", "\n", " ", "User", ": ", "### Assistant: ", "\n</turn>\n", "x"]
+    for _ in range(3000):
+        turns = [(rng.choice(["user", "assistant", "tool", "", "a:b\n\\", "="]), "".join(rng.choice(parts) for _ in range(rng.randint(0, 9)))) for _ in range(rng.randint(0, 4))]
+        out = chat.format_conversation(turns)
+        assert [(r, t) for r, t, _, _ in chat.parse(out)] == turns
+        assert [chat.unescape(out[a:b]) for a, b in chat.loss_spans(out)] == [t for r, t in turns if r == "assistant"]
+
+
+def test_chat_plain_text_is_not_escaped():
+    assert chat.render_turn("user", "hello \\ there") == "### User: hello \\ there\n</turn>\n"
+    with pytest.raises(chat.ParseError):
+        list(chat.parse("### User: x"))
+
+
+def test_toxic_misspellings_share_vectors():
+    rng = random.Random(3)
+    clean = ["lorem", "ipsum", "dolor", "sit", "amet", "tempor", "labore", "magna"]
+    texts, labels = [], []
+    for i in range(300):
+        words = [rng.choice(clean) for _ in range(60)]
+        if i % 3 == 0:
+            words[rng.randrange(60)] = rng.choice(["disgusting", "worthless"])
+        texts.append(" ".join(words))
+        labels.append(int(i % 3 == 0))
+    model = toxicity.train(texts, labels)
+    scorer = toxicity.Scorer(model)
+    base = " ".join(rng.choice(clean) for _ in range(400))
+    misspelt, other, clean_score, null, empty = scorer.scores([base + " disgustingg", base + " wortthless", base, None, ""])
+    assert min(misspelt, other) > clean_score + 0.2 and null == empty < misspelt
+    again = toxicity.train(texts, labels)
+    assert np.array_equal(again.table, model.table)
+
+
+def test_shingles():
+    h = minhash._Hashes()
+    sizes = [len(minhash.shingle_set(t, h)) for t in (None, "", " \t", "a", "a b", "a b c d e", "a b c d e f", "A B c d e f", "a a a a a a a")]
+    assert sizes == [0, 0, 0, 1, 1, 1, 2, 2, 1]
+    assert np.array_equal(minhash.shingle_set("A b", h), minhash.shingle_set("a  B\n", h))
+    assert not np.array_equal(minhash.shingle_set("b a", h), minhash.shingle_set("a b", h))
+
+
+def test_tables_reach_the_recall_they_promise():
+    h = vectors.Hashing(recall=0.99)
+    rng = np.random.default_rng(0)
+    a = rng.standard_normal((2000, 32))
+    b = rng.standard_normal((2000, 32))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    c = 0.9 * a + math.sqrt(1 - 0.81) * b
+    bits = 8
+    meet = (vectors.signatures(a, bits, h.tables(bits), 1) == vectors.signatures(c, bits, h.tables(bits), 1)).any(1)
+    assert meet.mean() >= 0.98
