@@ -30,12 +30,15 @@ from quire.llm.common import LOWER_ASCII, BitmapTest, bitmap, connected_componen
 @dataclass(frozen=True)
 class Sketching:
     """words: of a shingle. percent: of similarity that links. k: values of a sketch. least: shared values of two full
-    sketches at that similarity, but for one pair in 10 to the 8th (a binomial's 5.7 deviations)."""
+    sketches at that similarity, but for one pair in 10 to the 8th (a binomial's 5.7 deviations). wide_k, wide_least: the
+    same of the sketches by which pairs are told apart that the lists leave open."""
 
     words: int = 5
     percent: int = 75
     k: int = 64
     least: int = 28
+    wide_k: int = 256
+    wide_least: int = 152
 
 
 class _Hashes(dict):
@@ -102,9 +105,9 @@ def _least(p: Sketching):
     return F.least(whole, F.lit(p.least))
 
 
-def _estimated(a, b, p: Sketching):
+def _estimated(a, b, k: int):
     """Values that both sketches hold among the k least of their union: that sketch's share of the intersection."""
-    union = F.slice(F.array_sort(F.array_union(a, b)), 1, p.k)
+    union = F.slice(F.array_sort(F.array_union(a, b)), 1, k)
     return F.size(F.array_intersect(F.array_intersect(a, b), union))
 
 
@@ -116,7 +119,7 @@ def _verified(pairs: DataFrame, reps: DataFrame, sets: DataFrame, p: Sketching)
 
     known = pairs.join(side(reps, "a", "sketch"), "a").join(side(reps, "b", "sketch"), "b")
     least = F.least(F.ceil(F.greatest("n_a", "n_b") * p.percent / 100), F.lit(p.least))
-    likely = known.where((100 * F.least("n_a", "n_b") >= p.percent * F.greatest("n_a", "n_b")) & (_estimated(F.col("sketch_a"), F.col("sketch_b"), p) >= least)).select("a", "b")
+    likely = known.where((100 * F.least("n_a", "n_b") >= p.percent * F.greatest("n_a", "n_b")) & (_estimated(F.col("sketch_a"), F.col("sketch_b"), p.k) >= least)).select("a", "b")
     likely = written(likely)
     both = likely.join(side(sets, "a", "set"), "a").join(side(sets, "b", "set"), "b")
     shared = F.size(F.array_intersect("set_a", "set_b")).cast("long")
@@ -184,15 +187,20 @@ def _rest(prefix: DataFrame, sets: DataFrame, component: DataFrame, p: Sketching
     # Shingles that another document of an open list has too; more than what any one partner shares.
     every = opened.select("digest").distinct().join(sets, "digest").select("digest", F.explode("set").alias("s"))
     common = every.groupBy("s").agg(F.count("*").alias("c")).where("c > 1").select("s")
-    met = written(every.join(common, "s").groupBy("digest").agg(F.count("*").alias("met")))
+    met = every.join(common, "s").groupBy("digest").agg(F.count("*").alias("met"))
+    met = written(met.join(sets.select("digest", F.slice("set", 1, p.wide_k).alias("wide")), "digest"))
     fit = written(opened.join(met, "digest").where((100 + p.percent) * F.col("met") >= p.percent * (F.col("n") + F.col("smallest"))))
-    a = fit.where("component <> top").select("v", *[F.col(c).alias(f"{c}_a") for c in ("digest", "n", "prefix", "component", "met")])
-    b = fit.select("v", F.col("top").alias("top_b"), *[F.col(c).alias(f"{c}_b") for c in ("digest", "n", "prefix", "component", "met")])
+    a = fit.where("component <> top").select("v", *[F.col(c).alias(f"{c}_a") for c in ("digest", "n", "prefix", "component", "met", "wide")])
+    b = fit.select("v", F.col("top").alias("top_b"), *[F.col(c).alias(f"{c}_b") for c in ("digest", "n", "prefix", "component", "met", "wide")])
     # One order of two that both are outside the largest component; only at the first value that the two share.
     once = (F.col("component_b") == F.col("top_b")) | (F.col("digest_a") < F.col("digest_b"))
     sizes = (100 + p.percent) * F.least("met_a", "met_b") >= p.percent * (F.col("n_a") + F.col("n_b"))
     first = F.array_min(F.array_intersect("prefix_a", "prefix_b")) == F.col("va")
-    pairs = a.withColumnRenamed("v", "va").join(b, (F.col("va") == F.col("v")) & (F.col("component_a") != F.col("component_b")) & once & sizes & first)
+    # Last, as it costs most: the sketches of the union say no, exactly so where both hold whole sets.
+    whole = (F.col("n_a") <= p.wide_k) & (F.col("n_b") <= p.wide_k)
+    exact = (100 + p.percent) * F.size(F.array_intersect("wide_a", "wide_b")) >= p.percent * (F.col("n_a") + F.col("n_b"))
+    likely = F.when(whole, exact).otherwise(_estimated(F.col("wide_a"), F.col("wide_b"), p.wide_k) >= p.wide_least)
+    pairs = a.withColumnRenamed("v", "va").join(b, (F.col("va") == F.col("v")) & (F.col("component_a") != F.col("component_b")) & once & sizes & first & likely)
     return written(pairs.select(F.least("digest_a", "digest_b").alias("a"), F.greatest("digest_a", "digest_b").alias("b")).distinct())
 
 
