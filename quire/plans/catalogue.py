@@ -1,4 +1,588 @@
-"""Registry of the layout queries and of the SQL that checks them."""
+"""Registry of the layout queries and of the SQL that checks them.
+
+Each query takes (spark, sf_dir) and runs over whole tables. Results are scalars per column, so that they compare by value.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quire.functions import text as T
+from quire.functions.barrier import fixed
+from quire.functions.geometry import Box
+from quire.operators import captions, filters, hierarchy, order, pairs, resolve, tables, trace
+from quire.plans import oracles as O
+from quire.sources import adapters as A
+from quire.sources import sinks
+from quire.streaming import events as E
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _li(spark: SparkSession, d: str) -> DataFrame:
+    return A.lineitem_regions(spark, d)
+
+
+def _related(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.relationships(_li(spark, d))
+
+
+def _headed(spark: SparkSession, d: str) -> DataFrame:
+    """Document lines with headings put in at fixed places."""
+    r = A.document_regions(spark, d)
+    p, s = F.col("page_number"), F.col("src_order")
+    text = (
+        F.when((s == 3) & (p % 5 == 0), F.concat(F.lit("Table "), (s % 9 + 1).cast("string"), F.lit(". "), F.col("text")))
+        .when((s == 2) & (p % 7 == 0), "Conclusion").when((s == 4) & (p % 7 == 0), "References").when((s == 5) & (p % 7 == 0), "Appendix A")
+        .when((s == 1) & (p % 11 == 0), "Received 12 March 2020; accepted 3 May 2020").when((s == 2) & (p % 11 == 0), "Introduction")
+        .when((s == 1) & (p % 13 == 0), "Copyright 2021 by the authors. All rights reserved").when((s == 3) & (p % 13 == 0), "Abstract")
+        .otherwise(F.col("text"))
+    )
+    return r.withColumn("text", text)
+
+
+# Pairs
+
+
+@query(O.li(O.PAIRS, select="SELECT a_type, b_type, kind, count(*) AS n FROM rl GROUP BY ALL"))
+def overlap_histogram(spark, d):
+    return _related(spark, d).groupBy("a_type", "b_type", "kind").agg(F.count("*").alias("n"))
+
+
+@query(O.li(O.PAIRS, select="SELECT page_number, a_region_id, b_region_id, kind, reason, action, status, parent_id, child_id FROM rl"))
+def overlap_pairs(spark, d):
+    return _related(spark, d).select("page_number", "a_region_id", "b_region_id", "kind", "reason", "action", "status", "parent_id", "child_id")
+
+
+_FEATURES = ["intersection", "iou", "a_containment", "b_containment", "over_smaller", "over_larger", "horizontal_overlap", "vertical_overlap", "area_ratio", "a_page_area", "b_page_area", "a_center_inside", "b_center_inside", "a_token_coverage", "b_token_coverage", "token_jaccard", "edge_delta", "a_protrusion", "b_protrusion", "horizontal_gap", "vertical_gap", "text_relation", "same_class", "a_family", "b_family"]
+
+
+@query(O.li(O.PAIRS, select=f"SELECT a_region_id, b_region_id, {', '.join(_FEATURES)} FROM ft"))
+def pair_features(spark, d):
+    return pairs.features(pairs.candidates(_li(spark, d), 0.012)).select("a_region_id", "b_region_id", *_FEATURES)
+
+
+@query(O.li(O.PAIRS, select="SELECT kind, count(*) AS n FROM rl GROUP BY ALL"))
+def overlap_banded(spark, d):
+    """The histogram with pages cut into bands, as crowded pages need; same pairs."""
+    return pairs.relationships(_li(spark, d), band=100.0).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query(O.doc(O.pairs("(SELECT *, NULL::DOUBLE AS score FROM dl)"), select="SELECT a_region_id, b_region_id, kind FROM rl WHERE kind = 'FRAGMENT_CANDIDATE'"))
+def near_fragments(spark, d):
+    return pairs.relationships(A.document_regions(spark, d)).where("kind = 'FRAGMENT_CANDIDATE'").select("a_region_id", "b_region_id", "kind")
+
+
+# Duplicates and conflicts
+
+
+def _duplicates(spark, d):
+    r = A.snapped(_li(spark, d))
+    related = pairs.relationships(r)
+    return r, related, resolve.duplicate_components(related)
+
+
+@query(O.li(O.SNAP_PAIRS, O.DUPES, select="SELECT page_number, array_to_string(members, ',') AS members, len(members) AS size FROM co"))
+def duplicate_components(spark, d):
+    return _duplicates(spark, d)[2].select("page_number", F.array_join("members", ",").alias("members"), F.size("members").alias("size"))
+
+
+@query(O.li(O.SNAP_PAIRS, O.DUPES, select="SELECT page_number, region_id, canonical_id, members FROM ca"))
+def canonical_regions(spark, d):
+    r, _, c = _duplicates(spark, d)
+    return resolve.canonical(r, c).select("page_number", "region_id", "canonical_id", "members")
+
+
+@query(O.li(O.SNAP_PAIRS, O.DUPES, select="SELECT sn.doc_id, count(*) AS regions, count(*) FILTER (canonical_id IS NOT NULL AND canonical_id <> sn.region_id) AS suppressed FROM sn LEFT JOIN ca USING (page_number, region_id) GROUP BY ALL"))
+def suppressed_regions(spark, d):
+    r, _, c = _duplicates(spark, d)
+    j = r.join(resolve.canonical(r, c).select("page_number", "region_id", "canonical_id"), ["page_number", "region_id"], "left")
+    return j.groupBy("doc_id").agg(F.count("*").alias("regions"), F.count_if(F.col("canonical_id") != F.col("region_id")).alias("suppressed"))
+
+
+@query(O.li(O.SNAP_PAIRS, O.DUPES, select="SELECT CASE WHEN rl.kind <> 'DUPLICATE' THEN status WHEN canonical_id IS NULL THEN 'retained_nontransitive_duplicate_chain' ELSE 'collapsed' END AS status, count(*) AS n FROM rl LEFT JOIN ca ON ca.page_number = rl.page_number AND ca.region_id = rl.a_region_id GROUP BY ALL"))
+def duplicate_statuses(spark, d):
+    r, related, c = _duplicates(spark, d)
+    return resolve.duplicate_status(related, resolve.canonical(r, c)).groupBy("status").agg(F.count("*").alias("n"))
+
+
+_TRIM = """g AS (SELECT doc_id, page_number, f_region_id, f_x0, f_y0, f_x1, f_y1, max(CASE WHEN t_y0 + t_y1 < f_y0 + f_y1 THEN t_y1 + 1000.0::DOUBLE * 0.001::DOUBLE END) AS low, min(CASE WHEN NOT (t_y0 + t_y1 < f_y0 + f_y1) THEN t_y0 - 1000.0::DOUBLE * 0.001::DOUBLE END) AS high, count(*) AS texts FROM fp GROUP BY ALL),
+h AS (SELECT *, greatest(f_y0, COALESCE(low, f_y0)) AS new_y0, least(f_y1, COALESCE(high, f_y1)) AS new_y1 FROM g)"""
+
+
+@query(O.li(O.PAIRS, O.FORMULA, _TRIM, select="SELECT page_number, f_region_id, texts, new_y0, new_y1, CASE WHEN new_y1 - new_y0 >= 0.45 * (f_y1 - f_y0) AND (new_y1 - new_y0) / 1000.0 >= 0.006 AND (new_y1 - new_y0) * (f_x1 - f_x0) / 1000000.0 >= 0.0002 THEN 'trim_formula_boundary' ELSE 'defer_ambiguous' END AS decision FROM h"))
+def formula_trim(spark, d):
+    return resolve.formula_trims(resolve.formula_text_pairs(_related(spark, d))).select("page_number", "f_region_id", "texts", "new_y0", "new_y1", "decision")
+
+
+_POLICY = """al AS (SELECT *, count(*) OVER (PARTITION BY doc_id, page_number, t_region_id) AS formulas FROM fp),
+po AS (SELECT *, CASE WHEN COALESCE(f_score IS NOT NULL AND t_score IS NOT NULL AND greatest(f_score, t_score) >= 0.8 AND abs(f_score - t_score) >= 0.2, false) THEN CASE WHEN f_score > t_score THEN 'suppress_text' ELSE 'suppress_formula' END
+  WHEN formulas > 1 THEN 'defer_ambiguous' WHEN f_y0 > t_y0 AND f_y1 < t_y1 AND f_y0 - t_y0 >= 6.0 AND t_y1 - f_y1 >= 6.0 THEN 'split_text_around_semantic_region'
+  WHEN f_y0 > t_y0 THEN 'trim_text_bottom' WHEN f_y1 < t_y1 THEN 'trim_text_top' ELSE 'defer_ambiguous' END AS decision FROM al)"""
+
+
+@query(O.li(O.PAIRS, O.FORMULA, _POLICY, select="SELECT page_number, f_region_id, t_region_id, formulas, decision FROM po"))
+def formula_split_guard(spark, d):
+    return resolve.cross_class_policy(resolve.formula_text_pairs(_related(spark, d))).select("page_number", "f_region_id", "t_region_id", "formulas", "decision")
+
+
+@query(O.li(O.PAIRS, O.FORMULA, _POLICY, select="SELECT page_number, t_region_id AS region_id, part, t_x0 AS x0, CASE part WHEN 0 THEN t_y0 ELSE f_y1 END AS y0, t_x1 AS x1, CASE part WHEN 0 THEN f_y0 ELSE t_y1 END AS y1 FROM po, (VALUES (0), (1)) v(part) WHERE decision LIKE 'split%'"))
+def formula_split_parts(spark, d):
+    policy = resolve.cross_class_policy(resolve.formula_text_pairs(_related(spark, d)))
+    return resolve.split_texts(policy).select("page_number", "region_id", "part", "x0", "y0", "x1", "y1")
+
+
+# Order
+
+
+@query(O.li(O.ORDER, select="SELECT region_id, reading_column, reading_order FROM ro"))
+def reading_order(spark, d):
+    return order.reading_order(_li(spark, d)).select("region_id", "reading_column", "reading_order")
+
+
+@query(O.li(O.SPLIT, select="SELECT page_number, gap, split FROM sp"))
+def column_split(spark, d):
+    return order.column_splits(_li(spark, d)).select("page_number", "gap", "split")
+
+
+# Captions
+
+
+@query(O.li(O.ALT, select="SELECT caption_id, parent_id, parent_type, score, options, status FROM az"))
+def caption_best_parent(spark, d):
+    return captions.associations(_li(spark, d)).select("caption_id", "parent_id", "parent_type", "score", "options", "status")
+
+
+@query(O.li(O.ALT, select="SELECT caption_id, score, margin FROM az WHERE margin IS NOT NULL"))
+def caption_margin(spark, d):
+    return captions.associations(_li(spark, d)).where("margin IS NOT NULL").select("caption_id", "score", "margin")
+
+
+@query(O.li(O.ALT, select="SELECT doc_id, status, count(*) AS n FROM az WHERE status <> 'associated' GROUP BY ALL"))
+def caption_unattached(spark, d):
+    return captions.associations(_li(spark, d)).where("status <> 'associated'").groupBy("doc_id", "status").agg(F.count("*").alias("n"))
+
+
+@query(O.li(O.ALT, select="SELECT az.parent_id, string_agg(caption_id::VARCHAR, ',' ORDER BY y0, x0, src_order) AS caption_ids, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM az JOIN li ON li.region_id = az.caption_id AND li.page_number = az.page_number WHERE status = 'associated' GROUP BY az.page_number, az.parent_id"))
+def caption_groups(spark, d):
+    r = _li(spark, d)
+    return captions.caption_groups(r, captions.associations(r)).select("parent_id", F.array_join("caption_ids", ",").alias("caption_ids"), "x0", "y0", "x1", "y1")
+
+
+@query(O.li(select="SELECT c.region_id AS caption_id, arg_min(f.region_id, (c.y0 - f.y1, f.region_id)) AS figure_id, min(c.y0 - f.y1) AS gap FROM li c JOIN li f USING (doc_id, page_number) WHERE c.type = 'Caption' AND f.type = 'Figure' AND f.y1 <= c.y0 GROUP BY c.region_id"))
+def figure_nearest_caption(spark, d):
+    return captions.nearest_figure_above(_li(spark, d)).select("caption_id", "figure_id", "gap")
+
+
+@query(O.li(select="""SELECT * FROM (SELECT f.region_id AS formula_id,
+  (SELECT t.region_id FROM li t WHERE t.page_number = f.page_number AND t.type = 'Text' AND least(f.x1, t.x1) > greatest(f.x0, t.x0) AND t.y1 <= f.y0 ORDER BY t.y1 DESC, t.region_id LIMIT 1) AS above_id,
+  (SELECT t.region_id FROM li t WHERE t.page_number = f.page_number AND t.type = 'Text' AND least(f.x1, t.x1) > greatest(f.x0, t.x0) AND t.y0 >= f.y1 ORDER BY t.y0, t.region_id LIMIT 1) AS below_id
+  FROM li f WHERE f.type = 'Formula') WHERE above_id IS NOT NULL OR below_id IS NOT NULL"""))
+def neighbor_above_below(spark, d):
+    return captions.text_neighbours(_li(spark, d)).select("formula_id", "above_id", "below_id")
+
+
+@query(O.li(f"""cr AS (SELECT f.page_number, f.region_id, f.x0, f.y0, f.x1, f.y1, max(CASE WHEN o.near AND o.y1 <= f.y0 THEN o.y1 END) AS ceiling, min(CASE WHEN o.near AND o.y0 >= f.y1 THEN o.y0 END) AS floor
+  FROM li f LEFT JOIN (SELECT a.region_id AS fid, b.y0, b.y1, {O._NOV.format(a='a.', b='b.')} >= 0.2 AS near FROM li a JOIN li b USING (doc_id, page_number) WHERE a.type = 'Formula' AND b.type <> 'Formula') o ON o.fid = f.region_id WHERE f.type = 'Formula' GROUP BY ALL)""",
+    select="""SELECT region_id, x0, greatest(0.0, y0 - m, least(y0, COALESCE(ceiling + 0.12 * (y1 - y0), 0.0))) AS crop_y0, x1, least(1000.0, y1 + m, greatest(y1, COALESCE(floor - 0.12 * (y1 - y0), 1000.0))) AS crop_y1
+  FROM (SELECT *, least(greatest(0.3::DOUBLE * (y1 - y0), 0.006::DOUBLE * 1000.0::DOUBLE), 0.018::DOUBLE * 1000.0::DOUBLE) AS m FROM cr)"""))
+def equation_crop_limits(spark, d):
+    return captions.crop_limits(_li(spark, d)).select("region_id", "x0", "crop_y0", "x1", "crop_y1")
+
+
+# Hierarchy
+
+
+@query(O.li(O.PAIRS, O.PROPOSED, select="SELECT parent_id, child_id, role, kind, reason FROM hv"))
+def containment_children(spark, d):
+    r = _li(spark, d)
+    return hierarchy.proposals(r, pairs.relationships(r)).select("parent_id", "child_id", "role", "kind", "reason")
+
+
+def _outcome(spark, d):
+    r = _li(spark, d)
+    return r, hierarchy.resolved(hierarchy.proposals(r, pairs.relationships(r)))
+
+
+@query(O.li(O.PAIRS, O.PROPOSED, select="SELECT child_id, parent_id, accepted_parent_id, kind, reason, action FROM hr"))
+def hierarchy_outcomes(spark, d):
+    return _outcome(spark, d)[1].select("child_id", "parent_id", "accepted_parent_id", "kind", "reason", "action")
+
+
+@query(O.li(O.PAIRS, O.PROPOSED, select="SELECT li.doc_id, count(*) AS regions, count(accepted_parent_id) AS nested, count(*) - count(accepted_parent_id) AS top_level FROM li LEFT JOIN hr ON hr.page_number = li.page_number AND hr.child_id = li.region_id GROUP BY ALL"))
+def hierarchy_partition(spark, d):
+    r, o = _outcome(spark, d)
+    n = hierarchy.numbered(r, o)
+    return n.groupBy("doc_id").agg(F.count("*").alias("regions"), F.count("parent_id").alias("nested"), F.count_if(F.col("parent_id").isNull()).alias("top_level"))
+
+
+@query(O.li(O.PAIRS, O.PROPOSED, select="SELECT region_id, accepted_parent_id AS parent_id, CASE WHEN accepted_parent_id IS NOT NULL THEN row_number() OVER (PARTITION BY li.page_number, accepted_parent_id ORDER BY y0, x0, src_order, region_id) END AS local_order, CASE WHEN accepted_parent_id IS NULL THEN row_number() OVER (PARTITION BY li.page_number, accepted_parent_id IS NOT NULL ORDER BY y0, x0, region_id) END AS resolved_order FROM li LEFT JOIN hr ON hr.page_number = li.page_number AND hr.child_id = li.region_id"))
+def parent_local_order(spark, d):
+    r, o = _outcome(spark, d)
+    return hierarchy.numbered(r, o).select("region_id", "parent_id", "local_order", "resolved_order")
+
+
+@query(O.li(O.PAIRS, O.PROPOSED, select="SELECT parent_type, role, kind, count(*) AS n FROM hv GROUP BY ALL"))
+def policy_matrix_counts(spark, d):
+    r = _li(spark, d)
+    return hierarchy.proposals(r, pairs.relationships(r)).groupBy("parent_type", "role", "kind").agg(F.count("*").alias("n"))
+
+
+@query(O.li("""na AS (SELECT r.region_id, a.region_id AS asset_id, a.type, row_number() OVER (PARTITION BY r.page_number, r.region_id ORDER BY a.src_order) AS rn FROM li r JOIN li a USING (doc_id, page_number)
+  WHERE r.type NOT IN ('Figure', 'Table') AND a.type IN ('Figure', 'Table') AND greatest(0.0, least(r.x1, a.x1) - greatest(r.x0, a.x0)) * greatest(0.0, least(r.y1, a.y1) - greatest(r.y0, a.y0)) / ((r.x1 - r.x0) * (r.y1 - r.y0)) >= 0.92)""",
+    select="SELECT region_id, asset_id, 'nested_inside_' || lower(type) AS filter_reason FROM na WHERE rn = 1"))
+def nested_assets_excluded(spark, d):
+    return hierarchy.nested_assets(_li(spark, d)).select("region_id", "asset_id", "filter_reason")
+
+
+def _edges(spark, d):
+    """The relationships with ends put wrong at fixed places, so that each defect occurs."""
+    r = _related(spark, d).select(F.col("a_region_id").alias("left_id"), F.col("b_region_id").alias("right_id"), "kind", "status")
+    wrong = F.when(F.col("left_id") % 97 == 0, F.col("left_id") + 500).when(F.col("left_id") % 89 == 0, F.col("left_id")).when(F.col("left_id") % 83 == 0, F.col("left_id") - F.col("left_id") % 1000 + 2001).otherwise(F.col("right_id"))
+    return r.withColumn("right_id", wrong)
+
+
+@query(O.li(O.PAIRS, """ed AS (SELECT a_region_id AS left_id, CASE WHEN a_region_id % 97 = 0 THEN a_region_id + 500 WHEN a_region_id % 89 = 0 THEN a_region_id WHEN a_region_id % 83 = 0 THEN a_region_id - a_region_id % 1000 + 2001 ELSE b_region_id END AS right_id, status FROM rl),
+pa AS (SELECT *, least(left_id, right_id) || ':' || greatest(left_id, right_id) AS subject FROM ed),
+iss AS (SELECT 'missing_endpoint' AS issue, e::VARCHAR AS subject FROM (SELECT unnest([left_id, right_id]) AS e FROM ed) WHERE e NOT IN (SELECT region_id FROM li)
+ UNION ALL SELECT 'self_loop', left_id::VARCHAR FROM ed WHERE left_id = right_id UNION ALL SELECT 'duplicate_authoritative_outcome', subject FROM pa GROUP BY subject HAVING count(*) > 1
+ UNION ALL SELECT 'unresolved_candidate', subject FROM pa WHERE status = 'observed_for_hierarchy_validation'
+ UNION ALL SELECT 'cross_page', subject FROM pa JOIN li a ON a.region_id = left_id JOIN li b ON b.region_id = right_id WHERE a.page_number <> b.page_number)""",
+    select="SELECT issue, subject, count(*) AS n FROM iss GROUP BY ALL"))
+def graph_integrity(spark, d):
+    return hierarchy.integrity(_li(spark, d), _edges(spark, d)).groupBy("issue", "subject").agg(F.count("*").alias("n"))
+
+
+@query(O.li("""mp AS (SELECT region_id AS child_id, page_number * 1000 + (src_order % cnt) + 1 AS parent_id FROM (SELECT *, count(*) OVER (PARTITION BY page_number) AS cnt FROM li) WHERE page_number % 50 = 0 AND (src_order % 3 <> 0)),
+wk AS (SELECT child_id AS start_id, parent_id AS at, 1 AS steps FROM mp)""", select="""SELECT region_id, min(steps) AS cycle_length FROM (
+  SELECT m1.child_id AS region_id, 1 AS steps FROM mp m1 WHERE m1.parent_id = m1.child_id
+  UNION ALL SELECT m1.child_id, 2 FROM mp m1 JOIN mp m2 ON m2.child_id = m1.parent_id WHERE m2.parent_id = m1.child_id
+  UNION ALL SELECT m1.child_id, 3 FROM mp m1 JOIN mp m2 ON m2.child_id = m1.parent_id JOIN mp m3 ON m3.child_id = m2.parent_id WHERE m3.parent_id = m1.child_id) GROUP BY region_id"""))
+def hierarchy_cycles(spark, d):
+    """Cycles of a parent map: each region of some pages to the next one of its page."""
+    from pyspark.sql import Window
+
+    r = _li(spark, d).withColumn("cnt", F.count("*").over(Window.partitionBy("page_number"))).where((F.col("page_number") % 50 == 0) & (F.col("src_order") % 3 != 0))
+    m = r.select(F.col("region_id").alias("child_id"), (F.col("page_number") * 1000 + F.col("src_order") % F.col("cnt") + 1).alias("parent_id"))
+    return hierarchy.cycles(spark, m).select("region_id", "cycle_length")
+
+
+# Filters
+
+
+@query(O.doc(rf"""bd AS (SELECT *, {O.HEADER_SIG} AS sig FROM dl WHERE page_number > 1 AND y1 / 1000.0 <= 0.14), rc AS (SELECT doc_id, sig FROM bd WHERE sig <> '' GROUP BY ALL HAVING count(DISTINCT page_number) >= 2)""", select="SELECT region_id, sig AS signature, 'later_page_upper_recurring_header' AS filter_reason FROM bd SEMI JOIN rc USING (doc_id, sig)"))
+def header_recurring(spark, d):
+    return filters.recurring_headers(A.document_regions(spark, d)).select("region_id", "signature", "filter_reason")
+
+
+@query(O.doc(rf"""bd AS (SELECT *, {O.FOOTER_SIG} AS sig FROM dl WHERE y0 / 1000.0 >= 0.88 AND (x1 - x0) / 1000.0 < 0.25 AND (y1 - y0) / 1000.0 < 0.10), rc AS (SELECT doc_id, sig FROM bd WHERE sig <> '' GROUP BY ALL HAVING count(DISTINCT page_number) >= 2)""", select=r"SELECT region_id, sig AS signature, 'repeated_footer_visual_furniture' AS filter_reason FROM bd SEMI JOIN rc USING (doc_id, sig) WHERE NOT regexp_matches(text, '(?i)^(fig|figure|table)\s*\d')"))
+def footer_recurring(spark, d):
+    return filters.recurring_footers(A.document_regions(spark, d)).select("region_id", "signature", "filter_reason")
+
+
+@query(O.li(select="""SELECT region_id, CASE WHEN (x0 + x1) / 2000.0 < 0.06 THEN 'left' ELSE 'right' END || '_side_margin_text_furniture' AS filter_reason FROM li
+  WHERE ((x0 + x1) / 2000.0 < 0.06 OR (x0 + x1) / 2000.0 > 0.94) AND type IN ('Text', 'Footnote', 'Unknown') AND (x1 - x0) / 1000.0 < 0.10 AND ((y1 - y0) / 1000.0 > 0.12 OR (y1 - y0) / 1000.0 < 0.035)"""))
+def side_margin_excluded(spark, d):
+    return filters.side_margins(_li(spark, d)).select("region_id", "filter_reason")
+
+
+@query(O.li(select="SELECT region_id, 'small_edge_figure_page2_plus' AS filter_reason FROM li WHERE page_number > 1 AND type = 'Figure' AND (y1 / 1000.0 <= 0.12 OR y0 / 1000.0 >= 0.90) AND (x1 - x0) / 1000.0 < 0.25 AND (y1 - y0) / 1000.0 < 0.12"))
+def edge_figures_excluded(spark, d):
+    return filters.edge_figures(_li(spark, d)).select("region_id", "filter_reason")
+
+
+_P1 = rf"""ti AS (SELECT doc_id, page_number, y0, y1, row_number() OVER (PARTITION BY page_number ORDER BY type = 'Title' DESC, x1 - x0 DESC, y0, src_order) AS rn FROM hd WHERE y0 / 1000.0 BETWEEN 0.15 AND 0.42 AND type IN ('Title', 'Text') AND len(regexp_extract_all(text, '[^\s\p{{Z}}]+')) >= 3),
+an AS (SELECT page_number, y0, region_id, row_number() OVER (PARTITION BY page_number ORDER BY y0, src_order, region_id) AS rn FROM hd WHERE regexp_matches(trim(text, ' '), '{filters.ANCHOR}') AND y0 / 1000.0 <= 0.7),
+p1 AS (SELECT h.*, t.y0 AS t0, t.y1 AS t1, a.region_id AS aid, COALESCE(a.y0 / 1000.0, 0.44) AS fin FROM hd h LEFT JOIN (SELECT * FROM ti WHERE rn = 1) t ON t.page_number = h.page_number LEFT JOIN (SELECT * FROM an WHERE rn = 1) a ON a.page_number = h.page_number),
+p2 AS (SELECT region_id, CASE WHEN t0 IS NOT NULL AND y1 / 1000.0 < t0 / 1000.0 THEN 'page1_upper_before_title' WHEN t0 IS NOT NULL AND y0 / 1000.0 > t1 / 1000.0 AND y1 / 1000.0 < fin AND (aid IS NULL OR aid <> region_id) THEN 'page1_upper_frontmatter'
+  WHEN y0 / 1000.0 >= 0.68 AND (regexp_matches(text, '{filters.CONTACT}') OR (regexp_matches(text, '{filters.AFFILIATION}') AND len(regexp_extract_all(text, '[^\s\p{{Z}}]+')) < 35)) THEN 'page1_post_abstract_author_metadata' END AS filter_reason FROM p1)"""
+
+
+@query(O.doc(O.HEADINGS, _P1, select="SELECT region_id, filter_reason FROM p2 WHERE filter_reason IS NOT NULL"))
+def page1_rules(spark, d):
+    """Every text counts as a first page here."""
+    return filters.page_one(_headed(spark, d), page=F.lit(True)).select("region_id", "filter_reason")
+
+
+_TAIL = rf"""co AS (SELECT doc_id, max((page_number, y0)) AS c FROM hd WHERE regexp_matches(trim(text, ' '), '{filters.CONCLUSION}') GROUP BY doc_id),
+bk AS (SELECT h.doc_id, min((page_number, y0)) AS b, bool_or(c IS NOT NULL) AS anchored FROM hd h LEFT JOIN co USING (doc_id) WHERE regexp_matches(trim(text, ' '), '{filters.BACK_MATTER}') AND (c IS NULL OR (page_number, y0) > c) GROUP BY h.doc_id)"""
+
+
+@query(O.doc(O.HEADINGS, _TAIL, select="SELECT h.doc_id, bk.b[1] AS boundary_page, bk.b[2] AS boundary_y, CASE WHEN anchored THEN 'conclusion_anchor' ELSE 'direct_backmatter_fallback' END AS method, count(*) AS excluded FROM hd h JOIN bk USING (doc_id) WHERE (page_number, y0) >= b GROUP BY ALL"))
+def tail_boundary(spark, d):
+    return filters.document_tail(_headed(spark, d)).groupBy("doc_id", "boundary_page", "boundary_y", "method").agg(F.count("*").alias("excluded"))
+
+
+_CAT = r"CASE WHEN regexp_matches(n, '(?i)^(references|bibliography)$') THEN 'references' WHEN regexp_matches(n, '(?i)^(acknowledg(e)?ments?)$') THEN 'acknowledgements' WHEN regexp_matches(n, '(?i)^(declarations?|conflict(s)? of interest|competing interests?)$') THEN 'declarations' WHEN regexp_matches(n, '(?i)^(appendix|appendices)(\b|\s+[a-z0-9])') THEN 'appendices' WHEN regexp_matches(n, '(?i)^(supplementary|supporting)\s+(material|information|data)') THEN 'supplementary_sections' END"
+
+
+@query(O.doc(O.HEADINGS, rf"nn AS (SELECT *, rtrim(trim(regexp_replace(text, '[\s\p{{Z}}]+', ' ', 'g')), ':.') AS n FROM hd), ct AS (SELECT *, {_CAT} AS cat FROM nn), sc AS (SELECT region_id, last_value(cat IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY page_number, y0, x0, src_order ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section FROM ct)",
+    select="SELECT section, CASE WHEN section = 'appendices' THEN 'retain' ELSE 'secondary_stream' END AS action, CASE WHEN section IS NULL THEN 'unclassified_tail' ELSE 'content_policy' END AS policy_reason, count(*) AS n, min(region_id) AS first_region FROM sc GROUP BY ALL"))
+def policy_carry_forward(spark, d):
+    p = filters.content_policy(_headed(spark, d), retain=("appendices",))
+    return p.groupBy("section", "action", "policy_reason").agg(F.count("*").alias("n"), F.min("region_id").alias("first_region"))
+
+
+@query(r"""WITH b AS (SELECT regexp_extract_all(html, '<(h1|h2|h3|p|li|td|th|title)[^>]*>([^<]+)', 1) AS tags FROM pages)
+SELECT tag, CASE tag WHEN 'h1' THEN 'Title' WHEN 'h2' THEN 'Section-header' WHEN 'h3' THEN 'Section-header' WHEN 'p' THEN 'Text' WHEN 'li' THEN 'List' WHEN 'td' THEN 'Field-value' WHEN 'th' THEN 'Field-key' ELSE 'Page-header' END AS type, count(*) AS n FROM (SELECT unnest(tags) AS tag FROM b) GROUP BY ALL""")
+def label_map_counts(spark, d):
+    return A.html_blocks(spark, d).groupBy("tag", "type").agg(F.count("*").alias("n"))
+
+
+_REF = r"(?i)^((?:(?:supplementary|supplemental|extended\s+data)\s+)?(fig(?:ure)?\.?|table|tab\.?|equation|eq\.?|algorithm|listing)\s*((?:[A-Z]\s*[.\-]?\s*)?\d+(?:\s*[.\-]\s*\d+)?|[IVXLCDM]+|[A-Z]))(?:\s*[:.\-])?(\s|$)"
+
+
+@query(O.doc(O.HEADINGS, rf"cl AS (SELECT region_id, trim(regexp_replace(translate(text, ' –—', ' --'), '[\s\p{{Z}}]+', ' ', 'g')) AS whole FROM hd), c2 AS (SELECT *, regexp_replace(whole, '^[\s•▪●|_]+', '') AS clean FROM cl), c3 AS (SELECT *, rtrim(lower(regexp_extract(clean, '{_REF}', 2)), '.') AS raw FROM c2)",
+    select=rf"SELECT region_id, CASE raw WHEN 'fig' THEN 'figure' WHEN 'tab' THEN 'table' WHEN 'eq' THEN 'equation' ELSE raw END AS kind, regexp_replace(regexp_extract(clean, '{_REF}', 3), '\s+', '', 'g') AS number, CASE WHEN length(whole) = length(clean) THEN 'leading' ELSE 'near_leading' END AS position FROM c3 WHERE raw <> ''"))
+def caption_reference_parse(spark, d):
+    r = _headed(spark, d).transform(lambda x: fixed(x, reference=T.caption_reference(F.col("text")))).where("reference IS NOT NULL")
+    return r.select("region_id", "reference.kind", "reference.number", "reference.position")
+
+
+@query()
+def front_matter_roles(spark, d):
+    """Roles by scores; the scores' sums of fractions are compared in the tests."""
+    return filters.front_matter_roles(_headed(spark, d)).select("page_number", "region_id", "role", "decision")
+
+
+_SIG = " + ".join(f"bool_or(regexp_matches(text, '{p}'))::INT" for p in filters.SCHOLARLY_SIGNALS)
+
+
+@query(O.doc(O.HEADINGS, select=f"SELECT doc_id, CASE {' '.join(f'''WHEN bool_or(regexp_matches(text, '{p}')) THEN '{n}' ''' for n, p in filters.FAMILY_SIGNALS.items())} WHEN {_SIG} >= 2 THEN 'scholarly' ELSE 'generic' END AS family, {_SIG} AS signals FROM hd GROUP BY doc_id"))
+def document_family(spark, d):
+    return filters.document_families(_headed(spark, d))
+
+
+@query(O.li("""ax AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page_number, src_order, region_id) AS asset_order FROM li WHERE type IN ('Figure', 'Table'))""",
+    select="""SELECT a.region_id, a.type, a.asset_order, COALESCE((SELECT string_agg(n.region_id::VARCHAR, ',' ORDER BY n.region_id) FROM li n WHERE n.page_number = a.page_number AND n.type IN ('Caption', 'Footnote', 'Text') AND abs(n.y0 - a.y1) < 120), '') AS linked FROM ax a"""))
+def post_body_assets(spark, d):
+    return filters.post_body_assets(_li(spark, d)).select("region_id", "type", "asset_order", F.array_join("linked", ",").alias("linked"))
+
+
+@query()
+def metadata_fields(spark, d):
+    from quire.operators import metadata
+
+    return metadata.fields(_headed(spark, d))
+
+
+# Tables
+
+
+_EDGE = f"""eg0 AS (SELECT c.doc_id, c.page_number, c.region_id, t.region_id AS table_id, c.type AS ct, abs(c.src_order - t.src_order) AS steps, c.x0, c.y0, c.x1, c.y1, t.x0 AS tx0, t.y0 AS ty0, t.x1 AS tx1, t.y1 AS ty1,
+  {O._NOV.format(a='c.', b='t.')} AS across, greatest(0.0, least(c.y1, t.y1) - greatest(c.y0, t.y0)) / greatest(1.0, least(c.y1 - c.y0, t.y1 - t.y0)) AS along
+  FROM li c JOIN li t USING (doc_id, page_number) WHERE c.type IN ('Caption', 'Footnote') AND t.type = 'Table'),
+eg1 AS (SELECT *, list_min(list_filter([CASE WHEN across >= 0.18 AND y1 <= ty0 THEN {{'gap': (ty0 - y1) / 1000.0, 'rank': 0, 'side': 'above', 'overlap': across}} END, CASE WHEN across >= 0.18 AND y0 >= ty1 THEN {{'gap': (y0 - ty1) / 1000.0, 'rank': 1, 'side': 'below', 'overlap': across}} END,
+  CASE WHEN along >= 0.18 AND x1 <= tx0 THEN {{'gap': (tx0 - x1) / 1000.0, 'rank': 2, 'side': 'left', 'overlap': along}} END, CASE WHEN along >= 0.18 AND x0 >= tx1 THEN {{'gap': (x0 - tx1) / 1000.0, 'rank': 3, 'side': 'right', 'overlap': along}} END], lambda x: x IS NOT NULL)) AS p FROM eg0),
+eg2 AS (SELECT *, p.gap AS gap, p.side AS side, p.overlap AS overlap, CASE WHEN ct = 'Caption' THEN 'caption' ELSE 'note' END AS role FROM eg1 WHERE p.gap <= 0.1),
+eg3 AS (SELECT *, round(2.4::DOUBLE * (1 - gap / 0.1::DOUBLE) + 1.8::DOUBLE * overlap + 1.5::DOUBLE + CASE WHEN steps <= 2 THEN 1.2::DOUBLE WHEN steps <= 4 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END
+  + CASE WHEN role = 'caption' THEN CASE WHEN side = 'above' THEN 0.8::DOUBLE ELSE -0.4::DOUBLE END ELSE CASE WHEN side = 'below' THEN 0.8::DOUBLE ELSE -1.0::DOUBLE END END + CASE ct WHEN 'Caption' THEN 2.0::DOUBLE ELSE 1.4::DOUBLE END, 6) AS score FROM eg2),
+ed AS (SELECT * FROM eg3 e WHERE score >= 4.5 AND NOT EXISTS (SELECT 1 FROM li k WHERE k.page_number = e.page_number AND k.region_id <> e.table_id AND k.type IN ('Title', 'Section-header', 'Figure', 'Table', 'Formula', 'Code')
+  AND ((e.side = 'above' AND k.y0 >= e.y1 AND k.y1 <= e.ty0) OR (e.side = 'below' AND k.y0 >= e.ty1 AND k.y1 <= e.y0)) AND greatest(0.0, least(k.x1, e.tx1) - greatest(k.x0, e.tx0)) / greatest(1.0, least(k.x1 - k.x0, e.tx1 - e.tx0)) >= 0.18))"""
+_SIDES = """hy AS (SELECT page_number, table_id, side, round(max(score) + 0.0 + least(1.0::DOUBLE, 0.5::DOUBLE * count(*)), 6) AS score, count(*) AS captions FROM ed WHERE role = 'caption' GROUP BY ALL),
+sd AS (SELECT *, round(score - lead(score) OVER w, 6) AS margin, row_number() OVER w AS rn FROM hy WINDOW w AS (PARTITION BY page_number, table_id ORDER BY score DESC, side)),
+si AS (SELECT page_number, table_id, side, captions, score, margin, COALESCE(margin < 0.6, false) AS ambiguous FROM sd WHERE rn = 1)"""
+_OWN = """ow0 AS (SELECT e.* FROM ed e LEFT JOIN (SELECT page_number, table_id, side AS chosen FROM si WHERE NOT ambiguous) s USING (page_number, table_id) WHERE role <> 'caption' OR chosen IS NULL OR side = chosen),
+ow1 AS (SELECT *, row_number() OVER w AS rn, score - lead(score) OVER w AS margin FROM ow0 WINDOW w AS (PARTITION BY page_number, region_id ORDER BY score DESC, table_id)),
+ow AS (SELECT * FROM ow1 WHERE rn = 1 AND (margin IS NULL OR margin >= 0.6))"""
+
+
+@query(O.li(_EDGE, select="SELECT region_id, table_id, role, side, gap, overlap, score FROM ed"))
+def table_seed_edges(spark, d):
+    return tables.seed_edges(_li(spark, d)).select("region_id", "table_id", "role", "side", "gap", "overlap", "score")
+
+
+@query(O.li(_EDGE, _SIDES, select="SELECT table_id, side, captions, score, margin, ambiguous FROM si"))
+def table_side_choice(spark, d):
+    return tables.side_choice(tables.seed_edges(_li(spark, d))).select("table_id", "side", "captions", "score", "margin", "ambiguous")
+
+
+@query(O.li(_EDGE, _SIDES, _OWN, select="SELECT region_id, table_id, role, side, score FROM ow"))
+def table_owners(spark, d):
+    return tables.owners(tables.seed_edges(_li(spark, d))).select("region_id", "table_id", "role", "side", "score")
+
+
+@query(O.li(_EDGE, _SIDES, _OWN, """cm AS (SELECT DISTINCT m.region_id, o.table_id FROM ow o JOIN li m ON m.page_number = o.page_number AND m.type = 'Text' WHERE o.role = 'caption' AND ((m.y0 >= o.y1 AND m.y1 <= o.ty0) OR (m.y0 >= o.ty1 AND m.y1 <= o.y0))
+  AND least(m.x1, o.x1) > greatest(m.x0, o.x0) AND least(m.x1, o.tx1) > greatest(m.x0, o.tx0))""", select="SELECT region_id, min(table_id) AS table_id FROM cm GROUP BY region_id HAVING count(*) = 1"))
+def table_corridor(spark, d):
+    r = _li(spark, d)
+    return tables.corridor(r, tables.owners(tables.seed_edges(r))).select("region_id", "table_id")
+
+
+@query()
+def table_growth(spark, d):
+    r = _li(spark, d)
+    return tables.grown(r, sinks.written(tables.owners(tables.seed_edges(r))), keep=sinks.written).select("region_id", "table_id", "round")
+
+
+@query(O.li(_EDGE, _SIDES, _OWN, """tb AS (SELECT t.region_id AS table_id, count(o.region_id) AS members, least(t.x0, min(m.x0)) AS x0, least(t.y0, min(m.y0)) AS y0, greatest(t.x1, max(m.x1)) AS x1, greatest(t.y1, max(m.y1)) AS y1
+  FROM li t LEFT JOIN ow o ON o.page_number = t.page_number AND o.table_id = t.region_id LEFT JOIN li m ON m.page_number = o.page_number AND m.region_id = o.region_id WHERE t.type = 'Table' GROUP BY t.region_id, t.x0, t.y0, t.x1, t.y1)""", select="SELECT * FROM tb"))
+def logical_tables(spark, d):
+    r = _li(spark, d)
+    t = tables.logical_tables(r, tables.owners(tables.seed_edges(r)))
+    return t.select("table_id", (F.size("captions") + F.size("notes")).alias("members"), "x0", "y0", "x1", "y1")
+
+
+# Snapshots and invariants
+
+
+@query(O.li(select="SELECT doc_id, 'source' AS stage, count(*) AS regions, count(DISTINCT region_id) AS region_ids, count(*) = count(DISTINCT region_id) AS unique_ids, 0::BIGINT AS invalid_geometry, 0::BIGINT AS invalid_pages FROM li GROUP BY doc_id"))
+def stage_snapshot(spark, d):
+    return trace.snapshot("source", _li(spark, d)).select("doc_id", "stage", "regions", "region_ids", "unique_ids", "invalid_geometry", "invalid_pages")
+
+
+@query(O.li(O.SNAP, select="SELECT doc_id, 0::BIGINT AS added, count(*) FILTER (region_id % 7 = 0) AS removed, count(*) FILTER (region_id % 7 <> 0 AND (a.x0, a.y0, a.x1, a.y1) <> (b.x0, b.y0, b.x1, b.y1)) AS moved, count(*) FILTER (region_id % 7 <> 0 AND region_id % 5 = 0 AND a.type <> 'Text') AS retyped FROM li a JOIN sn b USING (doc_id, page_number, region_id) GROUP BY doc_id"))
+def trace_compare(spark, d):
+    r = _li(spark, d)
+    after = A.snapped(r).where("region_id % 7 <> 0").withColumn("type", F.when(F.col("region_id") % 5 == 0, "Text").otherwise(F.col("type")))
+    return trace.compare(r, after)
+
+
+@query(O.li(select="SELECT doc_id, count(*) AS inputs, count(*) FILTER (region_id % 11 = 0) AS lost, 0::BIGINT AS invented, 0::BIGINT AS repeated, count(*) FILTER (region_id % 11 = 0) = 0 AS holds FROM li GROUP BY doc_id"))
+def partition_invariant(spark, d):
+    r = _li(spark, d)
+    out = r.where("region_id % 11 <> 0")
+    return trace.partition(r, out.where("type <> 'Figure'"), out.where("type = 'Figure'"))
+
+
+@query(O.li(select="SELECT region_id, array_to_string(list_filter([CASE WHEN x1 + 200 > 1000 OR y1 > 1000 THEN 'outside_page' END, CASE WHEN score + 0.25::DOUBLE > 1 THEN 'score_out_of_range' END], lambda x: x IS NOT NULL), ',') AS errors FROM li WHERE x1 + 200 > 1000 OR y1 > 1000 OR score + 0.25::DOUBLE > 1"))
+def region_schema_errors(spark, d):
+    """Boxes moved to the right, so that some leave the page."""
+    r = _li(spark, d).withColumn("x1", F.col("x1") + 200).withColumn("score", F.col("score") + 0.25)
+    return trace.schema_errors(r).select("region_id", F.array_join("errors", ",").alias("errors"))
+
+
+@query(O.li(select="SELECT doc_id, count(*) AS regions, count(*) FILTER (x1 + 200 > 1000 OR y1 > 1000) AS changed, sum((least(x1 + 200, 1000) - x0) * (least(y1, 1000) - y0)) AS area FROM li GROUP BY doc_id"))
+def geometry_history(spark, d):
+    """Boxes clipped to the page by an accepted proposal each."""
+    r = trace.initialized(_li(spark, d).withColumn("x1", F.col("x1") + 200))
+    r = trace.change_geometry(r, Box.of().clipped(F.col("page_w"), F.col("page_h")), F.lit(True), "clip", "page bounds")
+    return r.groupBy("doc_id").agg(F.count("*").alias("regions"), F.count_if(F.col("geometry_version") == 2).alias("changed"), F.sum((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).alias("area"))
+
+
+@query(O.li(select="SELECT doc_id, type, count(*) AS n, sum((x1 - x0) * (y1 - y0)) AS area FROM li GROUP BY ALL"))
+def region_type_counts(spark, d):
+    return _li(spark, d).groupBy("doc_id", "type").agg(F.count("*").alias("n"), F.sum(Box.of().area).alias("area"))
+
+
+@query(O.li(select="SELECT doc_id, " + ", ".join(f"count(*) FILTER (type = '{t}') AS {t.lower()}" for t in ("Figure", "Table", "Formula", "Caption", "Footnote", "Text")) + " FROM li GROUP BY doc_id"))
+def page_summary(spark, d):
+    kinds = ["Figure", "Table", "Formula", "Caption", "Footnote", "Text"]
+    p = _li(spark, d).groupBy("doc_id").pivot("type", kinds).agg(F.count(F.lit(1)))
+    return p.select("doc_id", *[F.coalesce(F.col(k), F.lit(0)).alias(k.lower()) for k in kinds])
+
+
+@query(O.li(select="SELECT region_id, least(greatest(x0, 0), 1000)::DOUBLE AS x0, least(greatest(y0, 0), 1000)::DOUBLE AS y0, least(greatest(x1, 0), 1000)::DOUBLE AS x1, least(greatest(y1, 0), 1000)::DOUBLE AS y1, CASE WHEN x1 - x0 >= 2 * (y1 - y0) THEN 0.0 WHEN y1 - y0 >= 2 * (x1 - x0) THEN 90.0 END::DOUBLE AS degrees FROM li"))
+def geometry_scalars(spark, d):
+    from quire.functions.geometry import direction
+
+    b = Box.of().clipped(F.col("page_w"), F.col("page_h"))
+    return _li(spark, d).select("region_id", b.x0.alias("x0"), b.y0.alias("y0"), b.x1.alias("x1"), b.y1.alias("y1"), direction(F.lit(None).cast("double"), F.lit(None).cast("double"), Box.of())["degrees"].alias("degrees"))
+
+
+@query(rf"SELECT doc_id, md5({O._norm('text')}) AS normal_md5, len(list_filter(string_split({O._norm('text')}, ' '), lambda x: x <> '')) AS tokens FROM documents")
+def text_normal_forms(spark, d):
+    t = A.table(spark, d, "documents").select("doc_id", "text")
+    return t.select("doc_id", F.md5(T.normalized(F.col("text")).cast("binary")).alias("normal_md5"), F.size(T.tokens(F.col("text"))).alias("tokens"))
+
+
+# Orders and customers as documents' strata
+
+
+@query("SELECT o_orderkey AS page_number, o_orderstatus AS status, count(l_orderkey) AS regions FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL")
+def page_left_issues(spark, d):
+    o = A.table(spark, d, "orders").select(F.col("o_orderkey").alias("page_number"), F.col("o_orderstatus").alias("status"))
+    n = A.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("page_number")).agg(F.count("*").alias("regions"))
+    return o.join(n, "page_number", "left").select("page_number", "status", F.coalesce("regions", F.lit(0)).alias("regions"))
+
+
+@query("SELECT o_orderkey AS page_number FROM orders ANTI JOIN lineitem ON l_orderkey = o_orderkey")
+def pages_without_regions(spark, d):
+    o = A.table(spark, d, "orders").select(F.col("o_orderkey").alias("page_number"))
+    return o.join(A.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("page_number")), "page_number", "left_anti")
+
+
+@query("SELECT r_name, n_name, count(*) AS pages, count(DISTINCT c_custkey) AS documents FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY ROLLUP (r_name, n_name)")
+def strata_rollup(spark, d):
+    t = lambda n: A.table(spark, d, n)
+    j = t("orders").select("o_custkey").join(t("customer").select("c_custkey", "c_nationkey"), F.col("c_custkey") == F.col("o_custkey")).join(t("nation").select("n_nationkey", "n_name", "n_regionkey"), F.col("n_nationkey") == F.col("c_nationkey")).join(t("region").select("r_regionkey", "r_name"), F.col("r_regionkey") == F.col("n_regionkey"))
+    return j.rollup("r_name", "n_name").agg(F.count("*").alias("pages"), F.countDistinct("c_custkey").alias("documents"))
+
+
+_FAILED = "fl AS (SELECT c_nationkey AS run_id, o_orderkey AS page_number FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 101 = 0), iu AS (SELECT c_nationkey AS run_id, CASE WHEN c_custkey % 700 = 0 THEN 'fatal' WHEN c_custkey % 300 = 0 THEN 'error' ELSE 'warning' END AS severity FROM customer WHERE c_custkey % 100 = 0)"
+
+
+def _failures(spark, d):
+    c = A.table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("run_id"))
+    failed = A.table(spark, d, "orders").where("o_orderkey % 101 = 0").select("o_custkey", F.col("o_orderkey").alias("page_number")).join(c, F.col("c_custkey") == F.col("o_custkey")).select("run_id", "page_number")
+    issues = c.where("c_custkey % 100 = 0").select("run_id", F.when(F.col("c_custkey") % 700 == 0, "fatal").when(F.col("c_custkey") % 300 == 0, "error").otherwise("warning").alias("severity"))
+    return issues, failed
+
+
+@query(f"WITH {_FAILED}, i AS (SELECT run_id, bool_or(severity = 'fatal') AS f, bool_or(severity = 'error') AS e, count(*) AS n FROM iu GROUP BY 1), p AS (SELECT run_id, count(DISTINCT page_number) AS fp FROM fl GROUP BY 1) SELECT COALESCE(i.run_id, p.run_id) AS run_id, COALESCE(fp, 0) AS failed_pages, CASE WHEN COALESCE(f, false) THEN 'failed' WHEN COALESCE(e, false) OR COALESCE(fp, 0) > 0 THEN 'partial' WHEN COALESCE(n, 0) > 0 THEN 'complete_with_warnings' ELSE 'complete' END AS status FROM i FULL JOIN p ON p.run_id = i.run_id")
+def run_statuses(spark, d):
+    return trace.run_status(*_failures(spark, d))
+
+
+@query(f"WITH {_FAILED} SELECT run_id, string_agg(DISTINCT page_number::VARCHAR, ',' ORDER BY page_number::VARCHAR) AS pages FROM fl GROUP BY run_id")
+def retry_plan(spark, d):
+    _, failed = _failures(spark, d)
+    plan = trace.retry_plan(failed.withColumn("config_sha256", F.lit("0")))
+    return plan.select("run_id", F.array_join(F.array_sort(F.transform("pages", lambda x: x.cast("string"))), ",").alias("pages"))
+
+
+@query("SELECT conv_id, count(*) AS turns, sum(length(text)) AS chars, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END)::BIGINT AS user_turns FROM conversations GROUP BY conv_id")
+def turn_sequences(spark, d):
+    return A.turns(spark, d).groupBy("conv_id").agg(F.count("*").alias("turns"), F.sum(F.length("text")).alias("chars"), F.sum(F.when(F.col("role") == "user", 1).otherwise(0)).alias("user_turns"))
+
+
+# Events
+
+
+@query("SELECT event_type AS event, count(*) AS n, count(*) FILTER (value >= 50) AS slow, count(props) AS with_props, count(DISTINCT user_id) AS runs FROM events GROUP BY event_type")
+def event_metrics(spark, d):
+    return E.metrics(A.run_events(spark, d))
+
+
+_WINDOWS = "SELECT date_trunc('day', ts) AS window_start, event_type AS event, count(*) AS n FROM events GROUP BY ALL"
+
+
+@query(_WINDOWS)
+def event_windows(spark, d):
+    return E.windows(E.timed(A.run_events(spark, d)))
+
+
+@query("SELECT run_id, min(ts) AS session_start, count(*) AS n FROM (SELECT user_id AS run_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY run_id, s")
+def event_sessions(spark, d):
+    return E.sessions(E.timed(A.run_events(spark, d)))
+
+
+@query("SELECT event_id, user_id AS run_id, event_type AS event FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS rn FROM events) WHERE rn = 1")
+def event_dedup(spark, d):
+    return E.first_of_each(A.run_events(spark, d)).select("event_id", "run_id", "event")
+
+
+@query("SELECT event_id, (epoch(date_trunc('second', ts))::BIGINT - epoch(date_trunc('second', lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)))::BIGINT) AS since FROM events")
+def event_intervals(spark, d):
+    return E.stages(E.timed(A.run_events(spark, d))).select("event_id", "since")
+
+
+@query(_WINDOWS)
+def event_stream_windows(spark, d):
+    """The windows as a stream, run to the end of what is there, in complete mode."""
+    import uuid
+
+    name = f"quire_windows_{uuid.uuid4().hex}"
+    return E.run_to_end(E.windows(E.stream(spark, f"{d}/events.parquet")), name, f"{sinks.shared_folder(spark)}/streams/{name}")
