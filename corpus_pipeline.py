@@ -6,11 +6,13 @@ of documents. Documents without a text fail the quality rules.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import bpe, minhash, mixing, pii, quality
-from quire.llm.common import DOCUMENT_COLUMNS, table, written
+from quire.llm.common import DOCUMENT_COLUMNS, bitmap, by_bitmap, table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,10 +24,15 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: that with the smallest id. Of rows with one id, the least text stays."""
     docs = docs.select(*DOCUMENT_COLUMNS)
     groups = written(minhash.near_duplicates(docs).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("rows")))
-    out = docs.join(groups.where("NOT kept OR rows > 1").select("doc_id"), "doc_id", "left_anti")
-    again = docs.join(groups.where("kept AND rows > 1").select("doc_id"), "doc_id", "left_semi")
+    # Only rows that a bit map of the ids in question lets through are shuffled for the exact join; the others stay where they are.
+    odd = groups.where("NOT kept OR rows > 1")
+    wanted = bitmap(odd, "doc_id")
+    clear, met = (docs.mapInArrow(partial(by_bitmap, column="doc_id", data=wanted, through=x), docs.schema) for x in (False, True))
+    met = written(met)
+    out = met.join(odd.select("doc_id"), "doc_id", "left_anti").select(*DOCUMENT_COLUMNS)
+    again = met.join(groups.where("kept AND rows > 1").select("doc_id"), "doc_id", "left_semi")
     one = again.groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("x")).select("doc_id", "x.*")
-    return out.select(*DOCUMENT_COLUMNS).unionByName(one)
+    return clear.unionByName(out).unionByName(one)
 
 
 def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

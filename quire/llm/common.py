@@ -104,6 +104,15 @@ class BitmapTest:
         return (self.words[slot >> 6] >> (slot & 63)) & 1 == 1
 
 
+def by_bitmap(batches: Iterator[pa.RecordBatch], column: str, data: bytes, through: bool) -> Iterator[pa.RecordBatch]:
+    """The rows whose long key the map lets through, or the others; null keys are among the others."""
+    test = BitmapTest(data)
+    for b in batches:
+        key = b[column]
+        hit = test(pc.fill_null(key, 0).to_numpy(zero_copy_only=False)) & key.is_valid().to_numpy(zero_copy_only=False)
+        yield b.filter(pa.array(hit == through, pa.bool_()))
+
+
 #: Bytes of text that are worked on together. A longer text is a chunk of its own.
 CHUNK_BYTES = 3 << 19
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import WORD
+from quire.llm.common import WORD, written
 
 #: No source gives more than so many times its own size.
 MOST = 3
@@ -78,7 +78,8 @@ def mix_sources(docs: DataFrame, seed: str = "mix") -> DataFrame:
     names = docs.columns
     d = docs.withColumn("__size", word_count(F.col("text")))
     sizes = docs.select("source", word_count(F.col("text")).alias("size")).groupBy("source").agg(F.sum("size").alias("source_size"))
-    t = source_targets(sizes).select(F.col("source").alias("__source"), (F.col("target") / F.col("source_size")).alias("__rate"))
+    # Written, so that its size is known when the join is planned: a small table is broadcast before any text is shuffled.
+    t = written(source_targets(sizes).select(F.col("source").alias("__source"), F.try_divide("target", "source_size").alias("__rate")))
     rate = F.coalesce("__rate", F.lit(0.0))
     return (
         d.join(t, F.col("source").eqNullSafe(F.col("__source")))

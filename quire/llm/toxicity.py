@@ -151,7 +151,8 @@ def train(texts: list[str], labels: list[int], p: Params = Params()) -> Model:
     docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in tokens(t)], np.int64) for t in texts]
     word_of, flat = gram_rows(list(vocabulary), p)
     order = np.argsort(word_of, kind="stable")
-    word_of, flat = word_of[order], flat[order]
+    word_of, flat = word_of[order].astype(np.int32), flat[order].astype(np.int32)
+    del order
     model = Model((rng.standard_normal((p.rows, p.size)) / p.size).astype(np.float32), (rng.standard_normal((p.size, 2)) / p.size).astype(np.float32), np.zeros(2, np.float32), p)
     counts = np.bincount(word_of, minlength=len(vocabulary))
     begin = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
