@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def array(pixels: bytes, width: int, height: int) -> np.ndarray:
@@ -102,11 +103,11 @@ def bridge(mask: np.ndarray, a, b) -> float:
     return 0.0
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def ink_ratio(pixels: pd.Series, width: pd.Series, height: pd.Series, x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series) -> pd.Series:
     return pd.Series([ink(array(p, w, h), b) for p, w, h, *b in zip(pixels, width, height, x0, y0, x1, y1)])
 
 
-@F.pandas_udf("array<struct<x0:int,y0:int,x1:int,y1:int>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField(c, T.IntegerType()) for c in ("x0", "y0", "x1", "y1")])))
 def ink_components(pixels: pd.Series, width: pd.Series, height: pd.Series, x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series) -> pd.Series:
     return pd.Series([[dict(zip(("x0", "y0", "x1", "y1"), c)) for c in components(array(p, w, h), b)] for p, w, h, *b in zip(pixels, width, height, x0, y0, x1, y1)])
