@@ -92,12 +92,12 @@ def test_columns_split_at_the_largest_gap(spark):
 
 
 def test_tail_starts_behind_the_last_conclusion(spark):
-    r = regions(spark, ("Text", (0, 0, 9, 9), "References"), ("Text", (0, 100, 9, 109), "5 Conclusions"), ("Text", (0, 200, 9, 209), "body"), ("Text", (0, 300, 9, 309), "Acknowledgments"), ("Text", (0, 400, 9, 409), "thanks"), ("Text", (0, 500, 9, 509), None))
+    r = regions(spark, ("Text", (0, 0, 9, 9), "References"), ("Text", (0, 100, 9, 109), "5 Conclusions"), ("Text", (0, 200, 9, 209), "body"), ("Text", (0, 250, 9, 259), "Data availability"), ("Text", (0, 300, 9, 309), "Acknowledgments"), ("Text", (0, 400, 9, 409), "thanks"), ("Text", (0, 500, 9, 509), None))
     b = filters.tail_boundaries(r).collect()
-    assert [(x["boundary_y"], x["method"]) for x in b] == [(300.0, "conclusion_anchor")]
-    assert sorted(x["region_id"] for x in filters.document_tail(r).collect()) == [4, 5, 6]
+    assert [(x["boundary_y"], x["method"]) for x in b] == [(250.0, "conclusion_anchor")]
+    assert sorted(x["region_id"] for x in filters.document_tail(r).collect()) == [4, 5, 6, 7]
     p = {x["region_id"]: (x["section"], x["action"]) for x in filters.content_policy(r, retain=("acknowledgements",)).collect()}
-    assert p[1] == ("references", "secondary_stream") and p[5] == ("acknowledgements", "retain") and p[6][0] == "acknowledgements"
+    assert p[1] == p[4] == ("references", "secondary_stream") and p[6] == ("acknowledgements", "retain") and p[7][0] == "acknowledgements"
 
 
 def test_headers_recur_over_pages(spark):
