@@ -221,8 +221,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = r"""
 WITH d AS (
   SELECT doc_id, COALESCE(text, '') AS text, regexp_extract_all(COALESCE(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), hs AS (
+  SELECT doc_id, list_transform(words, lambda x: hash(x)) AS words FROM d
 ), win AS (
-  SELECT doc_id, i, hash(words[i : i + 4]) AS g FROM d, unnest(range(1, len(words) - 3)) AS t(i)
+  SELECT doc_id, i, hash(words[i : i + 4]) AS g FROM hs, unnest(range(1, len(words) - 3)) AS t(i)
 ), rep AS (
   SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win) WHERE c > 1
 ), cov AS (
@@ -233,7 +235,7 @@ WITH d AS (
   SELECT doc_id, count(*) AS n, sum(chars) AS chars FROM cov JOIN tok USING (doc_id, j) GROUP BY doc_id
 ), far AS (
   SELECT DISTINCT doc_id FROM (
-    SELECT doc_id, count(*) OVER (PARTITION BY doc_id, hash(words[i : i + 40])) AS c FROM d, unnest(range(1, len(words) - 39)) AS t(i)
+    SELECT doc_id, count(*) OVER (PARTITION BY doc_id, hash(words[i : i + 40])) AS c FROM hs, unnest(range(1, len(words) - 39)) AS t(i)
   ) WHERE c > 1
 ), lines AS (
   SELECT doc_id, (count(*) - count(DISTINCT line))::BIGINT AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)
