@@ -34,7 +34,7 @@ class Disclosure:
     min_bits: mutual information that either needs."""
 
     window: int = 6
-    min_texts: int = 5
+    min_texts: int = 3
     min_letters: int = 4
     general: float = 0.6
     remove: float = 0.9
