@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quire.functions import text as T
 from quire.functions.barrier import fixed
 from quire.functions.geometry import Box
-from quire.operators import captions, filters, hierarchy, order, pairs, resolve, tables, trace
+from quire.operators import captions, completion, filters, hierarchy, order, pairs, resolve, tables, trace
 from quire.plans import oracles as O
 from quire.sources import adapters as A
 from quire.sources import sinks
@@ -202,6 +202,22 @@ def equation_crop_limits(spark, d):
     return captions.crop_limits(_li(spark, d)).select("region_id", "x0", "crop_y0", "x1", "crop_y1")
 
 
+_COMP = """pf AS (SELECT *, (src_order * 2 + region_id % 7)::DOUBLE AS assignment, greatest(0.0, least(x0 - 60, 1000.0)) AS cx0, greatest(0.0, least(y0 - 30, 1000.0)) AS cy0, greatest(0.0, least(x1 + 200, 1000.0)) AS cx1, greatest(0.0, least(y1 + 120, 1000.0)) AS cy1 FROM li WHERE type = 'Figure'),
+cp AS (SELECT f.region_id, o.type, greatest(0.0, least(o.x1, f.cx1) - greatest(o.x0, f.cx0)) * greatest(0.0, least(o.y1, f.cy1) - greatest(o.y0, f.cy0)) / ((o.x1 - o.x0) * (o.y1 - o.y0)) AS big, greatest(0.0, least(o.x1, f.x1) - greatest(o.x0, f.x0)) * greatest(0.0, least(o.y1, f.y1) - greatest(o.y0, f.y0)) / ((o.x1 - o.x0) * (o.y1 - o.y0)) AS small
+  FROM pf f JOIN li o ON o.page_number = f.page_number AND o.region_id <> f.region_id),
+cg AS (SELECT region_id, count(*) AS captured, count(*) FILTER (type IN ('Table', 'Formula', 'Caption')) AS barriers, count(*) FILTER (type IN ('Figure', 'Table')) AS competing FROM cp WHERE big >= 0.5 AND small < 0.5 GROUP BY region_id),
+cd AS (SELECT pf.*, COALESCE(captured, 0) AS captured, CASE WHEN assignment < 7 THEN 'ambiguous_visual_evidence' WHEN COALESCE(competing, 0) > 0 THEN 'ambiguous_competing_asset' WHEN COALESCE(barriers, 0) > 0 THEN 'rejected_barrier_crossing'
+  WHEN (cx1 - cx0) * (cy1 - cy0) / ((x1 - x0) * (y1 - y0)) > 4 OR (cx1 - cx0) * (cy1 - cy0) / 1000000.0 > 0.65 THEN 'rejected_excessive_growth' WHEN COALESCE(captured, 0) > 0 THEN 'accepted_with_nested_content' ELSE 'accepted' END AS decision FROM pf LEFT JOIN cg USING (region_id))"""
+
+
+@query(O.li(_COMP, select="SELECT region_id, decision, captured, CASE WHEN decision LIKE 'acc%' THEN cx0 ELSE x0 END AS x0, CASE WHEN decision LIKE 'acc%' THEN cy0 ELSE y0 END AS y0, CASE WHEN decision LIKE 'acc%' THEN cx1 ELSE x1 END AS x1, CASE WHEN decision LIKE 'acc%' THEN cy1 ELSE y1 END AS y1 FROM cd"))
+def figure_completion(spark, d):
+    """Each Figure proposed to grow by fixed margins."""
+    r = _li(spark, d)
+    grown = r.where("type = 'Figure'").selectExpr("doc_id", "page_number", "region_id", "cast(src_order * 2 + region_id % 7 AS double) AS assignment", "x0 - 60 AS n_x0", "y0 - 30 AS n_y0", "x1 + 200 AS n_x1", "y1 + 120 AS n_y1")
+    return completion.decisions(r, grown).select("region_id", "decision", "captured", "x0", "y0", "x1", "y1")
+
+
 # Hierarchy
 
 

@@ -264,3 +264,28 @@ def test_image_kernels(spark):
     df = spark.createDataFrame([(im.tobytes(), 60, 40, 5.0, 5.0, 20.0, 15.0)], "p binary, w int, h int, x0 double, y0 double, x1 double, y1 double")
     r = df.select(images.ink_ratio("p", "w", "h", "x0", "y0", "x1", "y1").alias("r"), images.ink_components("p", "w", "h", F.lit(0.0), F.lit(0.0), F.lit(60.0), F.lit(40.0)).alias("c")).first()
     assert r["r"] == 1.0 and len(r["c"]) == 3
+
+
+def test_command_line_runs_validates_and_compares(spark, tmp_path):
+    from quire.__main__ import main
+
+    place = lambda l, t, r, b: {"page_no": 1, "bbox": {"l": l, "t": t, "r": r, "b": b, "coord_origin": "TOPLEFT"}}
+    doc = {"document_id": "d", "texts": [{"label": "title", "text": "A title here", "prov": [place(5, 20, 95, 23)]}, {"label": "caption", "text": "Figure 1. x", "prov": [place(10, 62, 40, 64)]}], "pictures": [{"label": "chart", "prov": [place(10, 40, 40, 61)]}], "pages": [{"page_number": 1, "page_width_pt": 100, "page_height_pt": 100, "image_width_px": 1000, "image_height_px": 1000}]}
+    (tmp_path / "x.json").write_text(json.dumps(doc))
+    a = str(tmp_path / "a")
+    assert main(["run", str(tmp_path / "x.json"), a], spark) == 0
+    assert main(["validate", a], spark) == 0 and main(["validate", str(tmp_path / "none")], spark) == 7
+    assert main(["compare", a, a], spark) == 0
+    assert main(["run", str(tmp_path / "x.json"), a, "--set", "caption.nope=1"], spark) == 2
+    assert main(["run", str(tmp_path / "missing.json"), a], spark) == 3
+    assert main(["config"]) == 0
+
+
+def test_completion_respects_columns(spark):
+    from quire.operators import completion
+
+    body = "long text " * 10
+    r = regions(spark, ("Figure", (50, 100, 450, 300)), ("Text", (50, 400, 450, 500), body), ("Text", (520, 400, 950, 500), body))
+    p = r.where("type = 'Figure'").selectExpr("doc_id", "page_number", "region_id", "9.0 AS assignment", "50.0 AS n_x0", "100.0 AS n_y0", "800.0 AS n_x1", "300.0 AS n_y1")
+    d = completion.decisions(r, p).first()
+    assert (d["decision"], d["reason"], d["x1"]) == ("rejected_barrier_crossing", "proposal_crosses_column_gutter", 450.0)
