@@ -45,7 +45,7 @@ class _Hashes(dict):
     """Word to 64-bit hash; forgets when it grows."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
