@@ -12,16 +12,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import bpe, minhash, mixing, pii, quality
-from quire.llm.common import DOCUMENT_COLUMNS, bitmap, by_bitmap, table, written
+from quire.llm.common import DOCUMENT_COLUMNS, bitmap, by_bitmap, small_batches, table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the quality rules keep."""
+    small_batches(spark)
     return quality.keep_good(docs.select(*DOCUMENT_COLUMNS))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: that with the smallest id. Of rows with one id, the least text stays."""
+    small_batches(spark)
     docs = docs.select(*DOCUMENT_COLUMNS)
     groups = written(minhash.near_duplicates(docs).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("rows")))
     # Only rows that a bit map of the ids in question lets through are shuffled for the exact join; the others stay where they are.
@@ -37,16 +39,19 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with personal data and what discloses it masked."""
+    small_batches(spark)
     return pii.sanitise_documents(docs.select(*DOCUMENT_COLUMNS))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents in as many copies as their source's target asks for."""
+    small_batches(spark)
     return mixing.mix_sources(docs.select(*DOCUMENT_COLUMNS))
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of every copy."""
+    small_batches(spark)
     import public_tokenizers
 
     return bpe.tokenize(docs, public_tokenizers.path("byte_bpe_50k.json"))

@@ -79,7 +79,7 @@ class Merges:
         """Whether tokens a, b are the encoding of their bytes."""
         got = self._fits.get((a, b))
         if got is None:
-            if len(self._fits) > 500_000:
+            if len(self._fits) > 200_000:
                 self._fits.clear()
             got = self._fits[a, b] = self._apart(self.bytes_of[a], self.bytes_of[b])
         return got
@@ -195,7 +195,7 @@ class Encoder:
     #: Characters of a piece that is kept before it goes through a transducer as it comes.
     HELD = 1024
     #: Pieces of a generation that are remembered, of up to 64 characters.
-    CACHE = 300_000
+    CACHE = 100_000
 
     def __init__(self, merges: Merges, special: bool = True):
         self.m, self.carry, self.open, self.run = merges, "", None, None

@@ -144,7 +144,7 @@ def _hits(text: str, test: BitmapTest, hashes: dict[str, int | None]) -> set[int
             out.add(hashes[w])
         elif w:
             fresh.append(w)
-    if len(hashes) > 300_000:
+    if len(hashes) > 120_000:
         hashes.clear()
     if fresh:
         got = [_hash(term(w)) for w in fresh]
