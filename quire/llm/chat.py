@@ -7,9 +7,10 @@ Grammar of the output, one deterministic parse for every string:
     role         = "User" | "Assistant" | "System" | "Tool" | "=" escaped-name
     body         = text in which every control string ("###" or "</turn>") stands behind one or more backslashes
 
-The parser takes one backslash from in front of each control string in a body, so a text that holds neither is
-its own body. Each turn is rendered plainly, parsed again and compared with its source; where they differ, the
-conflicting content is escaped, and again, until the turn reads back identical.
+Control strings are read from left to right and do not overlap: a backslash and the control string behind it are one
+token, so "\\####" is an escaped "###" and a "#". The parser takes that backslash away, so a text that holds neither
+control string is its own body. Each turn is rendered plainly, parsed again and compared with its source; where they
+differ, the conflicting content is escaped, and again, until the turn reads back identical.
 """
 
 from __future__ import annotations
@@ -24,9 +25,9 @@ from pyspark.sql import functions as F
 
 CONTROL = re.compile(r"###|</turn>")
 _ESCAPED = re.compile(r"\\(###|</turn>)")
-#: A control string in a body that is not behind a backslash ends the body, if it is an end of turn.
 _HEADER = re.compile(r"### (User|Assistant|System|Tool|=(?:[^\\:\n]|\\.)*): ")
-_BODY_END = re.compile(r"(?<!\\)(?:###|</turn>)")
+#: A control string in a body, with its backslash; the first without one ends the body, if it is an end of turn.
+_TOKEN = re.compile(r"\\?(?:###|</turn>)")
 END = "\n</turn>\n"
 NAMES = {"user": "User", "assistant": "Assistant", "system": "System", "tool": "Tool"}
 ROLES = {v: k for k, v in NAMES.items()}
@@ -61,7 +62,7 @@ def parse(out: str) -> Iterator[tuple[str, str, int, int]]:
         head = _HEADER.match(out, at)
         if not head:
             raise ParseError(f"no turn header at {at}")
-        end = _BODY_END.search(out, head.end())
+        end = next((m for m in _TOKEN.finditer(out, head.end()) if m[0][0] != "\\"), None)
         if not end or end[0] != "</turn>" or out[end.start() - 1] != "\n" or end.start() - 1 < head.end() or not out.startswith("\n", end.end()):
             raise ParseError(f"no end of turn after {head.end()}")
         yield _role(head[1]), unescape(out[head.end() : end.start() - 1]), head.end(), end.start() - 1

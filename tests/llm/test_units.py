@@ -146,6 +146,15 @@ def test_chat_round_trip_of_hostile_turns():
         assert [chat.unescape(out[a:b]) for a, b in chat.loss_spans(out)] == [t for r, t in turns if r == "assistant"]
 
 
+@pytest.mark.parametrize("n", range(3, 11))
+def test_chat_runs_of_hashes(n):
+    h = "#" * n
+    for t in (h, f"{h} Heading", f"a\n{h} b\n", "\\" + h, f"\\\\{h}\\", f"{h}</turn>{h}", f"{h}\n</turn>\n{h} User: x"):
+        out = chat.format_conversation([("user", t), ("assistant", t)])
+        assert [(r, x) for r, x, _, _ in chat.parse(out)] == [("user", t), ("assistant", t)]
+        assert len(chat.render_turn("user", t)) == len(t) + len(re.findall("###|</turn>", t)) + 4 + 15
+
+
 def test_chat_plain_text_is_not_escaped():
     assert chat.render_turn("user", "hello \\ there") == "### User: hello \\ there\n</turn>\n"
     with pytest.raises(chat.ParseError):
