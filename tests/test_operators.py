@@ -121,6 +121,26 @@ def test_metadata_values_follow_their_labels(spark):
     assert got == [(1, "keywords", "one, two three", 3), (5, "identifier", "10.1/x", 1)]
 
 
+def test_cycles_of_any_length(spark):
+    ring = lambda a, n: [(a + i, a + (i + 1) % n) for i in range(n)]
+    sizes = {1000: 1, 2000: 2, 3000: 4, 4000: 16, 5000: 17, 6000: 48, 7000: 64}
+    pairs_ = [x for a, n in sizes.items() for x in ring(a, n)]
+    pairs_ += [(5100 + i, 5101 + i) for i in range(40)] + [(5140, 5003)] + [(i, i + 1) for i in range(70)] + [(900, None)]  # into a cycle, and to a root
+    df = lambda rows: spark.createDataFrame(rows, "child_id long, parent_id long")
+    got = {x["region_id"]: x["cycle_length"] for x in hierarchy.cycles(spark, df(pairs_ + pairs_[:3])).collect()}
+    assert got == {a + i: n for a, n in sizes.items() for i in range(n)}
+    assert hierarchy.cycles(spark, df([(1, 2), (2, 3)])).collect() == [] == hierarchy.cycles(spark, df([])).collect()
+    with pytest.raises(ValueError):
+        hierarchy.cycles(spark, df([(1, 2), (1, 3)]))
+
+
+def test_cycles_over_all_pages(spark):
+    r = adapters.lineitem_regions(spark, "/root/testdata/sf0.001").groupBy("page_number").agg(F.count("*").alias("n")).collect()
+    rows = [(x["page_number"] * 1000 + i + 1, x["page_number"] * 1000 + (i + 1) % x["n"] + 1) for x in r for i in range(x["n"])]
+    got = {x["region_id"]: x["cycle_length"] for x in hierarchy.cycles(spark, spark.createDataFrame(rows, "child_id long, parent_id long")).collect()}
+    assert got == {x["page_number"] * 1000 + i + 1: x["n"] for x in r for i in range(x["n"])}
+
+
 def test_tables_grow_by_rounds(spark):
     r = regions(spark, ("Table", (100, 100, 500, 300)), ("Footnote", (100, 305, 500, 315), "Note: a"), ("Text", (100, 318, 500, 328), "b"), ("Text", (100, 340, 500, 350), "c"), ("Text", (100, 700, 500, 710), "far"))
     owned = tables.owners(tables.seed_edges(r))
