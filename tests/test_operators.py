@@ -150,6 +150,15 @@ def test_tables_grow_by_rounds(spark):
     assert t["notes"] == [2] and t["y1"] == 315.0
 
 
+def test_tables_grow_over_long_chains(spark):
+    texts = [("Text", (100, 318 + 12 * i, 500, 328 + 12 * i), "x") for i in range(24)]
+    r = regions(spark, ("Table", (100, 100, 500, 300)), ("Footnote", (100, 305, 500, 315), "Note: a"), *texts)
+    owned = tables.owners(tables.seed_edges(r))
+    narrow = DEFAULT.__class__(table=DEFAULT.table.__class__(fragment_gap_ratio=0.005))
+    got = sorted((x["region_id"], x["table_id"], x["round"]) for x in tables.grown(r, owned, narrow).collect())
+    assert got == [(2, 1, 0), *((3 + i, 1, 1 + i) for i in range(24))]
+
+
 def test_cross_class_policy(spark):
     r = regions(spark, ("Formula", (100, 200, 300, 230), "", 0.95), ("Text", (90, 150, 400, 300), "long text", 0.5))
     p = resolve.cross_class_policy(resolve.formula_text_pairs(pairs.relationships(r))).first()
