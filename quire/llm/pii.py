@@ -9,6 +9,7 @@ are generalised, those beyond a second one removed, wherever they stand.
 from __future__ import annotations
 
 import functools
+import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,7 +32,8 @@ MASKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]",
 class Disclosure:
     """window: words on either side of an entity that co-occur with it. min_texts: distinct texts that must show a pair.
     min_letters: of a term. general, remove: P(entity | term) from which a term is generalised or removed.
-    min_bits: mutual information that either needs."""
+    min_bits: mutual information that either needs in one text; a frequent entity can't give that, so its texts
+    together must give as much beyond chance (see disclosing_terms)."""
 
     window: int = 6
     min_texts: int = 3
@@ -167,6 +169,11 @@ def disclosing_terms(docs: DataFrame, rules: Disclosure = Disclosure()) -> DataF
     Documents are counted with their repeats; the support of a pair counts distinct texts, so that copies of one
     text don't make a pattern. Terms are counted over the whole corpus in a second pass, which lets through what a
     bit map of fixed size holds of the candidates; the join is exact.
+
+    P(entity | term) decides. That it isn't chance, a pair shows by min_bits of mutual information, or by the evidence of
+    all its texts: their number times the divergence of P(entity | term) from P(entity) in bits, which bounds the
+    chance of such a share, must be min_bits more than telling the candidates apart takes. So an entity of any frequency
+    below 1, in a table of any size, can have terms; the less it tells per text, the more texts it takes.
     """
     texts = docs.select("text")
     pairs = texts.select("text", _digest()).mapInArrow(functools.partial(_pairs, rules=rules), "entity long, term long, digest string")
@@ -182,11 +189,16 @@ def disclosing_terms(docs: DataFrame, rules: Disclosure = Disclosure()) -> DataF
     total = counts.where("term IS NULL").agg(F.sum("n_term")).first()[0] or 0
     entities = seen.where("term IS NULL").select("entity", F.col("n_both").alias("n_entity"))
     p = F.col("n_both") / F.col("n_term")
+    everywhere = F.col("n_entity") / F.lit(float(total))
     bits = F.log2(F.lit(float(total)) * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
+    without = F.when(p < 1, (F.col("n_term") - F.col("n_both")) * F.log2((1 - p) / (1 - everywhere))).otherwise(0.0)
+    # Copies of a text are no more evidence than the text.
+    evidence = F.col("texts") / F.col("n_both") * (F.col("n_both") * bits + without)
+    enough = rules.min_bits + math.log2(max(1, candidates.count()))
     return (
         candidates.join(counts.where("term IS NOT NULL"), "term")
         .join(entities, "entity")
-        .where((p >= rules.general) & (bits >= rules.min_bits))
+        .where((p >= rules.general) & ((bits >= rules.min_bits) | ((bits > 0) & (evidence >= enough))))
         .groupBy("term")
         .agg(F.max(p).alias("disclosure"))
         .select("term", F.when(F.col("disclosure") >= rules.remove, "remove").otherwise("general").alias("kind"), "disclosure")

@@ -255,6 +255,17 @@ def test_disclosing_terms_match_brute_force(spark):
         assert {x for x in s if x[0] in pii.KINDS[:4]} == set(spans.personal(texts[r["doc_id"]]))
 
 
+@pytest.mark.parametrize("total, share", [(40, 3), (300, 3), (300, 2), (30, 5)])
+def test_frequent_entities_have_disclosing_terms(spark, total, share):
+    """A contact in a half, a third or a fifth of the documents, in small tables too; common words stay."""
+    rng = random.Random(total)
+    filler = ["lorem", "ipsum", "dolor", "amet"]
+    texts = [" ".join(rng.choice(filler) for _ in range(8)) + f" no{i}" + (" ask Zorblatt at zor@x.com" if i % share == 0 else "") for i in range(total)]
+    docs = make(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)])
+    got = {r["term"]: r["kind"] for r in pii.disclosing_terms(docs).collect()}
+    assert got[pii._hash("zorblatt")] == "remove" and not {pii._hash(w) for w in filler} & set(got)
+
+
 def test_chat_streams_conversations(spark):
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "\\### </turn>"), (1, 1, "assistant", "\\### </turn>"), (2, 5, None, None), (None, None, "assistant", "x"), (3, 2, "assistant", "b"), (3, 1, "user", "a")]
     df = spark.createDataFrame([(*r, "e") for r in rows], "conv_id long, turn long, role string, text string, n_turns string").repartition(3)
