@@ -1,8 +1,8 @@
 """Information-theoretic sanitisation of personal data.
 
 Fixed patterns find protected entities. The corpus then tells which other words give them away: a term's
-disclosure of an entity is P(entity | term), the share of the documents with the term in which it stands near
-the entity, and its pointwise mutual information with the entity. Terms that disclose more than a threshold
+disclosure of an entity is P(entity | term), the share of the documents with the term in which the entity stands
+too, and its pointwise mutual information with the entity. Terms that disclose more than a threshold
 are generalised, those beyond a second one removed, wherever they stand.
 """
 
@@ -30,14 +30,11 @@ MASKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]",
 
 @dataclass(frozen=True)
 class Disclosure:
-    """window: words on either side of an entity that co-occur with it. min_texts: distinct texts that must show a pair.
-    min_letters: of a term. general, remove: P(entity | term) from which a term is generalised or removed.
+    """min_texts: distinct texts that must show a pair. general, remove: P(entity | term) from which a term is generalised or removed.
     min_bits: mutual information that either needs in one text; a frequent entity can't give that, so its texts
     together must give as much beyond chance (see disclosing_terms)."""
 
-    window: int = 6
     min_texts: int = 3
-    min_letters: int = 4
     general: float = 0.6
     remove: float = 0.9
     min_bits: float = 6.0
@@ -57,10 +54,6 @@ def _hash(x: str) -> int:
     return xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def _is_term(x: str, least: int) -> bool:
-    return len(x) >= least and x.isalpha()
-
-
 def words(text: str) -> Iterator[tuple[int, int]]:
     """Spans of the words of a text."""
     for line_start, line in _pieces(text):
@@ -81,41 +74,72 @@ def _pieces(text: str) -> Iterator[tuple[int, str]]:
 _NEWLINES = {ord(c): "\n" for c in SPACES if c != " "}
 
 
-def near(text: str, found: list[S.Span], rules: Disclosure) -> set[tuple[str, str]]:
-    """(entity, term) for the terms within the window of each entity of a text; terms overlapping an entity don't count."""
+def terms_of(text: str, found: list[S.Span]) -> set[str]:
+    """The terms of a text, of any length and kind of sign; words that overlap an entity don't count."""
     spans = list(words(text))
     starts = np.array([a for a, _ in spans], np.int64)
-    out = set()
-    taken = sorted((a, b) for _, a, b in found)
     blocked = np.zeros(len(spans), bool)
-    for a, b in taken:
-        i = int(np.searchsorted(starts, a, "right")) - 1
-        while i < len(spans) and (i < 0 or spans[i][0] < b):
-            if i >= 0 and spans[i][1] > a:
-                blocked[i] = True
+    for _, a, b in found:
+        i = max(0, int(np.searchsorted(starts, a, "right")) - 1)
+        while i < len(spans) and spans[i][0] < b:
+            blocked[i] |= spans[i][1] > a
             i += 1
-    for kind, a, b in found:
-        entity = f"{kind}:{text[a:b].lower()}"
-        i = int(np.searchsorted(starts, a, "left"))
-        j = int(np.searchsorted(starts, b, "left"))
-        for k in [*range(max(0, i - rules.window - 1), i), *range(j, min(len(spans), j + rules.window))]:
-            if not blocked[k] and _is_term(t := term(text[slice(*spans[k])]), rules.min_letters):
-                out.add((entity, t))
-    return out
+    return set(map(term, {text[a:b] for (a, b), no in zip(spans, blocked.tolist()) if not no})) - {""}
+
+
+def entities_of(text: str, found: list[S.Span]) -> set[str]:
+    return {f"{kind}:{text[a:b].lower()}" for kind, a, b in found}
+
+
+def near(text: str, found: list[S.Span], rules: Disclosure) -> set[tuple[str, str]]:
+    """(entity, term) for every entity and every term of a text, wherever they stand."""
+    terms = terms_of(text, found)
+    return {(e, t) for e in entities_of(text, found) for t in terms}
 
 
-def _pairs(batches: Iterator[pa.RecordBatch], rules: Disclosure) -> Iterator[pa.RecordBatch]:
+def _entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """digest, text and hashes of the entities, only of texts that have any."""
     for b in batches:
         rows = []
         for x, digest in zip(b["text"], b["digest"], strict=True):
             text = x.as_py() or ""
             if found := S.personal(text):
-                digest = digest.as_py()
-                entities = {f"{k}:{text[p:q].lower()}" for k, p, q in found}
-                rows += [(_hash(e), None, digest) for e in entities]
-                rows += [(_hash(e), _hash(t), digest) for e, t in near(text, found, rules)]
+                rows.append((digest.as_py(), text, [_hash(e) for e in entities_of(text, found)]))
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string()))], names=["entity", "term", "digest"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.list_(pa.int64())))], names=["digest", "text", "entities"])
+
+
+#: Pairs that a task sums before it hands them on.
+_HELD = 200_000
+
+
+def _pairs(batches: Iterator[pa.RecordBatch], wanted: bytes) -> Iterator[pa.RecordBatch]:
+    """Documents and distinct texts by pair, for entities in the bit map, summed over up to _HELD pairs of a task."""
+    test, docs, texts = BitmapTest(wanted), Counter(), Counter()
+
+    def out():
+        keys = list(docs)
+        columns = [[e for e, _ in keys], [t for _, t in keys], [docs[k] for k in keys], [texts[k] for k in keys]]
+        batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["entity", "term", "n_both", "texts"])
+        docs.clear()
+        texts.clear()
+        return batch
+
+    for b in batches:
+        for x, hashes, copies in zip(b["text"], b["entities"], b["copies"].to_pylist(), strict=True):
+            hashes = np.array(hashes.as_py(), np.int64)
+            if not (hashes := hashes[test(hashes)].tolist()):
+                continue
+            text = x.as_py()
+            terms = list(map(_hash, terms_of(text, S.personal(text))))
+            for e in hashes:
+                for t in terms:
+                    docs[e, t] += copies
+                    texts[e, t] += 1
+                if len(docs) > _HELD:
+                    yield out()
+    if docs:
+        yield out()
 
 
 def _counts(batches: Iterator[pa.RecordBatch], wanted: bytes) -> Iterator[pa.RecordBatch]:
@@ -166,7 +190,7 @@ def _digest():
 def disclosing_terms(docs: DataFrame, rules: Disclosure = Disclosure()) -> DataFrame:
     """term (a hash), kind ('general' or 'remove'), disclosure: the terms of docs (text) that give an entity away.
 
-    Documents are counted with their repeats; the support of a pair counts distinct texts, so that copies of one
+    Every term of a document co-occurs with every entity of it. Documents are counted with their repeats; the support of a pair counts distinct texts, so that copies of one
     text don't make a pattern. Terms are counted over the whole corpus in a second pass, which lets through what a
     bit map of fixed size holds of the candidates; the join is exact.
 
@@ -176,18 +200,19 @@ def disclosing_terms(docs: DataFrame, rules: Disclosure = Disclosure()) -> DataF
     below 1, in a table of any size, can have terms; the less it tells per text, the more texts it takes.
     """
     texts = docs.select("text")
-    pairs = texts.select("text", _digest()).mapInArrow(functools.partial(_pairs, rules=rules), "entity long, term long, digest string")
-    by_text = pairs.groupBy("entity", "term", "digest").agg(F.count("*").alias("n"))
-    seen = by_text.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("texts")).where(F.col("texts") >= rules.min_texts)
-    seen = written(seen)
-    candidates = seen.where("term IS NOT NULL")
+    having = texts.select("text", _digest()).mapInArrow(_entities, "digest string, text string, entities array<long>")
+    having = written(having.groupBy("digest").agg(F.first("text").alias("text"), F.first("entities").alias("entities"), F.count("*").alias("copies")))
+    # A pair is in no more texts than its entity.
+    entities = having.select(F.explode("entities").alias("entity"), "copies").groupBy("entity").agg(F.sum("copies").alias("n_entity"), F.count("*").alias("texts"))
+    entities = written(entities.where(F.col("texts") >= rules.min_texts).drop("texts"))
+    pairs = having.select("text", "entities", "copies").mapInArrow(functools.partial(_pairs, wanted=bitmap(entities, "entity")), "entity long, term long, n_both long, texts long")
+    candidates = written(pairs.groupBy("entity", "term").agg(F.sum("n_both").alias("n_both"), F.sum("texts").alias("texts")).where(F.col("texts") >= rules.min_texts))
     wanted = bitmap(candidates.select("term").distinct(), "term")
     if not any(wanted):
         return candidates.select("term", F.lit("general").alias("kind"), F.lit(0.0).alias("disclosure")).where(F.lit(False))
     counts = texts.mapInArrow(functools.partial(_counts, wanted=wanted), "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
     counts = written(counts)
     total = counts.where("term IS NULL").agg(F.sum("n_term")).first()[0] or 0
-    entities = seen.where("term IS NULL").select("entity", F.col("n_both").alias("n_entity"))
     p = F.col("n_both") / F.col("n_term")
     everywhere = F.col("n_entity") / F.lit(float(total))
     bits = F.log2(F.lit(float(total)) * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))

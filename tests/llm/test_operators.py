@@ -266,6 +266,18 @@ def test_frequent_entities_have_disclosing_terms(spark, total, share):
     assert got[pii._hash("zorblatt")] == "remove" and not {pii._hash(w) for w in filler} & set(got)
 
 
+def test_any_term_of_a_document_may_disclose(spark):
+    """Short names, apostrophes, hyphens, digits, and far from the entity, on another line."""
+    names = ["Kim", "O'Brien", "Anne-Marie", "user_77", "48213", "李"]
+    filler = "lorem ipsum dolor amet " * 10
+    texts = [f"{names[i % 6]}, {filler}\n{filler} no{i} p{i % 6}@x.com" if i % 5 == 0 else f"{filler} no{i}" for i in range(600)]
+    docs = make(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)])
+    got = {r["term"]: r["kind"] for r in pii.disclosing_terms(docs).collect()}
+    assert got == {pii._hash(n.lower()): "remove" for n in names}
+    out = [r["text"] for r in pii.sanitise_documents(docs).collect()]
+    assert not any(n in t for n in names for t in out)
+
+
 def test_chat_streams_conversations(spark):
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "\\### </turn>"), (1, 1, "assistant", "\\### </turn>"), (2, 5, None, None), (None, None, "assistant", "x"), (3, 2, "assistant", "b"), (3, 1, "user", "a")]
     df = spark.createDataFrame([(*r, "e") for r in rows], "conv_id long, turn long, role string, text string, n_turns string").repartition(3)
