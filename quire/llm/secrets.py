@@ -30,8 +30,9 @@ WALKS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqr
 # Digits and signs that stand for letters.
 LEET = str.maketrans("013457@$!", "oleastasi")
 _STEMS = ("pass", "pwd", "secret", "token", "key", "credential", "login", "pin")
+#: A quoted value goes to its closing quote on the line, any other to white space.
 _CONTEXT = re.compile(
-    r"""(?<![A-Za-z])(?:pass(?:word|wd|phrase|code)?|pwd|secret|(?:api|access|auth|private|secret)[_ -]?(?:key|token)|token|credentials?|login|pin)(?:["']|\b) {0,8}(?::|=>?|->|\bis\b) {0,8}["'`]?([^\s"'`<>,;]{6,})""",
+    r"""(?<![A-Za-z])(?:pass(?:word|wd|phrase|code)?|pwd|secret|(?:api|access|auth|private|secret)[_ -]?(?:key|token)|token|credentials?|login|pin)(?:["']|\b)[ \t]*+(?::|=>?|->|\bis\b)[ \t]*+(?:"((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)'|`((?:[^`\\\n]|\\.)*+)`|["'`]?(\S{6,}))""",
     re.IGNORECASE | re.ASCII,
 )
 _DATE = re.compile(r"(?:19|20)[0-9]{2}[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12][0-9]|3[01])|(?:0?[1-9]|[12][0-9]|3[01])[-/.]?(?:0?[1-9]|1[0-2])[-/.]?(?:19|20)[0-9]{2}|(?:19|20)[0-9]{2}")
@@ -125,9 +126,10 @@ def guessed(text: str, ranks: dict[str, int], min_bits: float = MIN_BITS) -> lis
         return []
     out = []
     for m in _CONTEXT.finditer(text):
-        value = m[1].rstrip(".)]}!?")
+        k = m.lastindex
+        value = m[k] if k < 4 else m[k].rstrip(".)]}!?,;\"'`<>")
         if len(value) >= 6 and guess_bits(value, ranks)[0] >= min_bits:
-            out.append(("guess", m.start(1), m.start(1) + len(value)))
+            out.append(("guess", m.start(k), m.start(k) + len(value)))
     return out
 
 

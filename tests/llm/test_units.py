@@ -101,6 +101,28 @@ def test_secrets_are_found_beyond_the_patterns():
     assert [t[a:b] for _, a, b in secrets.guessed(t, ranks)] == ["x9#kQ2!vLp"]
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ('passphrase: "correct horse battery staple" ok', "correct horse battery staple"),
+        ("password: Tr!0ub4,dor&3;xY next", "Tr!0ub4,dor&3;xY"),
+        ("password          =          S3cr!t$x9Qz", "S3cr!t$x9Qz"),
+        ("password:\tS3cr!t$x9Qz", "S3cr!t$x9Qz"),
+        ("{'password': 'S3cr!t $x9Qz', 'user': 'bob'}", "S3cr!t $x9Qz"),
+        ('password: "S3cr!t$x9Qz', "S3cr!t$x9Qz"),
+        ("login is x9#kQ2!vLp, then", "x9#kQ2!vLp"),
+    ],
+)
+def test_secrets_are_whole_values(text, want):
+    assert [text[a:b] for _, a, b in secrets.guessed(text, secrets.word_ranks(VOCABULARY))] == [want]
+
+
+def test_secret_contexts_take_linear_time():
+    ranks = secrets.word_ranks(VOCABULARY)
+    for t in ("password" + " " * 200_000, "password:" + "\t" * 200_000, 'password: "' + "\\" * 5000, "pin:" * 5000):
+        secrets.guessed(t, ranks)
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_bpe_equals_the_library(seed):
     rng, library, encoder = random.Random(seed), Tokenizer.from_file(VOCABULARY), bpe._encoder(open(VOCABULARY).read())
