@@ -85,23 +85,28 @@ def _sweep() -> None:
             _delete(spark, path)
 
 
-#: Bits of a bit map: 1 MB, whatever the input. With more keys it lets more through, never fewer.
-BITMAP_BITS = 1 << 23
+#: Bits of a bit map for each key, and the least and most of one: 8 kB to 32 MB. With more keys than that it lets more
+#: through, never fewer, and every use of one is followed by an exact join or count.
+BITS_A_KEY, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 28
 
 
-def bitmap(hashes: DataFrame, column: str, bits: int = BITMAP_BITS) -> bytes:
-    """A one-hash Bloom filter over a long column. At most bits / 64 rows reach the driver."""
+def bitmap(hashes: DataFrame, column: str, keys: int | None = None) -> bytes:
+    """A one-hash Bloom filter over a long column, sized by the number of keys (counted if not given).
+
+    Words of 64 bits reach the driver as Arrow batches, at most MOST_BITS / 64 of them.
+    """
+    keys = hashes.count() if keys is None else keys
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_A_KEY * max(1, keys) - 1).bit_length()))
     slot = F.pmod(F.col(column), F.lit(bits))
-    word = F.shiftright(slot, 6).cast("int")
     rows = (
         hashes.where(F.col(column).isNotNull())
-        .select(word.alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int")).alias("b"))
+        .select(F.shiftright(slot, 6).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int")).alias("b"))
         .groupBy("w")
         .agg(F.bit_or("b").alias("b"))
+        .toArrow()
     )
     out = np.zeros(bits // 64, np.int64)
-    for r in rows.toLocalIterator():
-        out[r["w"]] = r["b"]
+    out[rows["w"].to_numpy()] = rows["b"].to_numpy()
     return out.tobytes()
 
 
@@ -117,6 +122,32 @@ class BitmapTest:
         return (self.words[slot >> 6] >> (slot & 63)) & 1 == 1
 
 
+class Levels:
+    """How frequent hashes are, by bit maps of those that occur `steps` times or more: 0 below the first step.
+
+    A map may let more through, the same for every task; so the levels order hashes alike everywhere.
+    """
+
+    def __init__(self, counts: DataFrame, column: str, steps: tuple[int, ...] = (2, 5, 20, 100, 1000)):
+        """counts: column and `c`, its number of occurrences."""
+        self.maps = []
+        for step in steps:
+            some = counts.where(F.col("c") >= step)
+            keys = some.count()
+            if not keys and self.maps:
+                break
+            self.maps.append(bitmap(some, column, keys))
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        tests = [BitmapTest(m)(hashes) for m in self.maps]
+        return np.where(tests[0], np.sum(tests, axis=0), 0)
+
+
+def narrowed(df: DataFrame, column: str, data: bytes) -> DataFrame:
+    """The rows of df whose long key the bit map lets through; nothing is shuffled."""
+    return df.mapInArrow(functools.partial(by_bitmap, column=column, data=data, through=True), df.schema)
+
+
 def by_bitmap(batches: Iterator[pa.RecordBatch], column: str, data: bytes, through: bool) -> Iterator[pa.RecordBatch]:
     """The rows whose long key the map lets through, or the others; null keys are among the others."""
     test = BitmapTest(data)

@@ -4,11 +4,12 @@ A document's sketch is the k least hashes of its shingles. Inverted lists of ret
 together, the sketch of the union estimates their similarity, and full sets decide it.
 
 No list is expanded into all its pairs. (1) Equal sets are one class from the start. (2) Sketches that share
-`t` values share one among their `shared - t + 1` rarest, so only those are listed; a passage that many documents
-share is not among them. (3) Each list ties its members to its most central one; what that links needs no more
-pairs within. (4) Pairs that are left stand in one list but in two components. Two sets that link share 3/7 of the
-sum of their sizes (at 75 percent); members of which all others together share less are out, and of the rest only those
-outside a list's largest component are paired.
+`t` values share one among the first `shared - t + 1` of any one order of values, so only those are listed, the rarest
+first; a passage that many documents share is not among them. (3) Each list ties its members to its most central one;
+what that links needs no more pairs within. (4) What stands in one list but in two components is compared by its full
+sets in the same way: of the shingles that another such document has too, the rarest `shared - t + 1` are listed, and two
+documents of different components meet in a list only if what is left of both behind that place can still reach the
+similarity. Sets that link share 75 percent of the larger one at least.
 """
 
 from __future__ import annotations
@@ -20,25 +21,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import LOWER_ASCII, BitmapTest, bitmap, connected_components, discard, written
+from quire.llm.common import LOWER_ASCII, BitmapTest, Levels, bitmap, connected_components, discard, narrowed, written
 
 
 @dataclass(frozen=True)
 class Sketching:
     """words: of a shingle. percent: of similarity that links. k: values of a sketch. least: shared values of two full
-    sketches at that similarity, but for one pair in 10 to the 8th (a binomial's 5.7 deviations). wide_k, wide_least: the
-    same of the sketches by which pairs are told apart that the lists leave open."""
+    sketches at that similarity, but for one pair in 10 to the 8th (a binomial's 5.7 deviations)."""
 
     words: int = 5
     percent: int = 75
     k: int = 64
     least: int = 28
-    wide_k: int = 256
-    wide_least: int = 152
 
 
 class _Hashes(dict):
@@ -87,22 +86,68 @@ def _sketches(batches: Iterator[pa.RecordBatch], p: Sketching) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(sketch, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "digest", "sketch"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch], p: Sketching, wanted: bytes) -> Iterator[pa.RecordBatch]:
-    """Full sets of the documents that the bit map of ids lets through."""
-    hashes, test = _Hashes(), BitmapTest(wanted)
+def _sets(batches: Iterator[pa.RecordBatch], p: Sketching, wanted: bytes, repeated: bytes | None, through: bool) -> Iterator[pa.RecordBatch]:
+    """Full sets of the documents whose ids `wanted` lets through, and `repeated` does (through) or doesn't."""
+    hashes, test, again = _Hashes(), BitmapTest(wanted), repeated and BitmapTest(repeated)
     for b in batches:
         b = b.filter(b["doc_id"].is_valid())
-        b = b.filter(pa.array(test(b["doc_id"].to_numpy()), pa.bool_()))
+        ids = b["doc_id"].to_numpy()
+        b = b.filter(pa.array(test(ids) & (again(ids) == through) if again else test(ids), pa.bool_()))
         for at in range(0, b.num_rows, 256):
             part = b.slice(at, 256)
             sets = [shingle_set(x.as_py(), hashes, p.words) for x in part["text"]]
-            yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array([_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.list_(pa.int64()))], names=["rep", "digest", "set"])
+            yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(sets, pa.list_(pa.int64()))], names=["rep", "set"])
 
 
-def _least(p: Sketching):
-    """Values that a sketch must share with any sketch of a similar set: exact for sets that are kept whole, with every partner's."""
-    whole = F.ceil(F.col("n") * p.percent / 100).cast("int")
-    return F.least(whole, F.lit(p.least))
+def _full_sets(docs: DataFrame, repeated: DataFrame, wanted: bytes, p: Sketching) -> DataFrame:
+    """rep, set: the sets of the documents that the bit map of ids lets through, equal ones of one id once."""
+
+    def of(repeated: bytes | None, through: bool) -> DataFrame:
+        return docs.mapInArrow(functools.partial(_sets, p=p, wanted=wanted, repeated=repeated, through=through), "rep long, set array<long>")
+
+    repeated = bitmap(narrowed(repeated, "doc_id", wanted), "doc_id")
+    if not any(repeated):
+        return written(of(None, True))
+    return written(of(repeated, False).unionByName(of(repeated, True).distinct()))
+
+
+def rare_first(lists: pa.ListArray, levels: Levels, least: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Which values of each list are to be listed: row, value, place, and for each row how many it shares.
+
+    Of the values that have a level, the first `shared - least + 1` by level and value; place counts from 1.
+    """
+    row = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+    value = lists.flatten().to_numpy(zero_copy_only=False)
+    level = levels(value)
+    some = level > 0
+    row, value, level = row[some], value[some], level[some]
+    shared = np.bincount(row, minlength=len(lists))
+    order = np.lexsort((value, level, row))
+    row, value = row[order], value[order]
+    place = np.arange(len(row)) - (np.cumsum(shared) - shared)[row] + 1
+    take = place <= (shared - least + 1)[row]
+    return row[take], value[take], place[take], shared
+
+
+def _listed(batches: Iterator[pa.RecordBatch], p: Sketching, levels: Levels) -> Iterator[pa.RecordBatch]:
+    """v, rep, central: the values under which a sketch is listed, and how many values it shares."""
+    for b in batches:
+        n = b["n"].to_numpy()
+        # Values that a sketch must share with any sketch of a similar set: exact for sets that are kept whole.
+        least = np.minimum(-(-n * p.percent // 100), p.least)
+        row, value, _, shared = rare_first(b["sketch"], levels, least)
+        yield pa.RecordBatch.from_arrays([pa.array(value), b["rep"].take(pa.array(row)), pa.array(shared[row])], names=["v", "rep", "central"])
+
+
+def _placed(batches: Iterator[pa.RecordBatch], p: Sketching, levels: Levels) -> Iterator[pa.RecordBatch]:
+    """s, rep, n, met, place: the shingles under which a full set is listed, and how many it shares."""
+    for b in batches:
+        for at in range(0, b.num_rows, 256):
+            part = b.slice(at, 256)
+            n = pc.list_value_length(part["set"]).to_numpy(zero_copy_only=False).astype(np.int64)
+            row, value, place, met = rare_first(part["set"], levels, -(-n * p.percent // 100))
+            columns = [pa.array(value), part["rep"].take(pa.array(row)), pa.array(n[row]), pa.array(met[row]), pa.array(place)]
+            yield pa.RecordBatch.from_arrays(columns, names=["s", "rep", "n", "met", "place"])
 
 
 def _estimated(a, b, k: int):
@@ -111,19 +156,27 @@ def _estimated(a, b, k: int):
     return F.size(F.array_intersect(F.array_intersect(a, b), union))
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, sets: DataFrame, p: Sketching) -> DataFrame:
-    """pairs: digests a, b. Those whose full sets are similar enough, as documents a, b."""
+def _ends(pairs: DataFrame) -> bytes:
+    """A bit map of the ids in a written table of pairs."""
+    return bitmap(pairs.select(F.explode(F.array("a", "b")).alias("rep")), "rep", 2 * pairs.count())
+
 
-    def side(x: DataFrame, of: str, column: str) -> DataFrame:
-        return x.select(F.col("digest").alias(of), F.col("rep").alias(f"rep_{of}"), F.col("n").alias(f"n_{of}"), F.col(column).alias(f"{column}_{of}"))
+def _verified(pairs: DataFrame, sets: DataFrame, p: Sketching) -> DataFrame:
+    """pairs: ids a, b (written). Those whose sketches may, and full sets do, reach the similarity."""
 
-    known = pairs.join(side(reps, "a", "sketch"), "a").join(side(reps, "b", "sketch"), "b")
+    def side(x: DataFrame, of: str, *columns) -> DataFrame:
+        return x.select(F.col("rep").alias(of), F.size("set").alias(f"n_{of}"), *[c.alias(f"set_{of}") for c in columns])
+
+    sets = narrowed(sets, "rep", _ends(pairs))
+    sketch = F.slice("set", 1, p.k)
+    known = pairs.join(side(sets, "a", sketch), "a").join(side(sets, "b", sketch), "b")
     least = F.least(F.ceil(F.greatest("n_a", "n_b") * p.percent / 100), F.lit(p.least))
-    likely = known.where((100 * F.least("n_a", "n_b") >= p.percent * F.greatest("n_a", "n_b")) & (_estimated(F.col("sketch_a"), F.col("sketch_b"), p.k) >= least)).select("a", "b")
+    likely = known.where((100 * F.least("n_a", "n_b") >= p.percent * F.greatest("n_a", "n_b")) & (_estimated(F.col("set_a"), F.col("set_b"), p.k) >= least)).select("a", "b")
     likely = written(likely)
-    both = likely.join(side(sets, "a", "set"), "a").join(side(sets, "b", "set"), "b")
+    sets = narrowed(sets, "rep", _ends(likely))
+    both = likely.join(side(sets, "a", F.col("set")), "a").join(side(sets, "b", F.col("set")), "b")
     shared = F.size(F.array_intersect("set_a", "set_b")).cast("long")
-    found = written(both.withColumn("shared", shared).where(100 * F.col("shared") >= p.percent * (F.col("n_a") + F.col("n_b") - F.col("shared"))).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")))
+    found = written(both.withColumn("shared", shared).where(100 * F.col("shared") >= p.percent * (F.col("n_a") + F.col("n_b") - F.col("shared"))).select("a", "b"))
     discard(likely)
     return found
 
@@ -132,76 +185,91 @@ def near_duplicates(docs: DataFrame, p: Sketching = Sketching()) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of docs (doc_id, text; others are left out).
 
     Texts without words (null, empty) have an empty set, link with nothing and are kept. Rows with equal ids count as
-    one document; a null id links with nothing, has a null component and is kept. Ties don't occur: the
-    smallest id of a component is kept. No rows give no rows.
+    one document, which links what any of its texts links; a null id links with nothing, has a null component and is
+    kept. Ties don't occur: the smallest id of a component is kept. No rows give no rows.
     """
     docs = docs.selectExpr("cast(doc_id as long) AS doc_id", "text")
     table = written(docs.mapInArrow(functools.partial(_sketches, p=p), "doc_id long, n_shingles long, digest binary, sketch array<long>"))
     one = F.min(F.struct("doc_id", "n_shingles", "sketch")).alias("x")
     reps = written(table.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(one).select("digest", F.col("x.doc_id").alias("rep"), F.col("x.n_shingles").alias("n"), F.col("x.sketch").alias("sketch")))
+    ids = written(table.drop("sketch"))
+    discard(table)
 
-    # Shared values, and of each sketch the rarest that must hold one of a partner's.
-    values = reps.select("digest", "rep", "n", F.explode("sketch").alias("v"))
-    frequent = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
-    shared = values.join(frequent, "v").groupBy("digest", "rep", "n").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"))
-    prefix = (
-        shared.withColumn("spare", F.size("vs") - _least(p) + 1)
-        .where("spare > 0")
-        .select("digest", "rep", "n", F.size("vs").alias("central"), F.expr("transform(slice(vs, 1, spare), x -> x.v)").alias("prefix"))
-    )
-    prefix = written(prefix)
-    listed = prefix.select("digest", "rep", "n", "central", "prefix", F.explode("prefix").alias("v"))
+    # Values that two sketches hold, and under the rarest of them the sketches.
+    frequent = written(reps.select(F.explode("sketch").alias("v")).groupBy("v").agg(F.count("*").alias("c")).where("c > 1"))
+    listed = written(reps.mapInArrow(functools.partial(_listed, p=p, levels=Levels(frequent, "v")), "v long, rep long, central long"))
+    classes = written(reps.select("digest", "rep"))
+    discard(reps, frequent)
 
     # Each list's members with its most central one: the least changed copy holds the most shared values.
-    heads = listed.groupBy("v").agg(F.max(F.struct("central", F.col("digest").alias("digest"))).alias("head"), F.count("*").alias("members")).where("members > 1").select("v", F.col("head.digest").alias("b"))
-    star = listed.select("v", F.col("digest").alias("a")).join(heads, "v").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    heads = listed.groupBy("v").agg(F.max(F.struct("central", "rep")).alias("head"), F.count("*").alias("members")).where("members > 1").select("v", F.col("head.rep").alias("b"))
+    star = listed.select("v", F.col("rep").alias("a")).join(heads, "v").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     star = written(star)
-    candidates = written(star.select(F.explode(F.array("a", "b")).alias("digest")).distinct().join(prefix.select("digest", "rep", "n"), "digest"))
-    wanted = bitmap(candidates.select("rep"), "rep")
-    sets = docs.mapInArrow(functools.partial(_sets, p=p, wanted=wanted), "rep long, digest binary, set array<long>")
-    sets = written(sets.join(candidates, ["digest", "rep"]).groupBy("digest", "rep", "n").agg(F.first("set").alias("set")))
-    edges = _verified(star, reps, sets, p)
-    discard(star)
+    repeated = written(ids.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    sets = _full_sets(docs, repeated, _ends(star), p)
+    edges = _verified(star, sets, p)
+    if not repeated.isEmpty():  # the texts of one id are one document
+        same = ids.join(repeated, "doc_id").join(classes, "digest").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b")
+        edges = written(edges.unionByName(same.distinct()))
+    discard(star, repeated)
 
     component = written(connected_components(edges).withColumnRenamed("node", "rep"))
-    rest = _rest(prefix, sets, component, p)
-    more = _verified(rest, reps, sets, p)
+    rest = _rest(listed, sets, component, p)
+    discard(listed)
+    more = _verified(rest, sets, p)
+    discard(rest, sets)
     if not more.isEmpty():
-        component = connected_components(edges.unionByName(more)).withColumnRenamed("node", "rep")
-    ends = reps.select("digest", "rep").join(component, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    return table.drop("sketch").join(ends, "digest", "left").select(
-        "doc_id",
-        "n_shingles",
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"),
-        (F.col("doc_id").isNull() | (F.col("doc_id") == F.coalesce("component", "doc_id"))).alias("kept"),
+        before, component = component, written(connected_components(edges.unionByName(more)).withColumnRenamed("node", "rep"))
+        discard(before)
+    discard(edges, more)
+    ends = classes.join(component, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
+    # Rows without a digest stay out of the join: they would all meet under one null key.
+    found = ids.where("digest IS NOT NULL").join(ends, "digest", "left").unionByName(ids.where("digest IS NULL").withColumn("component", F.lit(None).cast("long")))
+    out = written(
+        found.select(
+            "doc_id",
+            "n_shingles",
+            F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"),
+            (F.col("doc_id").isNull() | (F.col("doc_id") == F.coalesce("component", "doc_id"))).alias("kept"),
+        )
     )
-
-
-def _rest(prefix: DataFrame, sets: DataFrame, component: DataFrame, p: Sketching) -> DataFrame:
-    """Pairs a, b of digests that stand in one list but not in one component and that their sizes and shared shingles allow."""
-    placed = prefix.join(component, "rep", "left").select("digest", "n", "prefix", F.coalesce("component", "rep").alias("component"))
-    listed = placed.select("digest", "n", "prefix", "component", F.explode("prefix").alias("v"))
-    counts = listed.groupBy("v", "component").agg(F.count("*").alias("c"), F.min("n").alias("n"))
-    lists = written(counts.groupBy("v").agg(F.max(F.struct("c", "component")).alias("top"), F.min("n").alias("smallest"), F.count("*").alias("parts")).where("parts > 1").select("v", F.col("top.component").alias("top"), "smallest"))
-    opened = written(listed.join(lists, "v"))
-    # Shingles that another document of an open list has too; more than what any one partner shares.
-    every = opened.select("digest").distinct().join(sets, "digest").select("digest", F.explode("set").alias("s"))
-    common = every.groupBy("s").agg(F.count("*").alias("c")).where("c > 1").select("s")
-    met = every.join(common, "s").groupBy("digest").agg(F.count("*").alias("met"))
-    met = written(met.join(sets.select("digest", F.slice("set", 1, p.wide_k).alias("wide")), "digest"))
-    fit = written(opened.join(met, "digest").where((100 + p.percent) * F.col("met") >= p.percent * (F.col("n") + F.col("smallest"))))
-    a = fit.where("component <> top").select("v", *[F.col(c).alias(f"{c}_a") for c in ("digest", "n", "prefix", "component", "met", "wide")])
-    b = fit.select("v", F.col("top").alias("top_b"), *[F.col(c).alias(f"{c}_b") for c in ("digest", "n", "prefix", "component", "met", "wide")])
-    # One order of two that both are outside the largest component; only at the first value that the two share.
-    once = (F.col("component_b") == F.col("top_b")) | (F.col("digest_a") < F.col("digest_b"))
-    sizes = (100 + p.percent) * F.least("met_a", "met_b") >= p.percent * (F.col("n_a") + F.col("n_b"))
-    first = F.array_min(F.array_intersect("prefix_a", "prefix_b")) == F.col("va")
-    # Last, as it costs most: the sketches of the union say no, exactly so where both hold whole sets.
-    whole = (F.col("n_a") <= p.wide_k) & (F.col("n_b") <= p.wide_k)
-    exact = (100 + p.percent) * F.size(F.array_intersect("wide_a", "wide_b")) >= p.percent * (F.col("n_a") + F.col("n_b"))
-    likely = F.when(whole, exact).otherwise(_estimated(F.col("wide_a"), F.col("wide_b"), p.wide_k) >= p.wide_least)
-    pairs = a.withColumnRenamed("v", "va").join(b, (F.col("va") == F.col("v")) & (F.col("component_a") != F.col("component_b")) & once & sizes & first & likely)
-    return written(pairs.select(F.least("digest_a", "digest_b").alias("a"), F.greatest("digest_a", "digest_b").alias("b")).distinct())
+    discard(ids, classes, component)
+    return out
+
+
+def _rest(listed: DataFrame, sets: DataFrame, component: DataFrame, p: Sketching) -> DataFrame:
+    """Pairs a, b (written) of ids that stand in one list but not in one component and that their shared shingles allow."""
+
+    def placed(x: DataFrame) -> DataFrame:
+        return x.join(component, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+
+    lists = placed(listed.select("v", "rep"))
+    open_ = lists.groupBy("v").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("v")
+    reps = written(lists.join(open_, "v").select("rep").distinct())
+    sets = narrowed(sets, "rep", bitmap(reps, "rep"))
+    discard(reps)
+    # Shingles that another document of an open list has too; a document needs 75 percent of its own among them.
+    common = written(sets.select(F.explode("set").alias("s")).groupBy("s").agg(F.count("*").alias("c")).where("c > 1"))
+    levels = Levels(common, "s")
+    discard(common)
+    at = written(placed(sets.mapInArrow(functools.partial(_placed, p=p, levels=levels), "s long, rep long, n long, met long, place long")))
+    counts = at.groupBy("s", "component").agg(F.count("*").alias("c"))
+    tops = counts.groupBy("s").agg(F.max(F.struct("c", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("s", F.col("top.component").alias("top"))
+    opened = written(at.join(tops, "s"))
+    discard(at)
+    columns = ("rep", "n", "met", "place", "component")
+    a = opened.where("component <> top").select("s", *[F.col(c).alias(f"{c}_a") for c in columns])
+    b = opened.select("s", "top", *[F.col(c).alias(f"{c}_b") for c in columns])
+    # One order of two that both are outside the largest component.
+    once = (F.col("component_b") == F.col("top")) | (F.col("rep_a") < F.col("rep_b"))
+    sizes = 100 * F.least("n_a", "n_b") >= p.percent * F.greatest("n_a", "n_b")
+    # At the first shingle that both list, this one and those behind it are all that they can share.
+    left = 1 + F.least(F.col("met_a") - F.col("place_a"), F.col("met_b") - F.col("place_b"))
+    enough = (100 + p.percent) * left >= p.percent * (F.col("n_a") + F.col("n_b"))
+    pairs = a.join(b, "s").where((F.col("component_a") != F.col("component_b")) & once & sizes & enough)
+    out = written(pairs.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct())
+    discard(opened)
+    return out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
