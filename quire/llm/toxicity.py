@@ -24,7 +24,8 @@ from quire.llm.common import LOWER_ASCII, chunks
 class Params:
     """rows: of the embedding table. size: of a vector. grams: lengths of character n-grams. window: words of a window,
     which start every half window. sample: labelled documents of either label that training takes at most, by the
-    least digest of their id. rate, epochs, batch: of the descent."""
+    least digest of their id. rate, epochs, batch: of the descent; steps: of it at least, so that a small sample is gone
+    through more often."""
 
     rows: int = 1 << 15
     size: int = 12
@@ -34,6 +35,7 @@ class Params:
     rate: float = 0.5
     epochs: int = 12
     batch: int = 64
+    steps: int = 900
     seed: int = 7
     threshold: float = 0.3
 
@@ -159,8 +161,9 @@ def train(texts: list[str], labels: list[int], p: Params = Params()) -> Model:
     y = np.array(labels)
     usable = [i for i in range(len(docs)) if len(docs[i])]
     grids = {i: window_grid(docs[i], p.window) for i in usable}
-    for epoch in range(p.epochs):
-        rate = p.rate * (1 - epoch / p.epochs)
+    epochs = max(p.epochs, -(-p.steps // max(1, -(-len(usable) // p.batch)))) if usable else 0
+    for epoch in range(epochs):
+        rate = p.rate * (1 - epoch / epochs)
         rng.shuffle(usable)
         for at in range(0, len(usable), p.batch):
             if at % (p.batch * 16) == 0:  # margins of all words, to choose windows by
