@@ -10,7 +10,8 @@ Grammar of the output, one deterministic parse for every string:
 Control strings are read from left to right and do not overlap: a backslash and the control string behind it are one
 token, so "\\####" is an escaped "###" and a "#". The parser takes that backslash away, so a text that holds neither
 control string is its own body. Each turn is rendered plainly, parsed again and compared with its source; where they
-differ, the conflicting content is escaped, and again, until the turn reads back identical.
+differ, the conflicting content is escaped, and again, until the turn reads back identical. A conversation's turns are then
+read back from one reader that is fed their joined text, so what one turn says can't pass as the end of another.
 """
 
 from __future__ import annotations
@@ -20,12 +21,13 @@ import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CONTROL = re.compile(r"###|</turn>")
 _ESCAPED = re.compile(r"\\(###|</turn>)")
-_HEADER = re.compile(r"### (User|Assistant|System|Tool|=(?:[^\\:\n]|\\.)*): ")
+_HEADER = regex.compile(r"### (User|Assistant|System|Tool|=(?:[^\\:\n]|\\.)*): ")
 #: A control string in a body, with its backslash; the first without one ends the body, if it is an end of turn.
 _TOKEN = re.compile(r"\\?(?:###|</turn>)")
 END = "\n</turn>\n"
@@ -55,18 +57,56 @@ def _role(name: str) -> str:
     return ROLES[name] if name in ROLES else re.sub(r"\\(.)", lambda m: _ROLE_IN[m[1]], name[1:])
 
 
-def parse(out: str) -> Iterator[tuple[str, str, int, int]]:
+class Reader:
+    """The parser, fed in pieces of any size; it holds the turn that has not ended."""
+
+    #: Characters of the longest token.
+    LONGEST = 8
+
+    def __init__(self):
+        # buf holds the output from `base` on; the turns before `pos` in it are read, and no token starts before `at`.
+        self.buf, self.base, self.pos, self.head, self.at = "", 0, 0, None, 0
+
+    def feed(self, out: str, last: bool = False) -> list[tuple[str, str, int, int]]:
+        """role, text, and the span of the body in all that was fed, for each turn that ends; ParseError if there is none."""
+        done, self.buf = self.pos, self.buf[self.pos :] + out
+        self.base, self.pos, self.at = self.base + done, 0, self.at - done
+        turns = []
+        while self.pos < len(self.buf) and (turn := self._turn(last)):
+            turns.append(turn)
+        if last and self.pos < len(self.buf):
+            raise ParseError(f"no turn at {self.base + self.pos}")
+        return turns
+
+    def _turn(self, last: bool) -> tuple[str, str, int, int] | None:
+        if self.head is None:
+            head = _HEADER.match(self.buf, self.pos, partial=not last)
+            if not head:
+                raise ParseError(f"no turn header at {self.base + self.pos}")
+            if head.partial:
+                return None
+            self.head, self.at = (head[1], head.end() - self.pos), head.end()
+        role, start = self.head[0], self.pos + self.head[1]
+        for m in _TOKEN.finditer(self.buf, self.at):
+            if m[0][0] == "\\":
+                self.at = m.end()
+                continue
+            self.at = m.start()
+            if not last and m.end() == len(self.buf):
+                return None
+            if m[0] != "</turn>" or self.buf[m.start() - 1] != "\n" or m.start() - 1 < start or not self.buf.startswith("\n", m.end()):
+                raise ParseError(f"no end of turn after {self.base + start}")
+            end = m.start() - 1
+            self.pos, self.head = m.end() + 1, None
+            return _role(role), unescape(self.buf[start:end]), self.base + start, self.base + end
+        # A token that starts in the last few characters may not be whole yet.
+        self.at = max(self.at, len(self.buf) - self.LONGEST + 1)
+        return None
+
+
+def parse(out: str) -> list[tuple[str, str, int, int]]:
     """role, text, and the span of the body in out, for each turn; ParseError if out is not of the grammar."""
-    at = 0
-    while at < len(out):
-        head = _HEADER.match(out, at)
-        if not head:
-            raise ParseError(f"no turn header at {at}")
-        end = next((m for m in _TOKEN.finditer(out, head.end()) if m[0][0] != "\\"), None)
-        if not end or end[0] != "</turn>" or out[end.start() - 1] != "\n" or end.start() - 1 < head.end() or not out.startswith("\n", end.end()):
-            raise ParseError(f"no end of turn after {head.end()}")
-        yield _role(head[1]), unescape(out[head.end() : end.start() - 1]), head.end(), end.start() - 1
-        at = end.end() + 1
+    return Reader().feed(out, True)
 
 
 def render_turn(role: str, text: str) -> str:
@@ -94,23 +134,27 @@ def loss_spans(out: str) -> list[tuple[int, int]]:
 
 
 class _Digest:
-    """What is read back of one conversation, turn by turn; it holds no text."""
+    """What is read back of one conversation's joined text; it holds one turn."""
 
     def __init__(self):
         self.turns, self.loss, self.n, self.loss_chars, self.chars = hashlib.sha256(), hashlib.sha256(), 0, 0, 0
+        self.reader = Reader()
 
     def add(self, role: str, text: str) -> None:
         out = render_turn(role, text)
         self.chars += len(out)
-        for r, t, a, b in parse(out):
+        self._read(out)
+
+    def _read(self, out: str, last: bool = False) -> None:
+        for role, text, _, _ in self.reader.feed(out, last):
             self.n += 1
-            self.turns.update(f"{r}\n{t}\n".encode())
-            if r == "assistant":
-                masked = unescape(out[a:b])
-                self.loss.update(masked.encode())
-                self.loss_chars += len(masked)
+            self.turns.update(f"{role}\n{text}\n".encode())
+            if role == "assistant":
+                self.loss.update(text.encode())
+                self.loss_chars += len(text)
 
     def row(self, conv) -> tuple:
+        self._read("", True)
         return conv, self.n, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars
 
 
@@ -157,7 +201,10 @@ def _rendered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def render(conversations: DataFrame) -> DataFrame:
-    """The formatted text itself, a row per turn; a conversation is its rows' text in the order of turn, joined."""
+    """The formatted text itself, a row per turn; a conversation is its rows' text in the order of turn, joined.
+
+    Null conv_id and turn stay null; null role and text count as empty; repeated rows each get a row; no rows give none.
+    """
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.mapInArrow(_rendered, "conv_id long, turn long, role string, rendered string")
 
