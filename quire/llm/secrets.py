@@ -7,6 +7,7 @@ repeats, keyboard walks and brute-force spans, found by dynamic programming over
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import math
 import re
@@ -36,7 +37,6 @@ _CONTEXT = re.compile(
     re.IGNORECASE | re.ASCII,
 )
 _DATE = re.compile(r"(?:19|20)[0-9]{2}[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12][0-9]|3[01])|(?:0?[1-9]|[12][0-9]|3[01])[-/.]?(?:0?[1-9]|1[0-2])[-/.]?(?:19|20)[0-9]{2}|(?:19|20)[0-9]{2}")
-_WORD_MAX = 16
 
 
 def word_ranks(vocabulary: str | None = None) -> dict[str, int]:
@@ -47,7 +47,7 @@ def word_ranks(vocabulary: str | None = None) -> dict[str, int]:
             pieces = json.load(f)["model"]["vocab"]
         for piece, i in sorted(pieces.items(), key=lambda x: x[1]):
             w = piece.removeprefix("Ġ").lower()
-            if 4 <= len(w) <= _WORD_MAX and w.isascii() and w.isalpha():
+            if len(w) >= 4 and w.isascii() and w.isalpha():
                 ranks.setdefault(w, len(COMMON) + i)
     return ranks
 
@@ -70,40 +70,73 @@ def _walk_end(value: str, i: int) -> int:
     return best
 
 
-def guess_bits(value: str, ranks: dict[str, int]) -> tuple[float, list[tuple[str, int, int]]]:
-    """Least bits to guess the value and the segments that give it: (kind, start, end), kinds word, date, repeat, walk, brute."""
+class Words:
+    """Words and their ranks, and the lengths that words with a given start of two letters have."""
+
+    def __init__(self, ranks: dict[str, int]):
+        self.ranks = ranks
+        lengths: dict[str, set[int]] = {}
+        for w in ranks:
+            lengths.setdefault(w[:2], set()).add(len(w))
+        self.lengths = {k: sorted(v) for k, v in lengths.items()}
+
+    def at(self, text: str, i: int) -> Iterator[tuple[int, int]]:
+        """End and rank of each word of two letters or more that starts at i."""
+        for size in self.lengths.get(text[i : i + 2], ()):
+            if size > 1 and i + size <= len(text) and (rank := self.ranks.get(text[i : i + size])):
+                yield i + size, rank
+
+
+def guess_bits(value: str, words: Words | dict[str, int], enough: float = math.inf) -> tuple[float, list[tuple[str, int, int]]]:
+    """Least bits to guess the value and the segments that give it: (kind, start, end), kinds word, date, repeat, walk, brute.
+
+    A segment's bits are never negative, so a prefix that costs `enough` is followed no further; if the whole value
+    costs that, the result is (enough, []). Words have any length of the list's, and repeats any period: a unit
+    is lengthened until its characters alone cost what is left to spend.
+    """
+    words = words if isinstance(words, Words) else Words(words)
     n, low = len(value), value.lower()
     if len(low) != n:
         low = value
     plain = low.translate(LEET)
-    cost, back = [0.0] + [math.inf] * n, [(0, "")] * (n + 1)
+    bits_of = [_char_bits(c) for c in low]
+    brute = [0.0, *itertools.accumulate(bits_of)]
+    cost, back, reached = {0: 0.0}, {}, 0
 
     def step(i: int, j: int, kind: str, bits: float) -> None:
-        if cost[i] + bits < cost[j]:
-            cost[j], back[j] = cost[i] + bits, (i, kind)
-
-    # period[u][i]: characters from i on that are the same as those u further on.
-    period = {u: [0] * (n + 1) for u in range(1, 5)}
-    for u, same in period.items():
-        for i in range(n - u - 1, -1, -1):
-            same[i] = same[i + 1] + 1 if low[i] == low[i + u] else 0
+        nonlocal reached
+        if (now := cost[i] + bits) < min(enough, cost.get(j, math.inf)):
+            cost[j], back[j] = now, (i, kind)
+            reached = max(reached, j)
+
     # A segment of another kind costs a bit and a half to name; brute force goes on character by character.
     for i in range(n):
+        if i > reached:
+            break
+        if i not in cost:
+            continue
         step(i, i + 1, "brute", _char_bits(value[i]))
-        for j in range(i + 1, min(n, i + _WORD_MAX) + 1):
-            rank = ranks.get(low[i:j])
-            if rank and j - i > 1:
-                upper = sum(map(str.isupper, value[i:j]))
-                step(i, j, "word", 1.5 + math.log2(rank + 1) + (1 if upper else 0) + (2 if 1 < upper < j - i else 0))
-            elif j - i > 2 and (rank := ranks.get(plain[i:j])):
+        for j, rank in words.at(low, i):
+            upper = sum(map(str.isupper, value[i:j]))
+            step(i, j, "word", 1.5 + math.log2(rank + 1) + (1 if upper else 0) + (2 if 1 < upper < j - i else 0))
+        for j, rank in words.at(plain, i):
+            if j - i > 2:
                 step(i, j, "word", 3.5 + math.log2(rank + 1) + (1 if value[i:j] != low[i:j] else 0))
         if m := _DATE.match(value, i):
             step(i, m.end(), "date", 1.5 + (6.0 if m.end() - i == 4 else 15.0))
         if (end := _walk_end(low, i)) > i:
             step(i, end, "walk", 1.5 + math.log2(len(WALKS) * 2 * 20) + math.log2(end - i))
-        for u, same in period.items():
-            if (times := 1 + same[i] // u) >= 3:
-                step(i, i + u * times, "repeat", 1.5 + sum(map(_char_bits, low[i : i + u])) + math.log2(times))
+        for u in range(1, (n - i) // 3 + 1):
+            unit = brute[i + u] - brute[i]
+            if cost[i] + 1.5 + unit >= enough:
+                break
+            times = 1
+            while low.startswith(low[i : i + u], i + u * times):
+                times += 1
+            if times >= 3:
+                step(i, i + u * times, "repeat", 1.5 + unit + math.log2(times))
+    if n not in cost:
+        return enough, []
     out, j = [], n
     while j:
         i, kind = back[j]
@@ -119,7 +152,7 @@ def guess_bits(value: str, ranks: dict[str, int]) -> tuple[float, list[tuple[str
 MIN_BITS = 30.0
 
 
-def guessed(text: str, ranks: dict[str, int], min_bits: float = MIN_BITS) -> list[S.Span]:
+def guessed(text: str, words: Words | dict[str, int], min_bits: float = MIN_BITS) -> list[S.Span]:
     """Values in a credential's place that are dear to guess."""
     low = text.lower()
     if not any(s in low for s in _STEMS):
@@ -128,7 +161,7 @@ def guessed(text: str, ranks: dict[str, int], min_bits: float = MIN_BITS) -> lis
     for m in _CONTEXT.finditer(text):
         k = m.lastindex
         value = m[k] if k < 4 else m[k].rstrip(".)]}!?,;\"'`<>")
-        if len(value) >= 6 and guess_bits(value, ranks)[0] >= min_bits:
+        if len(value) >= 6 and guess_bits(value, words, min_bits)[0] >= min_bits:
             out.append(("guess", m.start(k), m.start(k) + len(value)))
     return out
 
@@ -137,11 +170,12 @@ _ARROW = pa.schema([("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_access
 
 
 def _scan(batches: Iterator[pa.RecordBatch], ranks: dict[str, int], min_bits: float) -> Iterator[pa.RecordBatch]:
+    words = Words(ranks)
     for b in batches:
         rows = []
         for doc, text in zip(b["doc_id"].to_pylist(), b["text"], strict=True):
             text = text.as_py() or ""
-            base, more = S.secrets(text), guessed(text, ranks, min_bits)
+            base, more = S.secrets(text), guessed(text, words, min_bits)
             n = [sum(s[0] == k for s in base) for k in KINDS[:3]]
             rows.append((doc, *n, len(more), S.digest(S.joined(base, KINDS)), S.joined(base + more, KINDS)))
         if rows:

@@ -95,6 +95,18 @@ def test_guess_bits_is_the_least_over_segmentations():
         assert secrets.guess_bits(v, ranks)[0] <= least(v) + 1e-9
 
 
+def test_guess_bits_has_no_bound_on_words_or_periods():
+    ranks = {"antidisestablishmentarianism": 3, "ab": 1}
+    assert secrets.guess_bits("antidisestablishmentarianism", ranks)[1] == [("word", 0, 28)]
+    assert secrets.guess_bits("x9#kq2!vlp" * 3, ranks)[1] == [("repeat", 0, 30)]
+    rng = random.Random(8)
+    for _ in range(500):
+        v = "".join(rng.choice(["ab", "a", "1", "Q", "#", "xyz", "1990", "qwe"]) for _ in range(rng.randint(1, 12)))
+        full = secrets.guess_bits(v, ranks)[0]
+        for enough in (5.0, 30.0):
+            assert secrets.guess_bits(v, ranks, enough)[0] == min(full, enough)
+
+
 def test_secrets_are_found_beyond_the_patterns():
     ranks = secrets.word_ranks(VOCABULARY)
     t = 'my passphrase is "x9#kQ2!vLp" and password: changeme'
@@ -177,6 +189,22 @@ def test_chat_runs_of_hashes(n):
         assert len(chat.render_turn("user", t)) == len(t) + len(re.findall("###|</turn>", t)) + 4 + 15
 
 
+@pytest.mark.parametrize("step", [1, 2, 7, 50])
+def test_chat_reads_a_stream_in_pieces(step):
+    rng = random.Random(step)
+    parts = ["###", "</turn>", "\\", "\n", "#", "### Assistant: ", "\n</turn>\n", "\n</turn>\n### User: x", "é"]
+    turns = [(rng.choice(["user", "assistant", "a:b\n"]), "".join(rng.choice(parts) for _ in range(rng.randint(0, 9)))) for _ in range(200)]
+    out = chat.format_conversation(turns)
+    reader, got = chat.Reader(), []
+    for at in range(0, len(out), step):
+        got += reader.feed(out[at : at + step])
+        assert len(reader.buf) - reader.pos < 400
+    assert got + reader.feed("", True) == chat.parse(out)
+    assert [(r, t) for r, t, _, _ in got] == turns
+    with pytest.raises(chat.ParseError):
+        chat.Reader().feed(out[:-1], True)
+
+
 def test_chat_plain_text_is_not_escaped():
     assert chat.render_turn("user", "hello \\ there") == "### User: hello \\ there\n</turn>\n"
     with pytest.raises(chat.ParseError):
