@@ -104,47 +104,64 @@ class Merges:
 
 
 class Transducer:
-    """Bytes of one piece in, stable tokens out."""
+    """Bytes of one piece in, stable tokens out. One automaton finds the tokens that end at each place."""
+
+    #: Bytes that are gone through between two looks at what is stable.
+    STEP = 4096
 
     def __init__(self, merges: Merges):
         self.m = merges
-        self.data = bytearray()
-        self.last = [-1]  # by prefix length within the window: the last token of the prefix's encoding
-        self.root = -1  # the last token emitted
+        self.search, self.base = None, 0
+        # By prefix length within the window, which begins at `base`: the last token of the prefix's encoding. The first is the last token emitted.
+        self.last = [-1]
+
+    @property
+    def data(self) -> list[int]:
+        """The window: for each of its bytes, the last token of the encoding up to there."""
+        return self.last[1:]
 
     def feed(self, data: bytes) -> list[int]:
-        m, ends, fits = self.m, self.m.ends, self.m.fits
         out: list[int] = []
-        for byte in data:
-            self.data.append(byte)
-            window, n = self.data, len(self.data)
-            token = -1
-            for start in range(n - 1, -1, -1):
-                t = ends.get(bytes(window[start:n]))
-                if t is None:
-                    break
-                if t >= 0:
-                    before = self.last[start] if start else self.root
-                    if before == -1 or fits(before, t):
-                        token = t
-                        break
-            if token < 0:
-                raise ValueError("the merge list has no encoding for this input")
-            self.last.append(token)
-            if n >= 4 * m.lookahead:
+        for at in range(0, len(data), self.STEP):
+            self._follow(data[at : at + self.STEP])
+            if len(self.last) > 4 * self.m.lookahead:
                 out += self._emit()
         return out
 
+    def _follow(self, data: bytes) -> None:
+        m, last, base = self.m, self.last, self.base
+        known, text = m._fits.get, data.decode("latin-1")
+        if self.search is None:
+            self.search = m.automaton.iter(text)
+        else:
+            self.search.set(text)
+        done = base + len(last) - 1
+        end = done + len(data)
+        for at, (t, length) in self.search:  # by end, the longest first
+            if at < done:
+                continue
+            start = at + 1 - length
+            if start < base:
+                continue
+            before = last[start - base]
+            ok = before == -1 or known((before, t))
+            if ok or ok is None and m.fits(before, t):  # of the tokens that end here, one fits
+                last.append(t)
+                done = at + 1
+        if done != end:
+            raise ValueError("the merge list has no encoding for this input")
+
     def _path(self, end: int) -> list[int]:
-        out = []
+        out, last, bytes_of = [], self.last, self.m.bytes_of
         while end:
-            out.append(self.last[end])
-            end -= len(self.m.bytes_of[self.last[end]])
+            t = last[end]
+            out.append(t)
+            end -= len(bytes_of[t])
         return out[::-1]
 
     def _emit(self) -> list[int]:
         """Tokens above the common ancestor of the prefixes that a later token can follow."""
-        n = len(self.data)
+        n = len(self.last) - 1
         live = set(range(max(0, n + 1 - self.m.lookahead), n + 1))
         while len(live) > 1:
             top = max(live)
@@ -154,41 +171,16 @@ class Transducer:
         if not at:
             return []
         out = self._path(at)
-        self.root = out[-1]
-        del self.data[:at]
-        del self.last[:at]
+        self.base += at
+        self.last = [out[-1], *self.last[at + 1 :]]
         return out
 
     def finish(self) -> list[int]:
-        out = self._path(len(self.data))
-        self.__init__(self.m)
+        out = self._path(len(self.last) - 1)
+        self.search, self.base, self.last = None, 0, [-1]
         return out
 
 
-def _encode_piece(m: Merges, data: bytes) -> tuple[int, ...]:
-    """A whole short piece through the same recurrence; one automaton finds the tokens that end at each place."""
-    t = m.id_of.get(data)
-    if t is not None and m.ends[data] >= 0:
-        return (t,)
-    known, last, done = m._fits.get, [-1], 0
-    for at, (t, length) in m.automaton.iter(data.decode("latin-1")):  # the longest first
-        if at < done:
-            continue
-        start = at + 1 - length
-        ok = not start or known((last[start], t))
-        if ok or ok is None and m.fits(last[start], t):  # of the tokens that end here, one fits
-            last.append(t)
-            done = at + 1
-    n = len(data)
-    if done != n:
-        raise ValueError("the merge list has no encoding for this input")
-    out, bytes_of = [], m.bytes_of
-    while n:
-        out.append(last[n])
-        n -= len(bytes_of[last[n]])
-    return tuple(out[::-1])
-
-
 class Encoder:
     """Text in, in chunks of any size; token ids out as soon as they are stable."""
 
@@ -199,6 +191,7 @@ class Encoder:
 
     def __init__(self, merges: Merges, special: bool = True):
         self.m, self.carry, self.open, self.run = merges, "", None, None
+        self.whole = Transducer(merges)
         self.cache: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
         self.special = dict(merges.special) if special else {}
@@ -252,15 +245,16 @@ class Encoder:
 
     def _look_up(self, piece: str) -> Iterable[int]:
         """A piece that isn't among the recent ones. Two generations: what the older one gives is recent again."""
-        if len(piece) > 64:
-            t = Transducer(self.m)
-            return t.feed(piece.encode()) + t.finish()
+        if len(piece) > 64:  # not remembered
+            return self.whole.feed(piece.encode()) + self.whole.finish()
         if len(self.cache) >= self.CACHE:
             self.older = dict(self.cache)
             self.cache.clear()
         ids = self.older.get(piece)
         if ids is None:
-            ids = _encode_piece(self.m, piece.encode())
+            data = piece.encode()
+            t = self.m.id_of.get(data)
+            ids = (t,) if t is not None and self.m.ends[data] >= 0 else (*self.whole.feed(data), *self.whole.finish())
         self.cache[piece] = ids
         return ids
 
