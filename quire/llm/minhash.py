@@ -9,7 +9,7 @@ first; a passage that many documents share is not among them. (3) Each list ties
 what that links needs no more pairs within. (4) What stands in one list but in two components is compared by its full
 sets in the same way: of the shingles that another such document has too, the rarest `shared - t + 1` are listed, and two
 documents of different components meet in a list only if what is left of both behind that place can still reach the
-similarity. Sets that link share 75 percent of the larger one at least.
+similarity, and the parities of their sets say so too. Sets that link share 75 percent of the larger one at least.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import LOWER_ASCII, BitmapTest, Levels, bitmap, connected_components, discard, narrowed, written
+from quire.llm.common import LOWER_ASCII, BitmapTest, Levels, bitmap, by_bitmap, connected_components, discard, narrowed, written
 
 
 @dataclass(frozen=True)
@@ -139,15 +139,47 @@ def _listed(batches: Iterator[pa.RecordBatch], p: Sketching, levels: Levels) ->
         yield pa.RecordBatch.from_arrays([pa.array(value), b["rep"].take(pa.array(row)), pa.array(shared[row])], names=["v", "rep", "central"])
 
 
-def _placed(batches: Iterator[pa.RecordBatch], p: Sketching, levels: Levels) -> Iterator[pa.RecordBatch]:
-    """s, rep, n, met, place: the shingles under which a full set is listed, and how many it shares."""
-    for b in batches:
+def _placed(batches: Iterator[pa.RecordBatch], p: Sketching, levels: Levels, wanted: bytes) -> Iterator[pa.RecordBatch]:
+    """s, rep, key, n, met, place: the shingles under which a full set is listed, and how many it shares.
+
+    Of the ids that `wanted` lets through; filtered here, as one more Python step in a task is one more worker.
+    """
+    for b in by_bitmap(batches, "rep", wanted, True):
         for at in range(0, b.num_rows, 256):
             part = b.slice(at, 256)
             n = pc.list_value_length(part["set"]).to_numpy(zero_copy_only=False).astype(np.int64)
             row, value, place, met = rare_first(part["set"], levels, -(-n * p.percent // 100))
-            columns = [pa.array(value), part["rep"].take(pa.array(row)), pa.array(n[row]), pa.array(met[row]), pa.array(place)]
-            yield pa.RecordBatch.from_arrays(columns, names=["s", "rep", "n", "met", "place"])
+            columns = [pa.array(value), part["rep"].take(pa.array(row)), pa.array(_key(part["set"])[row]), pa.array(n[row]), pa.array(met[row]), pa.array(place)]
+            yield pa.RecordBatch.from_arrays(columns, names=["s", "rep", "key", "n", "met", "place"])
+
+
+def _key(sets: pa.ListArray) -> np.ndarray:
+    """What tells the sets of one id apart."""
+    return np.array([np.bitwise_xor.reduce(x.values.to_numpy(), initial=0) for x in sets], np.int64)
+
+
+#: Words of 64 bits that hold the parities of a set.
+PARITY = 16
+
+
+def parities(sets: pa.ListArray) -> np.ndarray:
+    """Whether an odd number of a set's values falls on each of PARITY * 64 bits; a row of words for each set.
+
+    Two sets differ in at least as many values as their parities differ in bits.
+    """
+    bits = PARITY * 64
+    row = np.repeat(np.arange(len(sets)), pc.list_value_length(sets).to_numpy(zero_copy_only=False))
+    slot = (sets.flatten().to_numpy(zero_copy_only=False) >> 8) & (bits - 1)
+    odd = np.bincount(row * bits + slot, minlength=len(sets) * bits).reshape(len(sets), bits) & 1
+    return np.packbits(odd.astype(np.uint8), axis=1).view(np.int64)
+
+
+def _parities(batches: Iterator[pa.RecordBatch], wanted: bytes) -> Iterator[pa.RecordBatch]:
+    for b in by_bitmap(batches, "rep", wanted, True):
+        for at in range(0, b.num_rows, 256):
+            part = b.slice(at, 256)
+            words = parities(part["set"])
+            yield pa.RecordBatch.from_arrays([part["rep"], pa.array(_key(part["set"])), *[pa.array(words[:, i]) for i in range(PARITY)]], names=["rep", "key", *[f"p{i}" for i in range(PARITY)]])
 
 
 def _estimated(a, b, k: int):
@@ -246,18 +278,20 @@ def _rest(listed: DataFrame, sets: DataFrame, component: DataFrame, p: Sketching
     lists = placed(listed.select("v", "rep"))
     open_ = lists.groupBy("v").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("v")
     reps = written(lists.join(open_, "v").select("rep").distinct())
-    sets = narrowed(sets, "rep", bitmap(reps, "rep"))
+    wanted = bitmap(reps, "rep")
     discard(reps)
     # Shingles that another document of an open list has too; a document needs 75 percent of its own among them.
-    common = written(sets.select(F.explode("set").alias("s")).groupBy("s").agg(F.count("*").alias("c")).where("c > 1"))
+    common = written(narrowed(sets, "rep", wanted).select(F.explode("set").alias("s")).groupBy("s").agg(F.count("*").alias("c")).where("c > 1"))
     levels = Levels(common, "s")
     discard(common)
-    at = written(placed(sets.mapInArrow(functools.partial(_placed, p=p, levels=levels), "s long, rep long, n long, met long, place long")))
+    at = written(placed(sets.mapInArrow(functools.partial(_placed, p=p, levels=levels, wanted=wanted), "s long, rep long, key long, n long, met long, place long")))
     counts = at.groupBy("s", "component").agg(F.count("*").alias("c"))
     tops = counts.groupBy("s").agg(F.max(F.struct("c", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("s", F.col("top.component").alias("top"))
-    opened = written(at.join(tops, "s"))
+    spread = written(at.join(tops, "s"))
     discard(at)
-    columns = ("rep", "n", "met", "place", "component")
+    words = written(sets.mapInArrow(functools.partial(_parities, wanted=bitmap(spread, "rep")), "rep long, key long, " + ", ".join(f"p{i} long" for i in range(PARITY))))
+    opened = spread.join(words, ["rep", "key"])
+    columns = ("rep", "n", "met", "place", "component", *[f"p{i}" for i in range(PARITY)])
     a = opened.where("component <> top").select("s", *[F.col(c).alias(f"{c}_a") for c in columns])
     b = opened.select("s", "top", *[F.col(c).alias(f"{c}_b") for c in columns])
     # One order of two that both are outside the largest component.
@@ -266,9 +300,11 @@ def _rest(listed: DataFrame, sets: DataFrame, component: DataFrame, p: Sketching
     # At the first shingle that both list, this one and those behind it are all that they can share.
     left = 1 + F.least(F.col("met_a") - F.col("place_a"), F.col("met_b") - F.col("place_b"))
     enough = (100 + p.percent) * left >= p.percent * (F.col("n_a") + F.col("n_b"))
-    pairs = a.join(b, "s").where((F.col("component_a") != F.col("component_b")) & once & sizes & enough)
+    differ = functools.reduce(lambda x, y: x + y, [F.bit_count(F.col(f"p{i}_a").bitwiseXOR(F.col(f"p{i}_b"))) for i in range(PARITY)])
+    alike = (100 + p.percent) * differ <= (100 - p.percent) * (F.col("n_a") + F.col("n_b"))
+    pairs = a.join(b, "s").where((F.col("component_a") != F.col("component_b")) & once & sizes & enough & alike)
     out = written(pairs.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct())
-    discard(opened)
+    discard(spread, words)
     return out
 
 
