@@ -50,18 +50,11 @@ class Merges:
         self.text_of = {i: str(i) for i in self.bytes_of}
         #: Bytes that decide a boundary: no merge makes a longer token.
         self.lookahead = max(map(len, self.id_of))
-        # Every end piece of a token, with the token's id or -1; a walk backwards stops where no token goes on.
-        self.ends: dict[bytes, int] = {}
-        for b in self.id_of:
-            for k in range(len(b)):
-                self.ends.setdefault(b[k:], -1)
-        for b, i in self.id_of.items():
-            # A token that its own bytes don't merge to is never emitted.
-            self.ends[b] = i if len(self.merge(b)) == 1 else -1
+        # The tokens that are ever emitted: their own bytes merge to them.
+        self.whole = {b: i for b, i in self.id_of.items() if len(self.merge(b)) == 1}
         self.automaton = ahocorasick.Automaton()
-        for b, i in self.id_of.items():
-            if self.ends[b] >= 0:
-                self.automaton.add_word(b.decode("latin-1"), (i, len(b)))
+        for b, i in self.whole.items():
+            self.automaton.add_word(b.decode("latin-1"), (i, len(b)))
         self.automaton.make_automaton()
         self._fits: dict[tuple[int, int], bool] = {}
 
@@ -253,8 +246,8 @@ class Encoder:
         ids = self.older.get(piece)
         if ids is None:
             data = piece.encode()
-            t = self.m.id_of.get(data)
-            ids = (t,) if t is not None and self.m.ends[data] >= 0 else (*self.whole.feed(data), *self.whole.finish())
+            t = self.m.whole.get(data)
+            ids = (t,) if t is not None else (*self.whole.feed(data), *self.whole.finish())
         self.cache[piece] = ids
         return ids
 
