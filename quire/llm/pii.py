@@ -21,11 +21,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import spans as S
-from quire.llm.common import DOCUMENT_COLUMNS, SPACES, BitmapTest, bitmap, written
+from quire.llm.common import DOCUMENT_COLUMNS, SPACES, BitmapTest, bitmap, by_bitmap, narrowed, written
 
 KINDS = ("email", "ip", "card", "phone", "remove", "general")
-#: What stands for a span in a sanitised text.
-MASKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "remove": "[REMOVED]", "general": "[TERM]"}
+#: What stands for a span in a sanitised text; a term that is generalised gets its class instead (broader).
+MASKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "remove": "[REMOVED]"}
+
+
+def broader(word: str) -> str:
+    """The class that a generalised term is replaced by: what it shares with many others, by its signs alone."""
+    letters, digits = any(map(str.isalpha, word)), any(map(str.isdigit, word))
+    if digits:
+        return "[CODE]" if letters else f"[NUMBER OF {sum(map(str.isdigit, word))} DIGITS]"
+    return "[NAME]" if word[:1].isupper() else "[WORD]"
 
 
 @dataclass(frozen=True)
@@ -43,6 +51,8 @@ class Disclosure:
 def term(word: str) -> str:
     """A word's term: lower case, without what isn't letter or digit at its ends; '' if it is none."""
     a, b = 0, len(word)
+    if word[:1].isalnum() and word[-1:].isalnum():
+        return word.lower()
     while a < b and not word[a].isalnum():
         a += 1
     while b > a and not word[b - 1].isalnum():
@@ -142,9 +152,36 @@ def _pairs(batches: Iterator[pa.RecordBatch], wanted: bytes) -> Iterator[pa.Reco
         yield out()
 
 
+class _Hits:
+    """The terms of texts that a bit map lets through, by word; forgets words when they get many."""
+
+    WORDS = 150_000
+
+    def __init__(self, wanted: bytes):
+        self.test = BitmapTest(wanted)
+        self.seen: set[bytes] = set()
+        self.hash_of: dict[bytes, int] = {}
+
+    def words(self, text: str) -> set[bytes]:
+        """The words of a text whose terms the map lets through; hash_of has their hashes."""
+        words = set(text.encode("utf-8", "surrogatepass").split())
+        if fresh := list(words - self.seen):
+            if len(self.seen) > self.WORDS:
+                self.seen.clear()
+                self.hash_of.clear()
+                fresh = list(words)
+            self.seen.update(fresh)
+            terms = [term(w.decode("utf-8", "surrogatepass")) for w in fresh]
+            hashes = np.fromiter(map(_hash, terms), np.int64, len(terms))
+            for i in np.flatnonzero(self.test(hashes)).tolist():
+                if terms[i]:
+                    self.hash_of[fresh[i]] = int(hashes[i])
+        return words & self.hash_of.keys()
+
+
 def _counts(batches: Iterator[pa.RecordBatch], wanted: bytes) -> Iterator[pa.RecordBatch]:
     """Documents by term, for terms in the bit map, summed over the task; the key null counts documents."""
-    test, docs, counts, hashes = BitmapTest(wanted), 0, Counter(), {}
+    hits, docs, counts = _Hits(wanted), 0, Counter()
 
     def out():
         keys = [*counts, None]
@@ -153,7 +190,8 @@ def _counts(batches: Iterator[pa.RecordBatch], wanted: bytes) -> Iterator[pa.Rec
     for b in batches:
         for x in b["text"]:
             docs += 1
-            counts.update(_hits(x.as_py() or "", test, hashes))
+            found = hits.words(x.as_py() or "")
+            counts.update(set(map(hits.hash_of.__getitem__, found)))
         if len(counts) > 200_000:
             yield out()
             docs = 0
@@ -161,27 +199,6 @@ def _counts(batches: Iterator[pa.RecordBatch], wanted: bytes) -> Iterator[pa.Rec
     yield out()
 
 
-def _hits(text: str, test: BitmapTest, hashes: dict[str, int | None]) -> set[int]:
-    """Hashes of the terms of a text that the bit map lets through. hashes: by word, None where it doesn't; bounded."""
-    out = set()
-    fresh = []
-    for w in set(text.translate(_NEWLINES).replace("\n", " ").split(" ")):
-        if w in hashes:
-            out.add(hashes[w])
-        elif w:
-            fresh.append(w)
-    if len(hashes) > 120_000:
-        hashes.clear()
-    if fresh:
-        got = [_hash(term(w)) for w in fresh]
-        ok = test(np.array(got, np.int64))
-        for w, h, keep in zip(fresh, got, ok.tolist()):
-            hashes[w] = h if keep else None
-            out.add(hashes[w])
-    out.discard(None)
-    return out
-
-
 def _digest():
     """Equal texts have equal digests, and what is found in one holds for its copies."""
     return F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest")
@@ -230,49 +247,47 @@ def disclosing_terms(docs: DataFrame, rules: Disclosure = Disclosure()) -> DataF
     )
 
 
-def _places(text: str, base: list[S.Span], test: BitmapTest, hashes: dict[str, int | None]) -> list[dict]:
+def _places(text: str, base: list[S.Span], hits: _Hits) -> list[dict]:
     """Where terms that the bit map lets through stand, outside base spans."""
-    if not (hits := _hits(text, test, hashes)):
+    if not (found := {w.decode("utf-8", "surrogatepass"): hits.hash_of[w] for w in hits.words(text)}):
         return []
     out = []
     for p, q in words(text):
-        h = hashes.get(text[p:q], 0)
-        if h == 0:
-            h = _hash(term(text[p:q]))
-        if h in hits:
-            while p < q and not text[p].isalnum():
+        h = found.get(text[p:q])
+        if h is not None:
+            while not text[p].isalnum():
                 p += 1
-            while p < q and not text[q - 1].isalnum():
+            while not text[q - 1].isalnum():
                 q -= 1
-            if p < q and not any(p < e and a < q for _, a, e in base):
+            if not any(p < e and a < q for _, a, e in base):
                 out.append({"term": h, "start": p, "end": q})
     return out
 
 
 _AT = pa.list_(pa.struct([("term", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
-_FOUND = pa.schema([("doc_id", pa.int64()), *[(f"n_{k}", pa.int64()) for k in KINDS[:4]], ("base_sha256", pa.string()), ("base", pa.string()), ("digest", pa.string()), ("at", _AT)])
+_FOUND = pa.schema([("doc_id", pa.int64()), *[(f"n_{k}", pa.int64()) for k in KINDS[:4]], ("base_sha256", pa.string()), ("base", pa.string()), ("at", _AT)])
 
 
 def _find(batches: Iterator[pa.RecordBatch], wanted: bytes | None) -> Iterator[pa.RecordBatch]:
     """Base spans of every text, and the places of terms that the bit map lets through."""
-    test, hashes = wanted and BitmapTest(wanted), {}
+    hits = wanted and _Hits(wanted)
     for b in batches:
         rows = []
-        for doc, x, digest in zip(b["doc_id"].to_pylist(), b["text"], b["digest"].to_pylist(), strict=True):
+        for doc, x in zip(b["doc_id"].to_pylist(), b["text"], strict=True):
             text = x.as_py() or ""
             base = S.personal(text)
             joined = S.joined(base, KINDS)
             n = [sum(s[0] == k for s in base) for k in KINDS[:4]]
-            rows.append((doc, *n, S.digest(joined), joined, digest, _places(text, base, test, hashes) if test else []))
+            rows.append((doc, *n, S.digest(joined), joined, _places(text, base, hits) if hits else []))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _FOUND.types)], schema=_FOUND)
 
 
 def _flagged(batches: Iterator[pa.RecordBatch], wanted: bytes) -> Iterator[pa.RecordBatch]:
     """digest and places, only of texts that have any."""
-    test, hashes = BitmapTest(wanted), {}
+    hits = _Hits(wanted)
     for b in batches:
-        rows = [(d, at) for x, d in zip(b["text"], b["digest"].to_pylist(), strict=True) if (at := _places(text := x.as_py() or "", S.personal(text), test, hashes))]
+        rows = [(d, at) for x, d in zip(b["text"], b["digest"].to_pylist(), strict=True) if (at := _places(text := x.as_py() or "", S.personal(text), hits))]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], _AT)], names=["digest", "at"])
 
@@ -281,31 +296,30 @@ def find(docs: DataFrame, rules: Disclosure = Disclosure()) -> DataFrame:
     """Base counts, digest and all spans for each row of docs (doc_id, text; others are left out).
 
     Null and empty texts have no spans; repeated rows each get a row; a null doc_id stays null; with no entities, or
-    no term beyond the thresholds, there are base spans only. Terms are looked up by the text's digest, so a doc_id
-    need not be unique.
+    no term beyond the thresholds, there are base spans only. A row's terms are looked up by a number of the written
+    row, so a doc_id need not be unique, and copies of a text don't meet in one task.
     """
     docs = docs.selectExpr("cast(doc_id as long) AS doc_id", "text")
     terms = written(disclosing_terms(docs, rules))
     wanted = bitmap(terms, "term")
-    found = docs.withColumn("digest", _digest()).mapInArrow(
+    found = docs.mapInArrow(
         functools.partial(_find, wanted=wanted if any(wanted) else None),
-        "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, digest string, at array<struct<term:long,start:long,end:long>>",
-    )
-    found = written(found)
-    extra = _term_spans(found, terms)
-    return (
-        found.drop("at")
-        .join(extra, "digest", "left")
-        .select("doc_id", *[f"n_{k}" for k in KINDS[:4]], "base_sha256", _merged(F.col("base"), F.col("extra")).alias("spans"))
+        "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, at array<struct<term:long,start:long,end:long>>",
     )
+    found = written(found.withColumn("row", F.monotonically_increasing_id()))
+    columns = ["doc_id", *[f"n_{k}" for k in KINDS[:4]], "base_sha256"]
+    # Rows without a place, nearly all, need no join.
+    clear = found.where(F.size("at") == 0).select(*columns, F.col("base").alias("spans"))
+    met = found.where(F.size("at") > 0)
+    extra = _term_spans(met.select("row", F.explode("at").alias("x")).select("row", "x.*"), terms, "row")
+    return clear.unionByName(met.join(extra, "row", "left").select(*columns, _merged(F.col("base"), F.col("extra")).alias("spans")))
 
 
-def _term_spans(found: DataFrame, terms: DataFrame) -> DataFrame:
-    """digest, extra: the flagged term spans of each distinct text, as kind:start:end strings."""
-    places = found.where(F.size("at") > 0).groupBy("digest").agg(F.first("at").alias("at")).select("digest", F.explode("at").alias("x")).select("digest", "x.*")
+def _term_spans(places: DataFrame, terms: DataFrame, key: str) -> DataFrame:
+    """key, extra: the flagged term spans of each row or text, as kind:start:end strings."""
     return (
         places.join(terms.select("term", "kind"), "term")
-        .groupBy("digest")
+        .groupBy(key)
         .agg(F.collect_list(F.concat_ws(":", "kind", F.col("start").cast("string"), F.col("end").cast("string"))).alias("extra"))
     )
 
@@ -318,10 +332,12 @@ def _merged(base, extra):
     return F.array_join(F.transform(F.array_sort(keyed), lambda x: x["span"]), ",")
 
 
-def _mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+def _mask(batches: Iterator[pa.RecordBatch], but: bytes | None = None) -> Iterator[pa.RecordBatch]:
+    """Masked documents. but: leaves out rows whose __key this bit map lets through; without, rows bring an __extra."""
+    for b in by_bitmap(batches, "__key", but, False) if but else batches:
         out, n = [], []
-        for x, extra in zip(b["text"], b["__extra"].to_pylist(), strict=True):
+        more = b["__extra"].to_pylist() if "__extra" in b.schema.names else [None] * b.num_rows
+        for x, extra in zip(b["text"], more, strict=True):
             text = x.as_py()
             if text is not None:
                 text = sanitise(text, S.personal(text) + [(k, int(p), int(q)) for k, p, q in (s.split(":") for s in extra or [])])
@@ -335,24 +351,40 @@ _DOCUMENT = [("doc_id", pa.int64()), ("text", pa.string()), ("lang", pa.string()
 
 
 def sanitise(text: str, found: list[S.Span]) -> str:
-    """The text with each span replaced by its kind's mask; of overlapping spans the first, then the longest, gives the mask of all."""
+    """The text with each span replaced by its kind's mask, or its class; of overlapping spans the first, then the longest, gives the mask of all."""
     out, at = [], 0
     for kind, a, b in sorted(found, key=lambda s: (s[1], -s[2])):
         if a >= at:
-            out += [text[at:a], MASKS[kind]]
+            out += [text[at:a], broader(text[a:b]) if kind == "general" else MASKS[kind]]
         at = max(at, b)
     return "".join([*out, text[at:]])
 
 
+#: Parts that the copies of one text are dealt to where their spans are joined.
+PARTS = 32
+
+
 def sanitise_documents(docs: DataFrame, rules: Disclosure = Disclosure()) -> DataFrame:
-    """The documents with personal data and disclosing terms masked; n_chars counts the new text. Null texts stay null."""
+    """The documents with personal data and disclosing terms masked; n_chars counts the new text. Null texts stay null.
+
+    Repeated rows each get a row, empty texts stay empty, no rows give no rows, other columns are left out. Only texts
+    with a flagged term are shuffled, to their spans; copies of one text are dealt to PARTS parts.
+    """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("n_chars").cast("long").alias("n_chars"))
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
     terms = written(disclosing_terms(docs, rules))
-    places = docs.select("text", _digest()).mapInArrow(functools.partial(_flagged, wanted=bitmap(terms, "term")), "digest string, at array<struct<term:long,start:long,end:long>>")
-    extra = written(_term_spans(places, terms))
-    keyed = docs.withColumn("__digest", _digest())
-    joined = keyed.join(extra.select(F.col("digest").alias("__digest"), F.col("extra").alias("__extra")), "__digest", "left").drop("__digest")
-    return joined.mapInArrow(_mask, "doc_id long, text string, lang string, source string, n_chars long")
+    wanted = bitmap(terms, "term")
+    if not any(wanted):
+        return docs.mapInArrow(_mask, schema)
+    places = docs.select("text", _digest()).mapInArrow(functools.partial(_flagged, wanted=wanted), "digest string, at array<struct<term:long,start:long,end:long>>")
+    places = places.groupBy("digest").agg(F.first("at").alias("at")).select("digest", F.explode("at").alias("x")).select("digest", "x.*")
+    extra = written(_term_spans(places, terms, "digest").withColumn("__key", F.xxhash64("digest")))
+    wanted = bitmap(extra, "__key")
+    keyed = docs.withColumns({"__digest": _digest(), "__part": (F.monotonically_increasing_id() % PARTS).cast("int")}).withColumn("__key", F.xxhash64("__digest"))
+    clear = keyed.drop("__digest", "__part").mapInArrow(functools.partial(_mask, but=wanted), schema)
+    parts = extra.select(F.col("digest").alias("__digest"), F.col("extra").alias("__extra"), F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("__part"))
+    joined = narrowed(keyed, "__key", wanted).join(parts, ["__digest", "__part"], "left").select(*docs.columns, "__extra")
+    return clear.unionByName(joined.mapInArrow(_mask, schema))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
