@@ -1,7 +1,7 @@
 """License scans by canonical digest: normalise a whole text, then hash-join it to known licence digests.
 
-DataFrame functions only. A text is looked up as a whole, and so is each of its lines, since a grant notice
-("Licensed under ...") is a complete licence statement that stands on a line of its own.
+DataFrame functions only. A text is looked up as a whole, and so is each of its paragraphs and lines, since a grant notice
+("Licensed under ...") is a complete licence statement that stands on a line or in a paragraph of its own, however wrapped.
 """
 
 from __future__ import annotations
@@ -28,6 +28,36 @@ LICENSES = (
     ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.\n" + _WARRANTY_ISC),
     ("BSD-2-Clause", _BSD_TERMS + "\n" + _WARRANTY_BSD),
     ("BSD-3-Clause", _BSD_TERMS + "\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n" + _WARRANTY_BSD),
+    ("Zlib", """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution."""),
+    ("BSL-1.0", """Boost Software License - Version 1.0 - August 17th, 2003
+Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    ("Unlicense", """This is free and unencumbered software released into the public domain.
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+For more information, please refer to <https://unlicense.org>"""),
+    ("Apache-2.0", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at"""),
+    ("Apache-2.0", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License."""),
+    ("Apache-2.0", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+http://www.apache.org/licenses/LICENSE-2.0
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"),
+    ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
+    ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
+    ("LGPL-3.0", "SPDX-License-Identifier: LGPL-3.0-or-later"),
+    ("AGPL-3.0", "SPDX-License-Identifier: AGPL-3.0-or-later"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Released under the Apache License 2.0."),
     ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
@@ -58,51 +88,73 @@ COPYRIGHT_LINE = r"(?m)^[^\n0-9a-z(©]*(copyright[ \t]+(\(c\)|©|[0-9]{4})|\(c\)
 PUNCTUATION = r"[^\p{L}\p{N}\n]+"
 
 
-def canonical_lines(text: Column) -> Column:
-    """The non-empty lines of a text in canonical form: lower case, one spelling, no copyright lines, single spaces for punctuation."""
+#: What parts paragraphs, and lines of one, once punctuation is spaces.
+PARAGRAPHS, BREAKS = r"\n *(?:\n *)+", r" *\n *"
+#: Rows that a table of known licences may have; it is broadcast, at about 100 bytes a row.
+MOST_KNOWN = 10_000
+
+
+def canonical(text: Column) -> Column:
+    """A text in canonical form, lines kept: lower case, one spelling, no copyright lines, single spaces for punctuation."""
     t = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "")
     for a, b in SPELLINGS:
         t = F.replace(t, F.lit(a), F.lit(b))
-    t = F.regexp_replace(t, PUNCTUATION, " ")
+    return F.regexp_replace(t, PUNCTUATION, " ")
+
+
+def _lines(t: Column) -> Column:
     return F.filter(F.transform(F.split(t, "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
-def known(spark: SparkSession) -> DataFrame:
-    """digest, license of every known text; as many rows as LICENSES, a constant."""
+def _whole(t: Column) -> Column:
+    return F.concat_ws(" ", _lines(t))
+
+
+def _paragraphs(t: Column) -> Column:
+    return F.transform(F.split(t, PARAGRAPHS), lambda x: F.trim(F.regexp_replace(x, BREAKS, " ")))
+
+
+def _digest(x: Column) -> Column:
+    return F.sha2(x.cast("binary"), 256)
+
+
+def known(spark: SparkSession, more: DataFrame | None = None) -> DataFrame:
+    """digest, license of every known text, one row a digest (of two licences the first by name).
+
+    more: license, text of further known texts; with LICENSES they may be MOST_KNOWN, or it is refused.
+    """
     rows = F.array(*[F.struct(F.lit(i).alias("license"), F.lit(t).alias("text")) for i, t in LICENSES])
-    k = spark.range(1).select(F.explode(rows).alias("x")).select("x.license", canonical_lines(F.col("x.text")).alias("lines"))
-    return k.select("license", F.sha2(F.concat_ws(" ", "lines").cast("binary"), 256).alias("digest")).distinct()
+    k = spark.range(1).select(F.explode(rows).alias("x")).select("x.license", "x.text")
+    if more is not None:
+        k = k.unionByName(more.select("license", "text").where("license IS NOT NULL AND text IS NOT NULL").limit(MOST_KNOWN + 1))
+        if k.count() > MOST_KNOWN:
+            raise ValueError(f"more than {MOST_KNOWN} known licence texts")
+    whole = k.select("license", _whole(canonical(F.col("text"))).alias("t")).where("t <> ''")
+    return whole.groupBy(_digest(F.col("t")).alias("digest")).agg(F.min("license").alias("license"))
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, more: DataFrame | None = None) -> DataFrame:
     """Per row of docs (doc_id, text; others are left out): the licence that the whole text is, and all that it states.
 
     text_license: the licence whose canonical text is the whole text, else null. licenses: ids of the whole text
-    and of single lines, distinct, in order, comma-joined, '' for none; n_licenses counts them. Null and empty
-    texts and texts of copyright lines only match nothing. Repeated rows each get a row. Lines longer than every known
-    one are not hashed; that is no cap, as they can't match.
+    and of single paragraphs and lines, distinct, in order, comma-joined, '' for none; n_licenses counts them. Null and empty
+    texts and texts of copyright lines only match nothing. Repeated rows each get a row; no rows give none. more: further known texts.
+
+    Whole texts are hash-joined with the known digests. Parts of a text are looked up in the same digests as a
+    constant of the plan, so no row is expanded or shuffled, and copies of one text meet nowhere.
     """
-    spark = docs.sparkSession
-    longest = max(len(t) for _, t in LICENSES) * 2
-    d = docs.select("doc_id", "text").withColumn("lines", canonical_lines(F.coalesce("text", F.lit(""))))
-    d = d.select(
-        "doc_id",
-        F.sha2(F.col("text").cast("binary"), 256).alias("text_digest"),
-        F.sha2(F.concat_ws(" ", "lines").cast("binary"), 256).alias("whole"),
-        F.array_distinct(F.transform(F.filter("lines", lambda x: F.length(x) <= longest), lambda x: F.sha2(x.cast("binary"), 256))).alias("line_digests"),
-    )
-    lookup = F.broadcast(known(spark))  # as many rows as LICENSES
-    stated = (
-        d.select("text_digest", F.explode("line_digests").alias("digest"))
-        .join(lookup, "digest")
-        .groupBy("text_digest")
-        .agg(F.collect_set("license").alias("stated"))
-    )
+    lookup = known(docs.sparkSession, more)
+    licenses = {r["digest"]: r["license"] for r in lookup.collect()}  # MOST_KNOWN rows at most
+    of_digest = F.create_map(*[F.lit(x) for kv in licenses.items() for x in kv])
+    d = docs.select("doc_id", canonical(F.coalesce("text", F.lit(""))).alias("t"))
+    d = d.select("doc_id", _digest(_whole(F.col("t"))).alias("whole"), F.array_distinct(F.concat(_lines(F.col("t")), _paragraphs(F.col("t")))).alias("parts"))
+    hits = F.filter(F.transform("parts", _digest), lambda x: x.isin(list(licenses)))
+    d = d.select("doc_id", "whole", F.transform(hits, lambda x: F.element_at(of_digest, x)).alias("stated"))
+    whole = F.broadcast(lookup.select(F.col("digest").alias("whole"), F.col("license").alias("text_license")))
+    found = F.array_sort(F.array_distinct(F.concat("stated", F.filter(F.array("text_license"), lambda x: x.isNotNull()))))
     return (
-        d.drop("line_digests")
-        .join(lookup.select(F.col("digest").alias("whole"), F.col("license").alias("text_license")), "whole", "left")
-        .join(stated, "text_digest", "left")
-        .select("doc_id", "text_license", F.array_sort(F.array_union(F.coalesce("stated", F.array().cast("array<string>")), F.filter(F.array("text_license"), lambda x: x.isNotNull()))).alias("found"))
+        d.join(whole, "whole", "left")
+        .select("doc_id", "text_license", found.alias("found"))
         .select("doc_id", "text_license", F.array_join("found", ",").alias("licenses"), F.size("found").cast("long").alias("n_licenses"))
     )
 
@@ -121,15 +173,17 @@ def _sql() -> str:
     t = f"regexp_replace(lower(text), {_quoted(COPYRIGHT_LINE)}, '', 'g')"
     for a, b in SPELLINGS:
         t = f"replace({t}, {_quoted(a)}, {_quoted(b)})"
-    lines = f"list_filter(list_transform(string_split(regexp_replace({t}, {_quoted(PUNCTUATION)}, ' ', 'g'), chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '')"
+    t = f"regexp_replace({t}, {_quoted(PUNCTUATION)}, ' ', 'g')"
+    lines = "list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '')"
+    paragraphs = f"list_transform(regexp_split_to_array(t, {_quoted(PARAGRAPHS)}), lambda x: trim(regexp_replace(x, {_quoted(BREAKS)}, ' ', 'g'), ' '))"
     values = ", ".join(f"({_quoted(i)}, {_quoted(x)})" for i, x in LICENSES)
     return f"""
 WITH raw(license, text) AS (VALUES {values}),
-known AS (SELECT DISTINCT license, array_to_string({lines}, ' ') AS canon FROM raw),
-d AS (SELECT doc_id, {lines} AS lines FROM (SELECT doc_id, COALESCE(text, '') AS text FROM documents)),
+known AS (SELECT canon, min(license) AS license FROM (SELECT license, array_to_string({lines}, ' ') AS canon FROM (SELECT license, {t} AS t FROM raw)) GROUP BY canon),
+d AS (SELECT doc_id, array_to_string({lines}, ' ') AS whole, list_concat({lines}, {paragraphs}) AS parts FROM (SELECT doc_id, {t} AS t FROM (SELECT doc_id, COALESCE(text, '') AS text FROM documents))),
 found AS (
-  SELECT doc_id, (SELECT min(license) FROM known WHERE canon = array_to_string(lines, ' ')) AS text_license,
-    (SELECT list_sort(list(DISTINCT license)) FROM known WHERE list_contains(lines, canon) OR canon = array_to_string(lines, ' ')) AS found
+  SELECT doc_id, (SELECT min(license) FROM known WHERE canon = whole) AS text_license,
+    (SELECT list_sort(list(DISTINCT license)) FROM known WHERE list_contains(parts, canon) OR canon = whole) AS found
   FROM d
 )
 SELECT doc_id, text_license, COALESCE(array_to_string(found, ','), '') AS licenses, COALESCE(len(found), 0)::BIGINT AS n_licenses FROM found

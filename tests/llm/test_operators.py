@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import textwrap
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -300,6 +301,17 @@ def test_licenses_in_other_spellings(spark):
     assert got == {0: ("ISC", "ISC"), 1: ("ISC", "ISC"), 2: (None, ""), 3: (None, "Apache-2.0"), 4: (None, ""), 5: (None, "")}
 
 
+def test_licenses_in_paragraphs_and_further_texts(spark):
+    gpl = next(t for i, t in license.LICENSES if i == "AGPL-3.0")
+    wrapped = "# a script\n#\n# " + "\n# ".join(textwrap.wrap(gpl, 40)) + "\n#\n# and so on"
+    more = spark.createDataFrame([("X-2", "do what you like"), ("X-1", "Do what, you like!"), ("X-3", None), (None, "x")], "license string, text string")
+    docs = make(spark, [(i, t, "en", "s", 0) for i, t in enumerate([wrapped, wrapped.replace("Affero", "Other"), "DO WHAT YOU LIKE"])])
+    got = {r["doc_id"]: (r["text_license"], r["licenses"]) for r in license.scan(docs, more).collect()}
+    assert got == {0: (None, "AGPL-3.0"), 1: (None, ""), 2: ("X-1", "X-1")}
+    with pytest.raises(ValueError):
+        license.known(spark, spark.range(license.MOST_KNOWN).selectExpr("'x' AS license", "cast(id AS string) AS text"))
+
+
 def test_pipeline_matches_its_stages_by_brute_force(spark, tmp_path):
     rng = random.Random(12)
     texts = near_copies(rng)
