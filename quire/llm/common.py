@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import functools
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -45,9 +46,13 @@ def _local_scratch() -> str:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The shared folder of spark.checkpoint.dir; where that is unset, a temporary one in local mode, else an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{at or 'file://' + _local_scratch()}/quire"
+    if not at:
+        if not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        at = f"file://{_local_scratch()}"
+    return f"{at}/quire"
 
 
 _written: list[tuple[SparkSession, str]] = []

@@ -45,9 +45,10 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
     )
 
 
-def draw(doc_id, seed: str) -> F.Column:
-    """A number in [0, 1) that depends on the id and the seed only; 52 bits of a digest."""
-    return F.conv(F.substring(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(f":{seed}")).cast("binary")), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
+def draw(doc_id, text, seed: str) -> F.Column:
+    """A number in [0, 1) that depends on the id, or on the text where there is none, and the seed only; 52 bits of a digest."""
+    who = F.coalesce(doc_id.cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(text, F.lit("")).cast("binary"))))
+    return F.conv(F.substring(F.md5(F.concat(who, F.lit(f":{seed}")).cast("binary")), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
 def mix(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = (1, 2, 3), most: int = MOST) -> DataFrame:
@@ -55,16 +56,16 @@ def mix(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = (1, 2, 3)
 
     docs: doc_id, text, source (others are left out). Rate = target / source_size; a document gets
     floor(rate) copies and one more if its draw is under the fraction. Null text has size 0; a null source is a
-    source of its own; a null doc_id draws as 'null'; repeated rows draw alike; no rows give no rows.
+    source of its own; a row without doc_id draws by its text; repeated rows draw alike; no rows give no rows.
     """
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), draw(F.col("doc_id"), F.col("text"), seed).alias("draw"))
     targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
     t = targets.withColumnRenamed("source", "of_source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     return (
         sized.join(t, F.col("source").eqNullSafe(F.col("of_source")))
         .withColumn("rate", rate)
-        .withColumn("copies", (F.floor("rate") + (draw(F.col("doc_id"), seed) < F.col("rate") - F.floor("rate")).cast("long")).cast("long"))
+        .withColumn("copies", (F.floor("rate") + (F.col("draw") < F.col("rate") - F.floor("rate")).cast("long")).cast("long"))
         .select("doc_id", "source", "size", "source_size", "target", "copies")
     )
 
@@ -83,7 +84,7 @@ def mix_sources(docs: DataFrame, seed: str = "mix") -> DataFrame:
     rate = F.coalesce("__rate", F.lit(0.0))
     return (
         d.join(t, F.col("source").eqNullSafe(F.col("__source")))
-        .withColumn("__copies", (F.floor(rate) + (draw(F.col("doc_id"), seed) < rate - F.floor(rate)).cast("long")).cast("int"))
+        .withColumn("__copies", (F.floor(rate) + (draw(F.col("doc_id"), F.col("text"), seed) < rate - F.floor(rate)).cast("long")).cast("int"))
         .withColumn("__copy", F.explode(F.expr("CASE WHEN __copies > 0 THEN sequence(1, __copies) ELSE array() END")))
         .select(*names)
     )
@@ -98,7 +99,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+  SELECT doc_id, source, COALESCE(doc_id::VARCHAR, 'null:' || md5(COALESCE(text, ''))) AS who, COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
 ), src AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source
 ), ranked AS (
@@ -115,10 +116,10 @@ WITH sized AS (
 ), targets AS (
   SELECT source, source_size, least((3 * source_size)::DOUBLE, COALESCE((SELECT level FROM pick) * weight, 'inf'::DOUBLE)) AS target FROM levels
 ), rated AS (
-  SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate
+  SELECT doc_id, who, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate
   FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source
 )
 SELECT doc_id, size, source_size, target,
-  (size * (floor(rate)::BIGINT + CASE WHEN ('0x' || substr(md5(COALESCE(doc_id::VARCHAR, 'null') || ':mix'), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken
+  (size * (floor(rate)::BIGINT + CASE WHEN ('0x' || substr(md5(who || ':mix'), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM rated
 """

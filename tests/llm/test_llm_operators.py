@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import textwrap
+import types
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -232,6 +233,25 @@ def brute_disclosure(texts, rules):
     return out
 
 
+def test_rows_without_ids_are_mixed_one_by_one(spark):
+    docs = make(spark, [(None, f"word{i} " * 10, "en", "abc"[i % 3], 0) for i in range(900)])
+    out = mixing.mix(docs).groupBy("source", "target").agg({"copies": "sum"}).collect()
+    assert all(abs(10 * r["sum(copies)"] - r["target"]) < 0.1 * r["target"] for r in out) and len(out) == 3
+
+
+def test_scratch_is_shared_on_a_cluster():
+    class Conf:
+        get = staticmethod(lambda key, default=None: default)
+
+    def at(master):
+        return common.scratch_dir(types.SimpleNamespace(conf=Conf, sparkContext=types.SimpleNamespace(master=master)))
+
+    assert at("local[*]").startswith("file:") and at("local") and at("local[4,2]")
+    for master in ("spark://h:7077", "yarn", "local-cluster[3,2,1024]", "k8s://x"):
+        with pytest.raises(RuntimeError):
+            at(master)
+
+
 def test_disclosing_terms_match_brute_force(spark):
     rng = random.Random(9)
     rules = pii.Disclosure(min_texts=3, min_bits=2.0)
