@@ -74,6 +74,13 @@ def test_one_row_of_an_id_stays(spark):
     assert sorted((r["doc_id"] or -1) for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [-1, 1, 9]
 
 
+def test_texts_of_one_id_are_told_apart(spark):
+    a, b, c = "a b c d e f g", "h i j k l m n", "o p q r s t u"
+    docs = make(spark, [(1, a, "en", "s", 1), (1, b, "en", "s", 1), (1, b, "en", "s", 1), (2, b, "en", "s", 1), (3, c, "en", "s", 1), (3, None, "en", "s", 1), (3, None, "en", "s", 1), (4, c, "en", "s", 1)])
+    got = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
+    assert got == {(1, a): 1, (1, b): 1, (3, c): 1, (3, None): 1}
+
+
 def words(rng, n, vocabulary=400):
     return [f"w{rng.randrange(vocabulary)}" for _ in range(n)]
 
