@@ -20,6 +20,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
+from quire.llm.common import tidy
+
 # Fixed value: the pieces within which byte-level BPE merges.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 _PIECES = regex.compile(PIECES)
@@ -311,6 +313,7 @@ def round_trip(encoder: Encoder, text: str) -> tuple[int, str, str]:
 _ARROW = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
 
+@tidy
 def _map(batches: Iterator[pa.RecordBatch], data: str) -> Iterator[pa.RecordBatch]:
     encoder = _encoder(data)
     for b in batches:
@@ -331,6 +334,7 @@ def tokenize(docs: DataFrame, vocabulary: str) -> DataFrame:
     return docs.selectExpr("cast(doc_id as long) AS doc_id", "text").mapInArrow(functools.partial(_map, data=data), schema)
 
 
+@tidy
 def _ids(batches: Iterator[pa.RecordBatch], data: str) -> Iterator[pa.RecordBatch]:
     encoder = _encoder(data)
     for b in batches:

@@ -25,6 +25,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.llm.common import tidy
+
 CONTROL = re.compile(r"###|</turn>")
 _ESCAPED = re.compile(r"\\(###|</turn>)")
 _HEADER = regex.compile(r"### (User|Assistant|System|Tool|=(?:[^\\:\n]|\\.)*): ")
@@ -162,6 +164,7 @@ _SCHEMA = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, los
 _ARROW = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
 
 
+@tidy
 def _digest_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come by conversation and turn; one open conversation at a time, across batches."""
     conv, open_, rows = None, None, []
@@ -194,6 +197,7 @@ def round_trip(conversations: DataFrame) -> DataFrame:
     return dealt.select("conv_id", "role", "text").mapInArrow(_digest_sorted, _SCHEMA)
 
 
+@tidy
 def _rendered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out = [render_turn(r, t) for r, t in zip(b["role"].to_pylist(), b["text"].to_pylist(), strict=True)]

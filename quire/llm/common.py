@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import functools
 import re
 import tempfile
@@ -90,18 +91,18 @@ def _sweep() -> None:
             _delete(spark, path)
 
 
-#: Bits of a bit map for each key, and the least and most of one: 8 kB to 32 MB. With more keys than that it lets more
+#: Bits of a bit map for each key, and the least and most of one: 1 to 32 MB. With more keys than that it lets more
 #: through, never fewer, and every use of one is followed by an exact join or count.
-BITS_A_KEY, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 28
+BITS_A_KEY, LEAST_BITS, MOST_BITS = 64, 1 << 23, 1 << 28
 
 
-def bitmap(hashes: DataFrame, column: str, keys: int | None = None) -> bytes:
+def bitmap(hashes: DataFrame, column: str, keys: int | None = None, per_key: int = BITS_A_KEY, least: int = LEAST_BITS) -> bytes:
     """A one-hash Bloom filter over a long column, sized by the number of keys (counted if not given).
 
     Words of 64 bits reach the driver as Arrow batches, at most MOST_BITS / 64 of them.
     """
     keys = hashes.count() if keys is None else keys
-    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_A_KEY * max(1, keys) - 1).bit_length()))
+    bits = min(MOST_BITS, max(least, 1 << (per_key * max(1, keys) - 1).bit_length()))
     slot = F.pmod(F.col(column), F.lit(bits))
     rows = (
         hashes.where(F.col(column).isNotNull())
@@ -141,7 +142,7 @@ class Levels:
             keys = some.count()
             if not keys and self.maps:
                 break
-            self.maps.append(bitmap(some, column, keys))
+            self.maps.append(bitmap(some, column, keys, per_key=16, least=1 << 16))
 
     def __call__(self, hashes: np.ndarray) -> np.ndarray:
         tests = [BitmapTest(m)(hashes) for m in self.maps]
@@ -153,6 +154,29 @@ def narrowed(df: DataFrame, column: str, data: bytes) -> DataFrame:
     return df.mapInArrow(functools.partial(by_bitmap, column=column, data=data, through=True), df.schema)
 
 
+def _release() -> None:
+    """Gives freed memory back to the system: Python workers are kept for later tasks, and what they hold counts."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def tidy(f):
+    """For functions of mapInArrow: releases memory at the end of a partition."""
+
+    @functools.wraps(f)
+    def g(batches, *args, **kwargs):
+        try:
+            yield from f(batches, *args, **kwargs)
+        finally:
+            _release()
+
+    return g
+
+
+@tidy
 def by_bitmap(batches: Iterator[pa.RecordBatch], column: str, data: bytes, through: bool) -> Iterator[pa.RecordBatch]:
     """The rows whose long key the map lets through, or the others; null keys are among the others."""
     test = BitmapTest(data)

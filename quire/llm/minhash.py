@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import LOWER_ASCII, BitmapTest, Levels, bitmap, by_bitmap, connected_components, discard, narrowed, written
+from quire.llm.common import LOWER_ASCII, BitmapTest, Levels, bitmap, by_bitmap, connected_components, discard, narrowed, tidy, written
 
 
 @dataclass(frozen=True)
@@ -74,6 +74,7 @@ def _digest(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
+@tidy
 def _sketches(batches: Iterator[pa.RecordBatch], p: Sketching) -> Iterator[pa.RecordBatch]:
     hashes = _Hashes()
     for b in batches:
@@ -86,6 +87,7 @@ def _sketches(batches: Iterator[pa.RecordBatch], p: Sketching) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(sketch, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "digest", "sketch"])
 
 
+@tidy
 def _sets(batches: Iterator[pa.RecordBatch], p: Sketching, wanted: bytes, repeated: bytes | None, through: bool) -> Iterator[pa.RecordBatch]:
     """Full sets of the documents whose ids `wanted` lets through, and `repeated` does (through) or doesn't."""
     hashes, test, again = _Hashes(), BitmapTest(wanted), repeated and BitmapTest(repeated)
@@ -129,6 +131,7 @@ def rare_first(lists: pa.ListArray, levels: Levels, least: np.ndarray) -> tuple[
     return row[take], value[take], place[take], shared
 
 
+@tidy
 def _listed(batches: Iterator[pa.RecordBatch], p: Sketching, levels: Levels) -> Iterator[pa.RecordBatch]:
     """v, rep, central: the values under which a sketch is listed, and how many values it shares."""
     for b in batches:
@@ -139,6 +142,7 @@ def _listed(batches: Iterator[pa.RecordBatch], p: Sketching, levels: Levels) ->
         yield pa.RecordBatch.from_arrays([pa.array(value), b["rep"].take(pa.array(row)), pa.array(shared[row])], names=["v", "rep", "central"])
 
 
+@tidy
 def _placed(batches: Iterator[pa.RecordBatch], p: Sketching, levels: Levels, wanted: bytes) -> Iterator[pa.RecordBatch]:
     """s, rep, key, n, met, place: the shingles under which a full set is listed, and how many it shares.
 
@@ -174,6 +178,7 @@ def parities(sets: pa.ListArray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), axis=1).view(np.int64)
 
 
+@tidy
 def _parities(batches: Iterator[pa.RecordBatch], wanted: bytes) -> Iterator[pa.RecordBatch]:
     for b in by_bitmap(batches, "rep", wanted, True):
         for at in range(0, b.num_rows, 256):

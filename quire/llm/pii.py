@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import spans as S
-from quire.llm.common import DOCUMENT_COLUMNS, SPACES, BitmapTest, bitmap, by_bitmap, narrowed, written
+from quire.llm.common import DOCUMENT_COLUMNS, SPACES, BitmapTest, bitmap, by_bitmap, narrowed, tidy, written
 
 KINDS = ("email", "ip", "card", "phone", "remove", "general")
 #: What stands for a span in a sanitised text; a term that is generalised gets its class instead (broader).
@@ -107,6 +107,7 @@ def near(text: str, found: list[S.Span], rules: Disclosure) -> set[tuple[str, st
     return {(e, t) for e in entities_of(text, found) for t in terms}
 
 
+@tidy
 def _entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """digest, text and hashes of the entities, only of texts that have any."""
     for b in batches:
@@ -123,6 +124,7 @@ def _entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _HELD = 200_000
 
 
+@tidy
 def _pairs(batches: Iterator[pa.RecordBatch], wanted: bytes) -> Iterator[pa.RecordBatch]:
     """Documents and distinct texts by pair, for entities in the bit map, summed over up to _HELD pairs of a task."""
     test, docs, texts = BitmapTest(wanted), Counter(), Counter()
@@ -179,6 +181,7 @@ class _Hits:
         return words & self.hash_of.keys()
 
 
+@tidy
 def _counts(batches: Iterator[pa.RecordBatch], wanted: bytes) -> Iterator[pa.RecordBatch]:
     """Documents by term, for terms in the bit map, summed over the task; the key null counts documents."""
     hits, docs, counts = _Hits(wanted), 0, Counter()
@@ -268,6 +271,7 @@ _AT = pa.list_(pa.struct([("term", pa.int64()), ("start", pa.int64()), ("end", p
 _FOUND = pa.schema([("doc_id", pa.int64()), *[(f"n_{k}", pa.int64()) for k in KINDS[:4]], ("base_sha256", pa.string()), ("base", pa.string()), ("at", _AT)])
 
 
+@tidy
 def _find(batches: Iterator[pa.RecordBatch], wanted: bytes | None) -> Iterator[pa.RecordBatch]:
     """Base spans of every text, and the places of terms that the bit map lets through."""
     hits = wanted and _Hits(wanted)
@@ -283,6 +287,7 @@ def _find(batches: Iterator[pa.RecordBatch], wanted: bytes | None) -> Iterator[p
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _FOUND.types)], schema=_FOUND)
 
 
+@tidy
 def _flagged(batches: Iterator[pa.RecordBatch], wanted: bytes) -> Iterator[pa.RecordBatch]:
     """digest and places, only of texts that have any."""
     hits = _Hits(wanted)
@@ -332,6 +337,7 @@ def _merged(base, extra):
     return F.array_join(F.transform(F.array_sort(keyed), lambda x: x["span"]), ",")
 
 
+@tidy
 def _mask(batches: Iterator[pa.RecordBatch], but: bytes | None = None) -> Iterator[pa.RecordBatch]:
     """Masked documents. but: leaves out rows whose __key this bit map lets through; without, rows bring an __extra."""
     for b in by_bitmap(batches, "__key", but, False) if but else batches:

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm.common import SPACES, chunks
+from quire.llm.common import SPACES, chunks, tidy
 
 SYMBOLS = "#*$%&|<>"
 
@@ -185,6 +185,7 @@ def measure(texts: list[str | None], rules: Rules) -> dict[str, np.ndarray]:
 MEASURES = {"n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long", "covered_chars": "long", "longest_repeat": "long", "base_failed": "boolean", "kept": "boolean"}
 
 
+@tidy
 def _map(batches: Iterator[pa.RecordBatch], rules: Rules, only_kept: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b in chunks(batch.column("text")):

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm import spans as S
+from quire.llm.common import tidy
 
 KINDS = ("assign", "access", "hex", "guess")
 # Words that passwords and placeholders are made of, common ones first.
@@ -169,6 +170,7 @@ def guessed(text: str, words: Words | dict[str, int], min_bits: float = MIN_BITS
 _ARROW = pa.schema([("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("n_guess", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string())])
 
 
+@tidy
 def _scan(batches: Iterator[pa.RecordBatch], ranks: dict[str, int], min_bits: float) -> Iterator[pa.RecordBatch]:
     words = Words(ranks)
     for b in batches:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import LOWER_ASCII, chunks
+from quire.llm.common import LOWER_ASCII, chunks, tidy
 
 
 @dataclass(frozen=True)
@@ -216,6 +216,7 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Model:
     return train([t for _, t in got], [label_of[i] for i, _ in got], p)
 
 
+@tidy
 def _map(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     scorer = Scorer(model)
     for batch in batches:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import connected_components, written
+from quire.llm.common import connected_components, tidy, written
 
 
 @dataclass(frozen=True)
@@ -48,6 +48,7 @@ def signatures(x: np.ndarray, bits: int, tables: int, seed: int) -> np.ndarray:
     return (signs.reshape(len(x), tables, bits) @ (1 << np.arange(bits, dtype=np.int64))).astype(np.int32)
 
 
+@tidy
 def _raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each vector's bytes; null where it can't be linked: null, empty, zero, or with a null or non-finite component."""
     for b in batches:
@@ -60,6 +61,7 @@ def _raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b["vec_id"], pa.array(out, pa.binary())], names=["vec_id", "vec"])
 
 
+@tidy
 def _hash(batches: Iterator[pa.RecordBatch], dtype: str, bits: int, tables: int, seed: int) -> Iterator[pa.RecordBatch]:
     """A row for each vector and table, with the vector and its buckets in all tables."""
     width = np.dtype(dtype).itemsize
@@ -119,6 +121,7 @@ def roots(n: int, i: np.ndarray, j: np.ndarray, order: np.ndarray) -> np.ndarray
     return at[low]
 
 
+@tidy
 def _compare(batches: Iterator[pa.RecordBatch], dtype: str, bits: int, least: float) -> Iterator[pa.RecordBatch]:
     """Rows come by group; per linked vector of a group: its fresh links, and a vector of its component in the group."""
 
