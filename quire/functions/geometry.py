@@ -139,6 +139,28 @@ def direction(angle: Column, confidence: Column, box: Box) -> Column:
     )
 
 
+def local_relation(candidate: Box, anchor: Box, degrees: Column) -> Column:
+    """Struct of side, gap and overlap: where the candidate lies around the anchor in a frame turned by the angle.
+
+    Sides are before and after along the stacking of lines, inline_before and inline_after along a line; of several the
+    one with the least gap, in this order. Overlap is that of the other axis. Side is null where they meet or no angle is known.
+    """
+    c, a = candidate.rotated(degrees), anchor.rotated(degrees)
+
+    def over(lo: Column, hi: Column, other_lo: Column, other_hi: Column) -> Column:
+        return positive(F.least(hi, other_hi) - F.greatest(lo, other_lo)) / F.greatest(F.lit(1.0), F.least(hi - lo, other_hi - other_lo))
+
+    along, across = over(c.x0, c.x1, a.x0, a.x1), over(c.y0, c.y1, a.y0, a.y1)
+    sides = [("before", c.y1 <= a.y0, a.y0 - c.y1, along), ("after", c.y0 >= a.y1, c.y0 - a.y1, along), ("inline_before", c.x1 <= a.x0, a.x0 - c.x1, across), ("inline_after", c.x0 >= a.x1, c.x0 - a.x1, across)]
+    options = F.array(*[F.when(holds, F.struct(positive(gap).alias("gap"), F.lit(n).alias("rank"), F.lit(name).alias("side"), overlap.alias("overlap"))) for n, (name, holds, gap, overlap) in enumerate(sides)])
+    return F.array_min(options)
+
+
+def right_angle(degrees: Column) -> Column:
+    """The nearest of 0, 90, 180 and 270; of two the smaller."""
+    return F.array_min(F.array(*[F.struct(angle_distance(degrees, F.lit(x)).alias("d"), F.lit(x).alias("angle")) for x in (0.0, 90.0, 180.0, 270.0)]))["angle"]
+
+
 def union_box(prefix: str = "") -> list[Column]:
     """Aggregates that give the box around a group."""
     return [F.min(f"{prefix}x0").alias("x0"), F.min(f"{prefix}y0").alias("y0"), F.max(f"{prefix}x1").alias("x1"), F.max(f"{prefix}y1").alias("y1")]

@@ -13,24 +13,11 @@ from quire.functions.barrier import fixed
 from quire.functions.geometry import Box
 from quire.operators import captions, completion, filters, hierarchy, order, pairs, resolve, tables, trace
 from quire.plans import oracles as O
+from quire.plans.registry import ORACLE_SQL, QUERIES, query
 from quire.sources import adapters as A
 from quire.sources import sinks
 from quire.streaming import events as E
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
 def _li(spark: SparkSession, d: str) -> DataFrame:
     return A.lineitem_regions(spark, d)
 
@@ -181,11 +168,6 @@ def caption_groups(spark, d):
     return captions.caption_groups(r, captions.associations(r)).select("parent_id", F.array_join("caption_ids", ",").alias("caption_ids"), "x0", "y0", "x1", "y1")
 
 
-@query(O.li(select="SELECT c.region_id AS caption_id, arg_min(f.region_id, (c.y0 - f.y1, f.region_id)) AS figure_id, min(c.y0 - f.y1) AS gap FROM li c JOIN li f USING (doc_id, page_number) WHERE c.type = 'Caption' AND f.type = 'Figure' AND f.y1 <= c.y0 GROUP BY c.region_id"))
-def figure_nearest_caption(spark, d):
-    return captions.nearest_figure_above(_li(spark, d)).select("caption_id", "figure_id", "gap")
-
-
 @query(O.li(select="""SELECT * FROM (SELECT f.region_id AS formula_id,
   (SELECT t.region_id FROM li t WHERE t.page_number = f.page_number AND t.type = 'Text' AND least(f.x1, t.x1) > greatest(f.x0, t.x0) AND t.y1 <= f.y0 ORDER BY t.y1 DESC, t.region_id LIMIT 1) AS above_id,
   (SELECT t.region_id FROM li t WHERE t.page_number = f.page_number AND t.type = 'Text' AND least(f.x1, t.x1) > greatest(f.x0, t.x0) AND t.y0 >= f.y1 ORDER BY t.y0, t.region_id LIMIT 1) AS below_id
@@ -265,33 +247,40 @@ def nested_assets_excluded(spark, d):
 
 def _edges(spark, d):
     """The relationships with ends put wrong at fixed places, so that each defect occurs."""
-    r = _related(spark, d).select(F.col("a_region_id").alias("left_id"), F.col("b_region_id").alias("right_id"), "kind", "status")
-    wrong = F.when(F.col("left_id") % 97 == 0, F.col("left_id") + 500).when(F.col("left_id") % 89 == 0, F.col("left_id")).when(F.col("left_id") % 83 == 0, F.col("left_id") - F.col("left_id") % 1000 + 2001).otherwise(F.col("right_id"))
+    r = _related(spark, d).select("doc_id", F.col("a_region_id").alias("left_id"), F.col("b_region_id").alias("right_id"), "kind", "status")
+    # A document's pages are 100 apart.
+    other_page = F.col("left_id") - F.col("left_id") % 1000 + 100_001
+    wrong = F.when(F.col("left_id") % 97 == 0, F.col("left_id") + 500).when(F.col("left_id") % 89 == 0, F.col("left_id")).when(F.col("left_id") % 83 == 0, other_page).otherwise(F.col("right_id"))
     return r.withColumn("right_id", wrong)
 
 
-@query(O.li(O.PAIRS, """ed AS (SELECT a_region_id AS left_id, CASE WHEN a_region_id % 97 = 0 THEN a_region_id + 500 WHEN a_region_id % 89 = 0 THEN a_region_id WHEN a_region_id % 83 = 0 THEN a_region_id - a_region_id % 1000 + 2001 ELSE b_region_id END AS right_id, status FROM rl),
+_INTEGRITY = """ed AS (SELECT doc_id, a_region_id AS left_id, status, CASE WHEN a_region_id % 97 = 0 THEN a_region_id + 500 WHEN a_region_id % 89 = 0 THEN a_region_id
+  WHEN a_region_id % 83 = 0 THEN a_region_id - a_region_id % 1000 + 100001 ELSE b_region_id END AS right_id FROM rl),
 pa AS (SELECT *, least(left_id, right_id) || ':' || greatest(left_id, right_id) AS subject FROM ed),
-iss AS (SELECT 'missing_endpoint' AS issue, e::VARCHAR AS subject FROM (SELECT unnest([left_id, right_id]) AS e FROM ed) WHERE e NOT IN (SELECT region_id FROM li)
- UNION ALL SELECT 'self_loop', left_id::VARCHAR FROM ed WHERE left_id = right_id UNION ALL SELECT 'duplicate_authoritative_outcome', subject FROM pa GROUP BY subject HAVING count(*) > 1
- UNION ALL SELECT 'unresolved_candidate', subject FROM pa WHERE status = 'observed_for_hierarchy_validation'
- UNION ALL SELECT 'cross_page', subject FROM pa JOIN li a ON a.region_id = left_id JOIN li b ON b.region_id = right_id WHERE a.page_number <> b.page_number)""",
-    select="SELECT issue, subject, count(*) AS n FROM iss GROUP BY ALL"))
+iss AS (SELECT doc_id, 'missing_endpoint' AS issue, e::VARCHAR AS subject FROM (SELECT doc_id, unnest([left_id, right_id]) AS e FROM ed) x WHERE NOT EXISTS (SELECT 1 FROM li WHERE li.doc_id = x.doc_id AND li.region_id = x.e)
+ UNION ALL SELECT doc_id, 'self_loop', left_id::VARCHAR FROM ed WHERE left_id = right_id UNION ALL SELECT doc_id, 'duplicate_authoritative_outcome', subject FROM pa GROUP BY doc_id, subject HAVING count(*) > 1
+ UNION ALL SELECT doc_id, 'unresolved_candidate', subject FROM pa WHERE status = 'observed_for_hierarchy_validation'
+ UNION ALL SELECT pa.doc_id, 'cross_page', subject FROM pa JOIN li a ON a.doc_id = pa.doc_id AND a.region_id = left_id JOIN li b ON b.doc_id = pa.doc_id AND b.region_id = right_id WHERE a.page_number <> b.page_number)"""
+
+
+@query(O.li(O.PAIRS, _INTEGRITY, select="SELECT doc_id, issue, subject, count(*) AS n FROM iss GROUP BY ALL"))
 def graph_integrity(spark, d):
-    return hierarchy.integrity(_li(spark, d), _edges(spark, d)).groupBy("issue", "subject").agg(F.count("*").alias("n"))
+    return hierarchy.integrity(_li(spark, d), _edges(spark, d)).groupBy("doc_id", "issue", "subject").agg(F.count("*").alias("n"))
+
 
+#: Each region's parent is the one of its page at place (place * place + 1) mod n; walked until the start comes again or has had its chance.
+_CYCLES = """mp AS (SELECT region_id AS child_id, page_number * 1000 + (src_order * src_order + 1) % cnt + 1 AS parent_id, cnt FROM (SELECT *, count(*) OVER (PARTITION BY page_number) AS cnt FROM li)),
+wk AS (SELECT child_id AS start_id, parent_id AS here, 1 AS steps, cnt FROM mp
+  UNION ALL SELECT wk.start_id, mp.parent_id, wk.steps + 1, wk.cnt FROM wk JOIN mp ON mp.child_id = wk.here WHERE wk.here <> wk.start_id AND wk.steps < wk.cnt)"""
 
-@query(O.li("""mp AS (SELECT region_id AS child_id, page_number * 1000 + (src_order % cnt) + 1 AS parent_id FROM (SELECT *, count(*) OVER (PARTITION BY page_number) AS cnt FROM li) WHERE page_number % 50 = 0 AND (src_order % 3 <> 0)),
-wk AS (SELECT child_id AS start_id, parent_id AS at, 1 AS steps FROM mp)""", select="""SELECT region_id, min(steps) AS cycle_length FROM (
-  SELECT m1.child_id AS region_id, 1 AS steps FROM mp m1 WHERE m1.parent_id = m1.child_id
-  UNION ALL SELECT m1.child_id, 2 FROM mp m1 JOIN mp m2 ON m2.child_id = m1.parent_id WHERE m2.parent_id = m1.child_id
-  UNION ALL SELECT m1.child_id, 3 FROM mp m1 JOIN mp m2 ON m2.child_id = m1.parent_id JOIN mp m3 ON m3.child_id = m2.parent_id WHERE m3.parent_id = m1.child_id) GROUP BY region_id"""))
+
+@query(O.li(_CYCLES, select="SELECT start_id AS region_id, steps AS cycle_length FROM wk WHERE here = start_id").replace("WITH ", "WITH RECURSIVE ", 1))
 def hierarchy_cycles(spark, d):
-    """Cycles of a parent map: each region of some pages to the next one of its page."""
+    """Cycles of a parent map over all regions of all pages."""
     from pyspark.sql import Window
 
-    r = _li(spark, d).withColumn("cnt", F.count("*").over(Window.partitionBy("page_number"))).where((F.col("page_number") % 50 == 0) & (F.col("src_order") % 3 != 0))
-    m = r.select(F.col("region_id").alias("child_id"), (F.col("page_number") * 1000 + F.col("src_order") % F.col("cnt") + 1).alias("parent_id"))
+    r = _li(spark, d).withColumn("cnt", F.count("*").over(Window.partitionBy("page_number")))
+    m = r.select(F.col("region_id").alias("child_id"), (F.col("page_number") * 1000 + (F.col("src_order") * F.col("src_order") + 1) % F.col("cnt") + 1).alias("parent_id"))
     return hierarchy.cycles(spark, m).select("region_id", "cycle_length")
 
 
@@ -319,28 +308,6 @@ def edge_figures_excluded(spark, d):
     return filters.edge_figures(_li(spark, d)).select("region_id", "filter_reason")
 
 
-_P1 = rf"""ti AS (SELECT doc_id, page_number, y0, y1, row_number() OVER (PARTITION BY page_number ORDER BY type = 'Title' DESC, x1 - x0 DESC, y0, src_order) AS rn FROM hd WHERE y0 / 1000.0 BETWEEN 0.15 AND 0.42 AND type IN ('Title', 'Text') AND len(regexp_extract_all(text, '[^\s\p{{Z}}]+')) >= 3),
-an AS (SELECT page_number, y0, region_id, row_number() OVER (PARTITION BY page_number ORDER BY y0, src_order, region_id) AS rn FROM hd WHERE regexp_matches(trim(text, ' '), '{filters.ANCHOR}') AND y0 / 1000.0 <= 0.7),
-p1 AS (SELECT h.*, t.y0 AS t0, t.y1 AS t1, a.region_id AS aid, COALESCE(a.y0 / 1000.0, 0.44) AS fin FROM hd h LEFT JOIN (SELECT * FROM ti WHERE rn = 1) t ON t.page_number = h.page_number LEFT JOIN (SELECT * FROM an WHERE rn = 1) a ON a.page_number = h.page_number),
-p2 AS (SELECT region_id, CASE WHEN t0 IS NOT NULL AND y1 / 1000.0 < t0 / 1000.0 THEN 'page1_upper_before_title' WHEN t0 IS NOT NULL AND y0 / 1000.0 > t1 / 1000.0 AND y1 / 1000.0 < fin AND (aid IS NULL OR aid <> region_id) THEN 'page1_upper_frontmatter'
-  WHEN y0 / 1000.0 >= 0.68 AND (regexp_matches(text, '{filters.CONTACT}') OR (regexp_matches(text, '{filters.AFFILIATION}') AND len(regexp_extract_all(text, '[^\s\p{{Z}}]+')) < 35)) THEN 'page1_post_abstract_author_metadata' END AS filter_reason FROM p1)"""
-
-
-@query(O.doc(O.HEADINGS, _P1, select="SELECT region_id, filter_reason FROM p2 WHERE filter_reason IS NOT NULL"))
-def page1_rules(spark, d):
-    """Every text counts as a first page here."""
-    return filters.page_one(_headed(spark, d), page=F.lit(True)).select("region_id", "filter_reason")
-
-
-_TAIL = rf"""co AS (SELECT doc_id, max((page_number, y0)) AS c FROM hd WHERE regexp_matches(trim(text, ' '), '{filters.CONCLUSION}') GROUP BY doc_id),
-bk AS (SELECT h.doc_id, min((page_number, y0)) AS b, bool_or(c IS NOT NULL) AS anchored FROM hd h LEFT JOIN co USING (doc_id) WHERE regexp_matches(trim(text, ' '), '{filters.BACK_MATTER}') AND (c IS NULL OR (page_number, y0) > c) GROUP BY h.doc_id)"""
-
-
-@query(O.doc(O.HEADINGS, _TAIL, select="SELECT h.doc_id, bk.b[1] AS boundary_page, bk.b[2] AS boundary_y, CASE WHEN anchored THEN 'conclusion_anchor' ELSE 'direct_backmatter_fallback' END AS method, count(*) AS excluded FROM hd h JOIN bk USING (doc_id) WHERE (page_number, y0) >= b GROUP BY ALL"))
-def tail_boundary(spark, d):
-    return filters.document_tail(_headed(spark, d)).groupBy("doc_id", "boundary_page", "boundary_y", "method").agg(F.count("*").alias("excluded"))
-
-
 _CAT = r"CASE WHEN regexp_matches(n, '(?i)^(references|bibliography)$') THEN 'references' WHEN regexp_matches(n, '(?i)^(acknowledg(e)?ments?)$') THEN 'acknowledgements' WHEN regexp_matches(n, '(?i)^(declarations?|conflict(s)? of interest|competing interests?)$') THEN 'declarations' WHEN regexp_matches(n, '(?i)^(appendix|appendices)(\b|\s+[a-z0-9])') THEN 'appendices' WHEN regexp_matches(n, '(?i)^(supplementary|supporting)\s+(material|information|data)') THEN 'supplementary_sections' END"
 
 
@@ -357,30 +324,12 @@ def label_map_counts(spark, d):
     return A.html_blocks(spark, d).groupBy("tag", "type").agg(F.count("*").alias("n"))
 
 
-_REF = r"(?i)^((?:(?:supplementary|supplemental|extended\s+data)\s+)?(fig(?:ure)?\.?|table|tab\.?|equation|eq\.?|algorithm|listing)\s*((?:[A-Z]\s*[.\-]?\s*)?\d+(?:\s*[.\-]\s*\d+)?|[IVXLCDM]+|[A-Z]))(?:\s*[:.\-])?(\s|$)"
-
-
-@query(O.doc(O.HEADINGS, rf"cl AS (SELECT region_id, trim(regexp_replace(translate(text, ' –—', ' --'), '[\s\p{{Z}}]+', ' ', 'g')) AS whole FROM hd), c2 AS (SELECT *, regexp_replace(whole, '^[\s•▪●|_]+', '') AS clean FROM cl), c3 AS (SELECT *, rtrim(lower(regexp_extract(clean, '{_REF}', 2)), '.') AS raw FROM c2)",
-    select=rf"SELECT region_id, CASE raw WHEN 'fig' THEN 'figure' WHEN 'tab' THEN 'table' WHEN 'eq' THEN 'equation' ELSE raw END AS kind, regexp_replace(regexp_extract(clean, '{_REF}', 3), '\s+', '', 'g') AS number, CASE WHEN length(whole) = length(clean) THEN 'leading' ELSE 'near_leading' END AS position FROM c3 WHERE raw <> ''"))
-def caption_reference_parse(spark, d):
-    r = _headed(spark, d).transform(lambda x: fixed(x, reference=T.caption_reference(F.col("text")))).where("reference IS NOT NULL")
-    return r.select("region_id", "reference.kind", "reference.number", "reference.position")
-
-
 @query()
 def front_matter_roles(spark, d):
     """Roles by scores; the scores' sums of fractions are compared in the tests."""
     return filters.front_matter_roles(_headed(spark, d)).select("page_number", "region_id", "role", "decision")
 
 
-_SIG = " + ".join(f"bool_or(regexp_matches(text, '{p}'))::INT" for p in filters.SCHOLARLY_SIGNALS)
-
-
-@query(O.doc(O.HEADINGS, select=f"SELECT doc_id, CASE {' '.join(f'''WHEN bool_or(regexp_matches(text, '{p}')) THEN '{n}' ''' for n, p in filters.FAMILY_SIGNALS.items())} WHEN {_SIG} >= 2 THEN 'scholarly' ELSE 'generic' END AS family, {_SIG} AS signals FROM hd GROUP BY doc_id"))
-def document_family(spark, d):
-    return filters.document_families(_headed(spark, d))
-
-
 @query(O.li("""ax AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page_number, src_order, region_id) AS asset_order FROM li WHERE type IN ('Figure', 'Table'))""",
     select="""SELECT a.region_id, a.type, a.asset_order, COALESCE((SELECT string_agg(n.region_id::VARCHAR, ',' ORDER BY n.region_id) FROM li n WHERE n.page_number = a.page_number AND n.type IN ('Caption', 'Footnote', 'Text') AND abs(n.y0 - a.y1) < 120), '') AS linked FROM ax a"""))
 def post_body_assets(spark, d):
@@ -537,17 +486,22 @@ def strata_rollup(spark, d):
     return j.rollup("r_name", "n_name").agg(F.count("*").alias("pages"), F.countDistinct("c_custkey").alias("documents"))
 
 
-_FAILED = "fl AS (SELECT c_nationkey AS run_id, o_orderkey AS page_number FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 101 = 0), iu AS (SELECT c_nationkey AS run_id, CASE WHEN c_custkey % 700 = 0 THEN 'fatal' WHEN c_custkey % 300 = 0 THEN 'error' ELSE 'warning' END AS severity FROM customer WHERE c_custkey % 100 = 0)"
+_FAILED = """fl AS (SELECT o_custkey AS run_id, o_orderkey AS page_number FROM orders WHERE o_orderstatus = 'F'),
+iu AS (SELECT o_custkey AS run_id, CASE o_orderpriority WHEN '1-URGENT' THEN 'fatal' WHEN '2-HIGH' THEN 'error' ELSE 'warning' END AS severity FROM orders WHERE o_orderpriority <> '5-LOW' AND o_orderstatus = 'P')"""
 
 
 def _failures(spark, d):
-    c = A.table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("run_id"))
-    failed = A.table(spark, d, "orders").where("o_orderkey % 101 = 0").select("o_custkey", F.col("o_orderkey").alias("page_number")).join(c, F.col("c_custkey") == F.col("o_custkey")).select("run_id", "page_number")
-    issues = c.where("c_custkey % 100 = 0").select("run_id", F.when(F.col("c_custkey") % 700 == 0, "fatal").when(F.col("c_custkey") % 300 == 0, "error").otherwise("warning").alias("severity"))
-    return issues, failed
+    """A customer's orders as a run's pages: those of status F failed, those of status P have issues, as severe as they are urgent."""
+    o = A.table(spark, d, "orders").select(F.col("o_custkey").alias("run_id"), F.col("o_orderkey").alias("page_number"), "o_orderstatus", "o_orderpriority")
+    severity = F.when(F.col("o_orderpriority") == "1-URGENT", "fatal").when(F.col("o_orderpriority") == "2-HIGH", "error").otherwise("warning")
+    return o.where("o_orderstatus = 'P' AND o_orderpriority <> '5-LOW'").select("run_id", severity.alias("severity")), o.where("o_orderstatus = 'F'").select("run_id", "page_number")
+
 
+_RUNS = """i AS (SELECT run_id, bool_or(severity = 'fatal') AS f, bool_or(severity = 'error') AS e, count(*) AS n FROM iu GROUP BY 1), p AS (SELECT run_id, count(DISTINCT page_number) AS fp FROM fl GROUP BY 1)
+SELECT COALESCE(i.run_id, p.run_id) AS run_id, COALESCE(fp, 0) AS failed_pages, CASE WHEN f THEN 'failed' WHEN e OR fp > 0 THEN 'partial' WHEN n > 0 THEN 'complete_with_warnings' ELSE 'complete' END AS status FROM i FULL JOIN p ON p.run_id = i.run_id"""
 
-@query(f"WITH {_FAILED}, i AS (SELECT run_id, bool_or(severity = 'fatal') AS f, bool_or(severity = 'error') AS e, count(*) AS n FROM iu GROUP BY 1), p AS (SELECT run_id, count(DISTINCT page_number) AS fp FROM fl GROUP BY 1) SELECT COALESCE(i.run_id, p.run_id) AS run_id, COALESCE(fp, 0) AS failed_pages, CASE WHEN COALESCE(f, false) THEN 'failed' WHEN COALESCE(e, false) OR COALESCE(fp, 0) > 0 THEN 'partial' WHEN COALESCE(n, 0) > 0 THEN 'complete_with_warnings' ELSE 'complete' END AS status FROM i FULL JOIN p ON p.run_id = i.run_id")
+
+@query(f"WITH {_FAILED}, {_RUNS}")
 def run_statuses(spark, d):
     return trace.run_status(*_failures(spark, d))
 
@@ -602,3 +556,7 @@ def event_stream_windows(spark, d):
 
     name = f"quire_windows_{uuid.uuid4().hex}"
     return E.run_to_end(E.windows(E.stream(spark, f"{d}/events.parquet")), name, f"{sinks.shared_folder(spark)}/streams/{name}")
+
+
+# The other modules of the catalogue enter theirs as they are imported.
+from quire.plans import catalogue_text  # noqa: E402, F401

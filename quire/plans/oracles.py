@@ -13,7 +13,7 @@ LI = f"""li AS (
 )"""
 SNAP = "sn AS (SELECT * REPLACE (floor(x0 / 200.0) * 200.0 AS x0, floor(y0 / 200.0) * 200.0 AS y0, floor(x0 / 200.0) * 200.0 + 200.0 AS x1, floor(y0 / 200.0) * 200.0 + 200.0 AS y1) FROM li)"
 DOC = """dl AS (
-  SELECT source AS doc_id, doc_id AS page_number, doc_id * 10000 + pos AS region_id, pos AS src_order,
+  SELECT source AS doc_id, doc_id AS page_number, doc_id * 10000000 + pos AS region_id, pos AS src_order,
     CASE WHEN pos = 0 THEN 'Title' WHEN pos % 9 = 4 THEN 'Section-header' WHEN pos % 9 = 7 THEN 'Caption' ELSE 'Text' END AS type, 50.0::DOUBLE AS x0,
     (CASE WHEN pos >= n - 2 THEN 930 + 25 * (pos - (n - 2)) ELSE 24 * (pos % 40) + 10 END)::DOUBLE AS y0,
     50.0::DOUBLE + least(CASE WHEN pos >= n - 2 THEN 200 ELSE 900 END, 6 * length(text))::DOUBLE AS x1,
@@ -110,11 +110,33 @@ sp AS (SELECT doc_id, page_number, c - l AS gap, (l + c) / 2 AS split FROM bs WH
 ORDER = f"""{SPLIT}, ro0 AS (SELECT li.*, CASE WHEN split IS NULL THEN 'single' WHEN (x0 + x1) / (2 * 1000.0) < split THEN 'left' ELSE 'right' END AS reading_column FROM li LEFT JOIN sp USING (doc_id, page_number)),
 ro AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY CASE WHEN reading_column = 'right' THEN 1 ELSE 0 END, y0, x0, src_order) AS reading_order FROM ro0)"""
 _NOV = "greatest(0.0, least({a}x1, {b}x1) - greatest({a}x0, {b}x0)) / greatest(1.0, least({a}x1 - {a}x0, {b}x1 - {b}x0))"
-ALT = f"""al0 AS (
-  SELECT c.doc_id, c.page_number, c.region_id AS c_id, p.region_id AS p_id, p.type AS p_type, {_NOV.format(a='c.', b='p.')} AS overlap, greatest(0.0, greatest(c.y0, p.y0) - least(c.y1, p.y1)) / 1000.0 AS gap,
-    CASE WHEN p.type = 'Table' THEN c.y1 <= p.y0 ELSE c.y0 >= p.y1 END AS directed, c.x0, c.y0, c.x1, c.y1, p.y0 AS py0, p.y1 AS py1
+
+
+def _turned(p: str) -> str:
+    """Columns i0, i1, b0, b1 of a box in the frame turned by `deg`, its corners projected."""
+    inline = [f"{p}{x} * cos(radians(deg)) + {p}{y} * sin(radians(deg))" for x in ("x0", "x1") for y in ("y0", "y1")]
+    block = [f"{p}{y} * cos(radians(deg)) - {p}{x} * sin(radians(deg))" for x in ("x0", "x1") for y in ("y0", "y1")]
+    n = p.rstrip("_")
+    return f"least({', '.join(inline)}) AS {n}i0, greatest({', '.join(inline)}) AS {n}i1, least({', '.join(block)}) AS {n}b0, greatest({', '.join(block)}) AS {n}b1"
+
+
+def _over(a: str, b: str, axis: str) -> str:
+    return f"greatest(0.0, least({a}{axis}1, {b}{axis}1) - greatest({a}{axis}0, {b}{axis}0)) / greatest(1.0, least({a}{axis}1 - {a}{axis}0, {b}{axis}1 - {b}{axis}0))"
+
+
+#: A caption twice as wide as high reads across, one twice as high as wide reads down the page; others follow the page's axes.
+ALT = f"""al00 AS (
+  SELECT c.doc_id, c.page_number, c.region_id AS c_id, p.region_id AS p_id, p.type AS p_type, c.x0, c.y0, c.x1, c.y1, p.x0 AS px0, p.y0 AS py0, p.x1 AS px1, p.y1 AS py1,
+    CASE WHEN c.x1 - c.x0 >= 2 * (c.y1 - c.y0) THEN 0.0::DOUBLE WHEN c.y1 - c.y0 >= 2 * (c.x1 - c.x0) THEN 90.0::DOUBLE END AS deg
   FROM li c JOIN li p USING (doc_id, page_number) WHERE c.type = 'Caption' AND p.type IN ('Figure', 'Table', 'Formula', 'Code')
-), al1 AS (SELECT *, round(0.45 * overlap + 0.30 * greatest(0.0, 1 - gap / 0.1) + 0.0 + CASE WHEN directed THEN 0.10 ELSE 0.0 END, 6) AS score FROM al0 WHERE overlap >= 0.18 AND gap <= 0.1),
+), al01 AS (SELECT *, {_turned('')}, {_turned('p')} FROM al00),
+al02 AS (SELECT *, {_over('', 'p', 'i')} AS along, {_over('', 'p', 'b')} AS across, {_NOV.format(a='', b='p')} AS page_over FROM al01),
+al03 AS (SELECT *, list_min(list_filter([CASE WHEN b1 <= pb0 THEN {{'gap': greatest(0.0, pb0 - b1), 'rank': 0, 'side': 'before', 'overlap': along}} END, CASE WHEN b0 >= pb1 THEN {{'gap': greatest(0.0, b0 - pb1), 'rank': 1, 'side': 'after', 'overlap': along}} END,
+  CASE WHEN i1 <= pi0 THEN {{'gap': greatest(0.0, pi0 - i1), 'rank': 2, 'side': 'inline_before', 'overlap': across}} END, CASE WHEN i0 >= pi1 THEN {{'gap': greatest(0.0, i0 - pi1), 'rank': 3, 'side': 'inline_after', 'overlap': across}} END], lambda x: x IS NOT NULL)) AS pl FROM al02),
+al0 AS (SELECT *, COALESCE(pl.side IN ('before', 'after'), false) AS local FROM al03),
+al0b AS (SELECT *, CASE WHEN local THEN pl.overlap ELSE page_over END AS overlap, CASE WHEN local THEN pl.gap / sqrt(2000000.0::DOUBLE) ELSE greatest(0.0, greatest(y0, py0) - least(y1, py1)) / 1000.0 END AS gap,
+  CASE WHEN local THEN pl.side = CASE WHEN p_type = 'Table' THEN 'before' ELSE 'after' END WHEN p_type = 'Table' THEN y1 <= py0 ELSE y0 >= py1 END AS directed FROM al0),
+al1 AS (SELECT *, round(0.45 * overlap + 0.30 * greatest(0.0, 1 - gap / 0.1) + 0.0 + CASE WHEN directed THEN 0.10 ELSE 0.0 END, 6) AS score FROM al0b WHERE overlap >= 0.18 AND gap <= 0.1),
 al AS (SELECT * FROM al1 c WHERE NOT EXISTS (SELECT 1 FROM li k WHERE k.doc_id = c.doc_id AND k.page_number = c.page_number AND k.type IN ('Title', 'Section-header', 'Figure', 'Table', 'Formula', 'Code') AND k.region_id NOT IN (c.c_id, c.p_id)
   AND k.y0 + k.y1 > least(c.y0 + c.y1, c.py0 + c.py1) AND k.y0 + k.y1 < greatest(c.y0 + c.y1, c.py0 + c.py1) AND {_NOV.format(a='c.', b='k.')} >= 0.25)),
 rk AS (SELECT *, row_number() OVER w AS rn, round(score - lead(score) OVER w, 6) AS margin, count(*) OVER (PARTITION BY doc_id, page_number, c_id) AS options FROM al WHERE score >= 0.35 WINDOW w AS (PARTITION BY doc_id, page_number, c_id ORDER BY score DESC, p_id)),

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 PAGE = 1000.0
+#: Ids that a text's lines have to themselves: no text has as many.
+LINES = 10_000_000
 REGION_COLUMNS = ["doc_id", "page_number", "region_id", "src_order", "type", "x0", "y0", "x1", "y1", "text", "score", "page_w", "page_h"]
 
 
@@ -61,7 +63,7 @@ def document_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select(
         F.col("source").alias("doc_id"),
         F.col("doc_id").alias("page_number"),
-        (F.col("doc_id") * 10000 + F.col("pos")).alias("region_id"),
+        (F.col("doc_id") * LINES + F.col("pos")).alias("region_id"),
         F.col("pos").cast("long").alias("src_order"),
         F.when(F.col("pos") == 0, "Title").when(kind == 4, "Section-header").when(kind == 7, "Caption").otherwise("Text").alias("type"),
         F.lit(50.0).alias("x0"),
@@ -125,6 +127,10 @@ def read_export(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(EXPORT_SCHEMA).json(path)
 
 
+def _page(number):
+    return F.get(F.filter("pages", lambda p: p["page_number"] == number), 0)
+
+
 def convert_export(documents: DataFrame, page_start: int = 1) -> tuple[DataFrame, DataFrame]:
     """Regions, and per document the counts of items, places, and places skipped for their page or geometry.
 
@@ -140,9 +146,9 @@ def convert_export(documents: DataFrame, page_start: int = 1) -> tuple[DataFrame
     order = Window.partitionBy("document_id").orderBy("rank", "pos")
     items = items.withColumn("doc_order", F.row_number().over(order) - 1)
     places = items.select("*", F.posexplode_outer("item.prov").alias("place_order", "place"))
-    by_number = F.map_from_entries(F.transform("pages", lambda p: F.struct(p["page_number"], p)))
     number = F.col("place.page_no")
-    page = F.coalesce(F.try_element_at(by_number, number), F.try_element_at(by_number, page_start + number - 1))
+    # The first page of a number, should it be there twice.
+    page = F.coalesce(_page(number), _page(page_start + number - 1))
     placed = places.withColumn("page", page)
     b, pg = F.col("place.bbox"), F.col("page")
     box = points_to_pixels(b["l"], b["t"], b["r"], b["b"], b["coord_origin"], pg["page_width_pt"], pg["page_height_pt"], pg["image_width_px"].cast("double"), pg["image_height_px"].cast("double"))

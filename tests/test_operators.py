@@ -81,7 +81,7 @@ def test_caption_references(spark, text, kind, number):
 def test_reference_quality(spark):
     good, note = (value(spark, T.authoritative(T.caption_reference(F.lit(t)))) for t in ("Table A. Results", "Table a See Table 2 for codes"))
     assert good and not note
-    assert value(spark, T.prose_evidence(F.lit("as shown in Table 2"))) == ["identifier_embedded_in_prose"]
+    assert value(spark, T.prose_evidence(F.lit("as shown in Table 2"))) == ["identifier_embedded_in_prose", "cross_reference_lead_in"]
     assert value(spark, T.prose_evidence(F.lit("Table 2. values"))) == []
 
 
