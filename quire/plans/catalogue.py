@@ -105,32 +105,6 @@ def duplicate_statuses(spark, d):
     return resolve.duplicate_status(related, resolve.canonical(r, c)).groupBy("status").agg(F.count("*").alias("n"))
 
 
-_TRIM = """g AS (SELECT doc_id, page_number, f_region_id, f_x0, f_y0, f_x1, f_y1, max(CASE WHEN t_y0 + t_y1 < f_y0 + f_y1 THEN t_y1 + 1000.0::DOUBLE * 0.001::DOUBLE END) AS low, min(CASE WHEN NOT (t_y0 + t_y1 < f_y0 + f_y1) THEN t_y0 - 1000.0::DOUBLE * 0.001::DOUBLE END) AS high, count(*) AS texts FROM fp GROUP BY ALL),
-h AS (SELECT *, greatest(f_y0, COALESCE(low, f_y0)) AS new_y0, least(f_y1, COALESCE(high, f_y1)) AS new_y1 FROM g)"""
-
-
-@query(O.li(O.PAIRS, O.FORMULA, _TRIM, select="SELECT page_number, f_region_id, texts, new_y0, new_y1, CASE WHEN new_y1 - new_y0 >= 0.45 * (f_y1 - f_y0) AND (new_y1 - new_y0) / 1000.0 >= 0.006 AND (new_y1 - new_y0) * (f_x1 - f_x0) / 1000000.0 >= 0.0002 THEN 'trim_formula_boundary' ELSE 'defer_ambiguous' END AS decision FROM h"))
-def formula_trim(spark, d):
-    return resolve.formula_trims(resolve.formula_text_pairs(_related(spark, d))).select("page_number", "f_region_id", "texts", "new_y0", "new_y1", "decision")
-
-
-_POLICY = """al AS (SELECT *, count(*) OVER (PARTITION BY doc_id, page_number, t_region_id) AS formulas FROM fp),
-po AS (SELECT *, CASE WHEN COALESCE(f_score IS NOT NULL AND t_score IS NOT NULL AND greatest(f_score, t_score) >= 0.8 AND abs(f_score - t_score) >= 0.2, false) THEN CASE WHEN f_score > t_score THEN 'suppress_text' ELSE 'suppress_formula' END
-  WHEN formulas > 1 THEN 'defer_ambiguous' WHEN f_y0 > t_y0 AND f_y1 < t_y1 AND f_y0 - t_y0 >= 6.0 AND t_y1 - f_y1 >= 6.0 THEN 'split_text_around_semantic_region'
-  WHEN f_y0 > t_y0 THEN 'trim_text_bottom' WHEN f_y1 < t_y1 THEN 'trim_text_top' ELSE 'defer_ambiguous' END AS decision FROM al)"""
-
-
-@query(O.li(O.PAIRS, O.FORMULA, _POLICY, select="SELECT page_number, f_region_id, t_region_id, formulas, decision FROM po"))
-def formula_split_guard(spark, d):
-    return resolve.cross_class_policy(resolve.formula_text_pairs(_related(spark, d))).select("page_number", "f_region_id", "t_region_id", "formulas", "decision")
-
-
-@query(O.li(O.PAIRS, O.FORMULA, _POLICY, select="SELECT page_number, t_region_id AS region_id, part, t_x0 AS x0, CASE part WHEN 0 THEN t_y0 ELSE f_y1 END AS y0, t_x1 AS x1, CASE part WHEN 0 THEN f_y0 ELSE t_y1 END AS y1 FROM po, (VALUES (0), (1)) v(part) WHERE decision LIKE 'split%'"))
-def formula_split_parts(spark, d):
-    policy = resolve.cross_class_policy(resolve.formula_text_pairs(_related(spark, d)))
-    return resolve.split_texts(policy).select("page_number", "region_id", "part", "x0", "y0", "x1", "y1")
-
-
 # Order
 
 
@@ -559,4 +533,4 @@ def event_stream_windows(spark, d):
 
 
 # The other modules of the catalogue enter theirs as they are imported.
-from quire.plans import catalogue_text  # noqa: E402, F401
+from quire.plans import catalogue_conflicts, catalogue_text  # noqa: E402, F401

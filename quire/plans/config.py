@@ -55,6 +55,11 @@ class Formula:
     min_fragment_area_ratio: float = 0.0002
     min_survivor_score: float = 0.80
     score_margin: float = 0.20
+    min_coverage: float = 0.55
+    min_horizontal: float = 0.45
+    min_block_width_ratio: float = 0.08
+    max_inline_height_ratio: float = 0.018
+    boundary_band: float = 0.35
 
 
 @dataclass(frozen=True)

@@ -175,8 +175,6 @@ PROPOSED = """pp0 AS (
 ho AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_number, child_id ORDER BY CASE WHEN fitting = 1 AND kind = 'NESTED_CHILD' THEN 0 ELSE 1 END, parent_order, parent_id) AS rn FROM hv),
 hr AS (SELECT doc_id, page_number, child_id, CASE WHEN fitting = 1 THEN parent_id END AS accepted_parent_id, parent_id, child_type, parent_type, role,
   CASE WHEN fitting > 1 THEN 'AMBIGUOUS_CONTAINMENT' ELSE kind END AS kind, CASE WHEN fitting > 1 THEN 'multiple_plausible_parents' ELSE reason END AS reason, CASE WHEN fitting = 1 THEN 'accept_hierarchy' ELSE 'retain_top_level' END AS action FROM ho WHERE rn = 1)"""
-FORMULA = """fp0 AS (SELECT *, a_type = 'Formula' AND b_type = 'Text' AS fa FROM rl WHERE intersection > 0 AND ((a_type = 'Formula' AND b_type = 'Text') OR (b_type = 'Formula' AND a_type = 'Text'))),
-fp AS (SELECT doc_id, page_number, """ + ", ".join(f"CASE WHEN fa THEN {f}_{c} ELSE {t}_{c} END AS {n}_{c}" for n, f, t in (("f", "a", "b"), ("t", "b", "a")) for c in ("region_id", "x0", "y0", "x1", "y1", "score")) + " FROM fp0)"
 HEADER_SIG = r"trim(regexp_replace(regexp_replace(lower(COALESCE(text, '')), '[^\p{L}\p{N}_]+', ' ', 'g'), '\d+', '#', 'g'))"
 FOOTER_SIG = r"regexp_replace(lower(COALESCE(text, '')), '[^\p{L}\p{N}_]+', '', 'g')"
 #: Lines of documents with headings put in at fixed places, so that tails, references and roles occur.

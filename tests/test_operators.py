@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quire.functions import images
 from quire.functions import text as T
 from quire.functions.geometry import Box, angle_distance, direction, normal_angle, parallel, points_to_pixels, reliable_conflict
-from quire.operators import captions, filters, hierarchy, metadata, order, pairs, resolve, tables, trace
+from quire.operators import captions, conflicts, filters, hierarchy, metadata, order, pairs, resolve, tables, trace
 from quire.plans import pipeline
 from quire.plans.config import DEFAULT
 from quire.sources import adapters, sinks
@@ -159,13 +159,36 @@ def test_tables_grow_over_long_chains(spark):
     assert got == [(2, 1, 0), *((3 + i, 1, 1 + i) for i in range(24))]
 
 
-def test_cross_class_policy(spark):
-    r = regions(spark, ("Formula", (100, 200, 300, 230), "", 0.95), ("Text", (90, 150, 400, 300), "long text", 0.5))
-    p = resolve.cross_class_policy(resolve.formula_text_pairs(pairs.relationships(r))).first()
-    assert p["decision"] == "suppress_text"
-    r = regions(spark, ("Formula", (100, 200, 300, 230), ""), ("Text", (90, 150, 400, 300), "long text"))
-    policy = resolve.cross_class_policy(resolve.formula_text_pairs(pairs.relationships(r)))
-    assert [(x["part"], x["y0"], x["y1"]) for x in resolve.split_texts(policy).orderBy("part").collect()] == [(0, 150.0, 200.0), (1, 230.0, 300.0)]
+def decided(r):
+    related = pairs.relationships(r)
+    found = conflicts.conflict_pairs(related)
+    trims = conflicts.boundary_trims(found)
+    return related, trims, conflicts.text_policy(found, trims, r)
+
+
+def test_a_surer_detection_of_one_place_stays(spark):
+    r = regions(spark, ("Formula", (100, 200, 300, 260), "", 0.95), ("Text", (100, 200, 300, 261), "x", 0.5))
+    related, trims, policy = decided(r)
+    assert (policy.first()["action"], policy.first()["suppressed_id"]) == ("suppress_lower_confidence_detection", 2)
+    assert [x["region_id"] for x in conflicts.applied(r, trims, policy).collect()] == ["1"]
+    assert conflicts.settled(related, trims, policy).first()["kind"] == "CROSS_CLASS_DETECTION_SUPPRESSED"
+
+
+def test_a_text_is_split_around_a_formula_between_its_lines(spark):
+    r = regions(spark, ("Formula", (100, 200, 350, 230), ""), ("Text", (90, 150, 400, 300), "one\n\ntwo \nthree"))
+    related, trims, policy = decided(r)
+    assert policy.first()["action"] == "split_text_around_semantic_region"
+    got = {x["region_id"]: (x["y0"], x["y1"], x["text"], x["page_order"]) for x in conflicts.applied(r, trims, policy).collect()}
+    assert got == {"1": (200.0, 230.0, "", 2), "2": (150.0, 199.0, "one", 1), "2__formula_split_02": (231.0, 300.0, "two\nthree", 3)}
+    one = regions(spark, ("Formula", (100, 200, 350, 230), ""), ("Text", (90, 150, 400, 300), "one line"))
+    assert decided(one)[2].first()["reason"] == "text_payload_not_line_addressable"
+    assert conflicts.conflict_states(conflicts.settled(related, trims, policy)).where("resolution_status = 'ambiguous'").count() == 0
+
+
+def test_all_texts_move_a_formula_together(spark):
+    r = regions(spark, ("Formula", (100, 200, 500, 300), ""), ("Text", (100, 150, 500, 220), "above"), ("Text", (100, 285, 500, 360), "below"))
+    _, trims, _ = decided(r)
+    assert {(x["edge"], x["new_y0"], x["new_y1"], x["action"]) for x in trims.collect()} == {("top", 221.0, 284.0, "trim_formula_boundary"), ("bottom", 221.0, 284.0, "trim_formula_boundary")}
 
 
 def test_geometry_history_and_versions(spark):
