@@ -389,7 +389,8 @@ def sanitise_documents(docs: DataFrame, rules: Disclosure = Disclosure()) -> Dat
     keyed = docs.withColumns({"__digest": _digest(), "__part": (F.monotonically_increasing_id() % PARTS).cast("int")}).withColumn("__key", F.xxhash64("__digest"))
     clear = keyed.drop("__digest", "__part").mapInArrow(functools.partial(_mask, but=wanted), schema)
     parts = extra.select(F.col("digest").alias("__digest"), F.col("extra").alias("__extra"), F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("__part"))
-    joined = narrowed(keyed, "__key", wanted).join(parts, ["__digest", "__part"], "left").select(*docs.columns, "__extra")
+    # Written, so that no task runs two Python steps, and with them two workers more that stay.
+    joined = written(narrowed(keyed, "__key", wanted).join(parts, ["__digest", "__part"], "left").select(*docs.columns, "__extra"))
     return clear.unionByName(joined.mapInArrow(_mask, schema))
 
 
