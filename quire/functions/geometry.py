@@ -128,24 +128,40 @@ def reliable_conflict(a: Column, a_confidence: Column, b: Column, b_confidence:
     return F.coalesce((a_confidence >= least) & (b_confidence >= least) & ~parallel(a, b), F.lit(False))
 
 
-def direction(angle: Column, confidence: Column, box: Box) -> Column:
-    """The stated direction, else the long axis of a box of ratio 2 or more with confidence .45, else null."""
-    across, upright = box.width >= 2 * box.height, box.height >= 2 * box.width
-    inferred = F.when(across, F.lit(0.0)).when(upright, F.lit(90.0))
+#: Types whose shape tells along which axis they read.
+INFERRED = ["Text", "Caption", "List", "Footnote"]
+
+
+def direction(angle: Column, confidence: Column, box: Box, kind: Column | None = None) -> Column:
+    """The stated direction, else the long axis of a box of ratio 2 or more with confidence .45, else null.
+
+    kind: the region's type; given, only texts' axes are inferred. Sides count as 1 at least.
+    """
+    w, h = F.greatest(F.lit(1.0), box.width), F.greatest(F.lit(1.0), box.height)
+    inferred = F.when(h >= 2 * w, F.lit(90.0)).when(w >= 2 * h, F.lit(0.0))
+    if kind is not None:
+        inferred = F.when(kind.isin(INFERRED), inferred)
+    stated = normal_angle(angle)
     return F.struct(
-        F.coalesce(normal_angle(angle), inferred).alias("degrees"),
-        F.when(angle.isNotNull(), F.coalesce(confidence, F.lit(1.0))).when(inferred.isNotNull(), F.lit(0.45)).otherwise(F.lit(0.0)).alias("confidence"),
-        F.when(angle.isNotNull(), "explicit").when(inferred.isNotNull(), "axis").otherwise("unknown").alias("source"),
+        F.coalesce(stated, inferred).alias("degrees"),
+        F.when(stated.isNotNull(), F.coalesce(confidence, F.lit(1.0))).when(inferred.isNotNull(), F.lit(0.45)).otherwise(F.lit(0.0)).alias("confidence"),
+        F.when(stated.isNotNull(), "explicit").when(inferred.isNotNull(), "axis").otherwise("unknown").alias("source"),
     )
 
 
-def local_relation(candidate: Box, anchor: Box, degrees: Column) -> Column:
-    """Struct of side, gap and overlap: where the candidate lies around the anchor in a frame turned by the angle.
+def conflicting(a: Column, b: Column, least: float = 0.75) -> Column:
+    """Whether two direction() structs are both stated, well known and not parallel."""
+    stated = (a["source"] == "explicit") & (b["source"] == "explicit")
+    return F.coalesce(stated & (a["confidence"] >= least) & (b["confidence"] >= least) & ~parallel(a["degrees"], b["degrees"]), F.lit(False))
+
+
+def local_relation(candidate: Box, anchor: Box, degrees: Column | None) -> Column:
+    """Struct of side, gap and overlap: where the candidate lies around the anchor in a frame turned by the angle; None: turned already.
 
     Sides are before and after along the stacking of lines, inline_before and inline_after along a line; of several the
     one with the least gap, in this order. Overlap is that of the other axis. Side is null where they meet or no angle is known.
     """
-    c, a = candidate.rotated(degrees), anchor.rotated(degrees)
+    c, a = (candidate, anchor) if degrees is None else (candidate.rotated(degrees), anchor.rotated(degrees))
 
     def over(lo: Column, hi: Column, other_lo: Column, other_hi: Column) -> Column:
         return positive(F.least(hi, other_hi) - F.greatest(lo, other_lo)) / F.greatest(F.lit(1.0), F.least(hi - lo, other_hi - other_lo))
@@ -159,8 +175,3 @@ def local_relation(candidate: Box, anchor: Box, degrees: Column) -> Column:
 def right_angle(degrees: Column) -> Column:
     """The nearest of 0, 90, 180 and 270; of two the smaller."""
     return F.array_min(F.array(*[F.struct(angle_distance(degrees, F.lit(x)).alias("d"), F.lit(x).alias("angle")) for x in (0.0, 90.0, 180.0, 270.0)]))["angle"]
-
-
-def union_box(prefix: str = "") -> list[Column]:
-    """Aggregates that give the box around a group."""
-    return [F.min(f"{prefix}x0").alias("x0"), F.min(f"{prefix}y0").alias("y0"), F.max(f"{prefix}x1").alias("x1"), F.max(f"{prefix}y1").alias("y1")]

@@ -100,6 +100,31 @@ def caption_reference(text: Column, ocr: bool = False) -> Column:
     return F.coalesce(found(REFERENCE, False), found(OCR_TABLE, True)) if ocr else found(REFERENCE, False)
 
 
+_OF_TABLE = REFERENCE.replace(r"fig(?:ure)?\.?|table|tab\.?|equation|eq\.?|algorithm|listing", r"table|tab\.?")
+
+
+def leads_with_reference(text: Column) -> Column:
+    """Whether a reference to any asset leads the text: caption_reference() without its parts."""
+    return F.regexp_replace(caption_text(text), LEADING_NOISE, "").rlike(REFERENCE)
+
+
+def names_table(text: Column, ocr: bool = False) -> Column:
+    """Whether a reference to a table leads the text."""
+    clean = F.regexp_replace(caption_text(text), LEADING_NOISE, "")
+    return clean.rlike(_OF_TABLE) | clean.rlike(OCR_TABLE) if ocr else clean.rlike(_OF_TABLE)
+
+
+def names_other(text: Column) -> Column:
+    """Whether a reference to another asset than a table leads the text."""
+    return leads_with_reference(text) & ~names_table(text)
+
+
+def mentions_table(text: Column) -> Column:
+    """Whether one table is mentioned anywhere: table_mention() without its parts."""
+    t = caption_text(text)
+    return t.rlike(f"(?i){TABLE_MENTION}") & ~t.rlike(PLURAL_TABLES)
+
+
 def reference_reasons(reference: Column) -> Column:
     """What speaks against a reference as a caption's: a lower-case letter as number, a note, another mention at once."""
     number, suffix = reference["number"], reference["suffix"]

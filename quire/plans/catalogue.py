@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quire.functions import text as T
 from quire.functions.barrier import fixed
 from quire.functions.geometry import Box
-from quire.operators import captions, completion, filters, hierarchy, order, pairs, resolve, tables, trace
+from quire.operators import captions, completion, filters, hierarchy, order, pairs, resolve, trace
 from quire.plans import oracles as O
 from quire.plans.registry import ORACLE_SQL, QUERIES, query
 from quire.sources import adapters as A
@@ -317,63 +317,6 @@ def metadata_fields(spark, d):
     return metadata.fields(_headed(spark, d))
 
 
-# Tables
-
-
-_EDGE = f"""eg0 AS (SELECT c.doc_id, c.page_number, c.region_id, t.region_id AS table_id, c.type AS ct, abs(c.src_order - t.src_order) AS steps, c.x0, c.y0, c.x1, c.y1, t.x0 AS tx0, t.y0 AS ty0, t.x1 AS tx1, t.y1 AS ty1,
-  {O._NOV.format(a='c.', b='t.')} AS across, greatest(0.0, least(c.y1, t.y1) - greatest(c.y0, t.y0)) / greatest(1.0, least(c.y1 - c.y0, t.y1 - t.y0)) AS along
-  FROM li c JOIN li t USING (doc_id, page_number) WHERE c.type IN ('Caption', 'Footnote') AND t.type = 'Table'),
-eg1 AS (SELECT *, list_min(list_filter([CASE WHEN across >= 0.18 AND y1 <= ty0 THEN {{'gap': (ty0 - y1) / 1000.0, 'rank': 0, 'side': 'above', 'overlap': across}} END, CASE WHEN across >= 0.18 AND y0 >= ty1 THEN {{'gap': (y0 - ty1) / 1000.0, 'rank': 1, 'side': 'below', 'overlap': across}} END,
-  CASE WHEN along >= 0.18 AND x1 <= tx0 THEN {{'gap': (tx0 - x1) / 1000.0, 'rank': 2, 'side': 'left', 'overlap': along}} END, CASE WHEN along >= 0.18 AND x0 >= tx1 THEN {{'gap': (x0 - tx1) / 1000.0, 'rank': 3, 'side': 'right', 'overlap': along}} END], lambda x: x IS NOT NULL)) AS p FROM eg0),
-eg2 AS (SELECT *, p.gap AS gap, p.side AS side, p.overlap AS overlap, CASE WHEN ct = 'Caption' THEN 'caption' ELSE 'note' END AS role FROM eg1 WHERE p.gap <= 0.1),
-eg3 AS (SELECT *, round(2.4::DOUBLE * (1 - gap / 0.1::DOUBLE) + 1.8::DOUBLE * overlap + 1.5::DOUBLE + CASE WHEN steps <= 2 THEN 1.2::DOUBLE WHEN steps <= 4 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END
-  + CASE WHEN role = 'caption' THEN CASE WHEN side = 'above' THEN 0.8::DOUBLE ELSE -0.4::DOUBLE END ELSE CASE WHEN side = 'below' THEN 0.8::DOUBLE ELSE -1.0::DOUBLE END END + CASE ct WHEN 'Caption' THEN 2.0::DOUBLE ELSE 1.4::DOUBLE END, 6) AS score FROM eg2),
-ed AS (SELECT * FROM eg3 e WHERE score >= 4.5 AND NOT EXISTS (SELECT 1 FROM li k WHERE k.page_number = e.page_number AND k.region_id <> e.table_id AND k.type IN ('Title', 'Section-header', 'Figure', 'Table', 'Formula', 'Code')
-  AND ((e.side = 'above' AND k.y0 >= e.y1 AND k.y1 <= e.ty0) OR (e.side = 'below' AND k.y0 >= e.ty1 AND k.y1 <= e.y0)) AND greatest(0.0, least(k.x1, e.tx1) - greatest(k.x0, e.tx0)) / greatest(1.0, least(k.x1 - k.x0, e.tx1 - e.tx0)) >= 0.18))"""
-_SIDES = """hy AS (SELECT page_number, table_id, side, round(max(score) + 0.0 + least(1.0::DOUBLE, 0.5::DOUBLE * count(*)), 6) AS score, count(*) AS captions FROM ed WHERE role = 'caption' GROUP BY ALL),
-sd AS (SELECT *, round(score - lead(score) OVER w, 6) AS margin, row_number() OVER w AS rn FROM hy WINDOW w AS (PARTITION BY page_number, table_id ORDER BY score DESC, side)),
-si AS (SELECT page_number, table_id, side, captions, score, margin, COALESCE(margin < 0.6, false) AS ambiguous FROM sd WHERE rn = 1)"""
-_OWN = """ow0 AS (SELECT e.* FROM ed e LEFT JOIN (SELECT page_number, table_id, side AS chosen FROM si WHERE NOT ambiguous) s USING (page_number, table_id) WHERE role <> 'caption' OR chosen IS NULL OR side = chosen),
-ow1 AS (SELECT *, row_number() OVER w AS rn, score - lead(score) OVER w AS margin FROM ow0 WINDOW w AS (PARTITION BY page_number, region_id ORDER BY score DESC, table_id)),
-ow AS (SELECT * FROM ow1 WHERE rn = 1 AND (margin IS NULL OR margin >= 0.6))"""
-
-
-@query(O.li(_EDGE, select="SELECT region_id, table_id, role, side, gap, overlap, score FROM ed"))
-def table_seed_edges(spark, d):
-    return tables.seed_edges(_li(spark, d)).select("region_id", "table_id", "role", "side", "gap", "overlap", "score")
-
-
-@query(O.li(_EDGE, _SIDES, select="SELECT table_id, side, captions, score, margin, ambiguous FROM si"))
-def table_side_choice(spark, d):
-    return tables.side_choice(tables.seed_edges(_li(spark, d))).select("table_id", "side", "captions", "score", "margin", "ambiguous")
-
-
-@query(O.li(_EDGE, _SIDES, _OWN, select="SELECT region_id, table_id, role, side, score FROM ow"))
-def table_owners(spark, d):
-    return tables.owners(tables.seed_edges(_li(spark, d))).select("region_id", "table_id", "role", "side", "score")
-
-
-@query(O.li(_EDGE, _SIDES, _OWN, """cm AS (SELECT DISTINCT m.region_id, o.table_id FROM ow o JOIN li m ON m.page_number = o.page_number AND m.type = 'Text' WHERE o.role = 'caption' AND ((m.y0 >= o.y1 AND m.y1 <= o.ty0) OR (m.y0 >= o.ty1 AND m.y1 <= o.y0))
-  AND least(m.x1, o.x1) > greatest(m.x0, o.x0) AND least(m.x1, o.tx1) > greatest(m.x0, o.tx0))""", select="SELECT region_id, min(table_id) AS table_id FROM cm GROUP BY region_id HAVING count(*) = 1"))
-def table_corridor(spark, d):
-    r = _li(spark, d)
-    return tables.corridor(r, tables.owners(tables.seed_edges(r))).select("region_id", "table_id")
-
-
-@query()
-def table_growth(spark, d):
-    r = _li(spark, d)
-    return tables.grown(r, sinks.written(tables.owners(tables.seed_edges(r))), keep=sinks.written).select("region_id", "table_id", "round")
-
-
-@query(O.li(_EDGE, _SIDES, _OWN, """tb AS (SELECT t.region_id AS table_id, count(o.region_id) AS members, least(t.x0, min(m.x0)) AS x0, least(t.y0, min(m.y0)) AS y0, greatest(t.x1, max(m.x1)) AS x1, greatest(t.y1, max(m.y1)) AS y1
-  FROM li t LEFT JOIN ow o ON o.page_number = t.page_number AND o.table_id = t.region_id LEFT JOIN li m ON m.page_number = o.page_number AND m.region_id = o.region_id WHERE t.type = 'Table' GROUP BY t.region_id, t.x0, t.y0, t.x1, t.y1)""", select="SELECT * FROM tb"))
-def logical_tables(spark, d):
-    r = _li(spark, d)
-    t = tables.logical_tables(r, tables.owners(tables.seed_edges(r)))
-    return t.select("table_id", (F.size("captions") + F.size("notes")).alias("members"), "x0", "y0", "x1", "y1")
-
-
 # Snapshots and invariants
 
 
@@ -533,4 +476,4 @@ def event_stream_windows(spark, d):
 
 
 # The other modules of the catalogue enter theirs as they are imported.
-from quire.plans import catalogue_conflicts, catalogue_text  # noqa: E402, F401
+from quire.plans import catalogue_conflicts, catalogue_tables, catalogue_text  # noqa: E402, F401

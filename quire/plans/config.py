@@ -43,8 +43,14 @@ class TableContext:
     min_overlap: float = 0.18
     accept: float = 4.5
     margin: float = 0.6
+    boundary_ratio: float = 0.008
+    wide: float = 0.72
     fragment_gap_ratio: float = 0.018
+    fragment_lines: float = 1.8
     fragment_overlap: float = 0.30
+    fragment_edge_ratio: float = 0.025
+    fragment_accept: float = 4.5
+    fragment_margin: float = 0.75
 
 
 @dataclass(frozen=True)

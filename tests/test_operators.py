@@ -141,22 +141,41 @@ def test_cycles_over_all_pages(spark):
     assert got == {x["page_number"] * 1000 + i + 1: x["n"] for x in r for i in range(x["n"])}
 
 
+def owned_by_seeds(r, config=DEFAULT):
+    return tables.owners(r, tables.seed_edges(r, config), config)
+
+
 def test_tables_grow_by_rounds(spark):
-    r = regions(spark, ("Table", (100, 100, 500, 300)), ("Footnote", (100, 305, 500, 315), "Note: a"), ("Text", (100, 318, 500, 328), "b"), ("Text", (100, 340, 500, 350), "c"), ("Text", (100, 700, 500, 710), "far"))
-    owned = tables.owners(tables.seed_edges(r))
+    r = regions(spark, ("Table", (100, 300, 500, 500)), ("Caption", (100, 280, 500, 290), "Table 1. a caption"), ("Text", (100, 262, 500, 272), "that goes on"), ("Text", (100, 244, 500, 254), "and on"), ("Text", (100, 10, 500, 20), "far"), ("Footnote", (100, 505, 500, 515), "Note: a"))
+    owned = owned_by_seeds(r)
     got = sorted((x["region_id"], x["table_id"], x["round"]) for x in tables.grown(r, owned, keep=sinks.written).collect())
-    assert got == [(2, 1, 0), (3, 1, 1), (4, 1, 2)]
+    assert got == [(2, 1, 0), (3, 1, 1), (4, 1, 2), (6, 1, 0)]
     t = tables.logical_tables(r, owned).first()
-    assert t["notes"] == [2] and t["y1"] == 315.0
+    assert (t["notes"], t["captions"], t["identifiers"], t["y0"], t["y1"], t["printed_label"]) == ([6], [2], [2], 280.0, 515.0, "Table 1")
 
 
 def test_tables_grow_over_long_chains(spark):
-    texts = [("Text", (100, 318 + 12 * i, 500, 328 + 12 * i), "x") for i in range(24)]
-    r = regions(spark, ("Table", (100, 100, 500, 300)), ("Footnote", (100, 305, 500, 315), "Note: a"), *texts)
-    owned = tables.owners(tables.seed_edges(r))
+    texts = [("Text", (100, 686 - 12 * i, 500, 696 - 12 * i), "x") for i in range(50)]
+    r = regions(spark, ("Table", (100, 710, 500, 900)), ("Caption", (100, 698, 500, 708), "Table 1. a caption"), *texts)
     narrow = DEFAULT.__class__(table=DEFAULT.table.__class__(fragment_gap_ratio=0.005))
-    got = sorted((x["region_id"], x["table_id"], x["round"]) for x in tables.grown(r, owned, narrow).collect())
-    assert got == [(2, 1, 0), *((3 + i, 1, 1 + i) for i in range(24))]
+    got = sorted((x["region_id"], x["table_id"], x["round"]) for x in tables.grown(r, owned_by_seeds(r, narrow), narrow).collect())
+    assert got == [(2, 1, 0), *((3 + i, 1, 1 + i) for i in range(50))]
+
+
+def test_corridors_and_references_continue_a_caption(spark):
+    r = regions(
+        spark, ("Table", (300, 300, 700, 600)), ("Caption", (300, 200, 700, 215), "What this is about"), ("Text", (300, 240, 700, 290), "Anything here. It may be prose. And more of it."),
+        ("Text", (180, 200, 295, 215), "Table 4"), ("Caption", (300, 610, 700, 625), "Fig. 2. other"), ("Text", (300, 291, 420, 299), "Fig. 3 in between"),
+    )
+    got = {x["region_id"]: (x["role"], x["identifier"], x["score"] == 10) for x in tables.context(r).collect()}
+    assert got == {2: ("caption", False, False), 4: ("caption_fragment", True, False), 3: ("caption_fragment", False, True)}
+
+
+def test_directions_that_are_stated_and_cross_keep_captions_apart(spark):
+    r = regions(spark, ("Table", (300, 300, 700, 600)), ("Caption", (300, 270, 700, 285), "Table 1. a"), ("Caption", (300, 290, 500, 298), "of it"))
+    way = F.when(F.col("region_id") == 3, 90.0).when(F.col("region_id") == 2, 0.0)
+    assert {x["region_id"] for x in owned_by_seeds(r.withColumn("angle", way)).collect()} == {2}
+    assert {x["region_id"] for x in owned_by_seeds(r).collect()} == {2, 3}
 
 
 def decided(r):
