@@ -100,7 +100,7 @@ def caption_reference(text: Column, ocr: bool = False) -> Column:
     return F.coalesce(found(REFERENCE, False), found(OCR_TABLE, True)) if ocr else found(REFERENCE, False)
 
 
-_OF_TABLE = REFERENCE.replace(r"fig(?:ure)?\.?|table|tab\.?|equation|eq\.?|algorithm|listing", r"table|tab\.?")
+OF_TABLE = REFERENCE.replace(r"fig(?:ure)?\.?|table|tab\.?|equation|eq\.?|algorithm|listing", r"table|tab\.?")
 
 
 def leads_with_reference(text: Column) -> Column:
@@ -111,7 +111,7 @@ def leads_with_reference(text: Column) -> Column:
 def names_table(text: Column, ocr: bool = False) -> Column:
     """Whether a reference to a table leads the text."""
     clean = F.regexp_replace(caption_text(text), LEADING_NOISE, "")
-    return clean.rlike(_OF_TABLE) | clean.rlike(OCR_TABLE) if ocr else clean.rlike(_OF_TABLE)
+    return clean.rlike(OF_TABLE) | clean.rlike(OCR_TABLE) if ocr else clean.rlike(OF_TABLE)
 
 
 def names_other(text: Column) -> Column:

@@ -27,6 +27,9 @@ def _norm(x: str) -> str:
     return rf"trim(regexp_replace(replace(lower(trim(regexp_replace(COALESCE({x}, ''), '[\s\p{{Z}}]+', ' ', 'g'))), 'ß', 'ss'), '[^\p{{L}}\p{{N}}_]+', ' ', 'g'))"
 
 
+normal = _norm  # for other modules
+
+
 def _family(x: str) -> str:
     return f"CASE WHEN {x} IN ('Table', 'Figure') THEN 'asset' WHEN {x} IN ('Formula', 'Equation') THEN 'formula' WHEN {x} IN ('Page-header', 'Page-footer', 'Page-number') THEN 'furniture' WHEN {x} IN ('Caption', 'Text', 'Footnote', 'Section-header', 'Title', 'List', 'Reference', 'Code') THEN 'text' ELSE 'unknown' END"
 

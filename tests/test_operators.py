@@ -1,6 +1,7 @@
 """Operators on regions made by hand: semantics that the driver's tables don't reach."""
 
 import json
+import re
 
 import numpy as np
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from quire.functions import images
 from quire.functions import text as T
 from quire.functions.geometry import Box, angle_distance, direction, normal_angle, parallel, points_to_pixels, reliable_conflict
-from quire.operators import captions, conflicts, filters, hierarchy, metadata, order, pairs, resolve, tables, trace
+from quire.operators import caption_groups, captions, conflicts, filters, hierarchy, metadata, order, pairs, resolve, tables, trace
 from quire.plans import pipeline
 from quire.plans.config import DEFAULT
 from quire.sources import adapters, sinks
@@ -178,6 +179,33 @@ def test_directions_that_are_stated_and_cross_keep_captions_apart(spark):
     assert {x["region_id"] for x in owned_by_seeds(r).collect()} == {2, 3}
 
 
+def stitch(*parts):
+    """The tokens, those that the text so far ends with and the next part begins with once."""
+    plain = lambda ts: [re.sub(r"\W+", "", t.casefold()) for t in ts]
+    out = []
+    for p in parts:
+        k = next((k for k in range(min(len(out), len(p)), 0, -1) if plain(out)[-k:] == plain(p)[:k]), 0)
+        out += p[k:]
+    return out
+
+
+@pytest.mark.parametrize("parts", [(["Table", "3"], ["table", "3.", "Stalk", "yield"]), (["a", "b"], ["b", "a", "b"], ["A,", "b", "c"]), ([], ["x"]), (["x"], []), (["a"], ["a"], ["a", "a"])])
+def test_shared_tokens_stand_once(spark, parts):
+    column = F.array(*[F.array(*[F.lit(t) for t in p]).cast("array<string>") for p in parts])
+    assert value(spark, caption_groups.stitched(column)) == stitch(*parts)
+
+
+def test_a_caption_is_put_together(spark):
+    r = regions(
+        spark, ("Table", (300, 300, 700, 600)), ("Caption", (300, 270, 700, 280), "Table 2. Yields of plots"), ("Text", (300, 282, 700, 292), "of plots, by year"), ("Text", (300, 294, 400, 299), "by year"),
+    )
+    t = tables.logical_tables(r, tables.context(r))
+    g = caption_groups.groups(r, t).first()
+    assert (g["ordered"], g["semantic"], g["text"], g["spans"], g["y0"], g["y1"]) == ([2, 3, 4], [2, 3], "Table 2 Yields of plots by year", False, 270.0, 299.0)
+    got = {x["region_id"]: (x["resolved_type"], x["semantic_role"]) for x in caption_groups.annotated(r, caption_groups.groups(r, t)).collect()}
+    assert got[2] == ("Caption", "table_caption_identifier") and got[3] == ("Caption", "table_caption_fragment") and got[1] == ("Table", None)
+
+
 def decided(r):
     related = pairs.relationships(r)
     found = conflicts.conflict_pairs(related)
