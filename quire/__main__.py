@@ -80,8 +80,8 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         return 3
     try:
         out = pipeline.run(regions, config, pipeline.Run(strict=not args.lenient), sinks.written)
-        frames = {n: getattr(out, n) for n in ("regions", "excluded", "relationships", "captions", "hierarchy", "tables", "trace")}
-        sinks.write_artifacts(frames, args.output, "complete_with_warnings" if out.issues else "complete")
+        frames = {n: getattr(out, n) for n in ("regions", "excluded", "relationships", "captions", "hierarchy", "tables", "trace", "policy", "assets", "conflicts", "crops", "caption_groups")}
+        sinks.write_artifacts(frames, args.output, out.status)
     except Exception as e:
         print(e, file=sys.stderr)
         return 6

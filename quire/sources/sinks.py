@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 import tempfile
 import time
 import uuid
@@ -25,8 +26,13 @@ def _own_folder() -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; one of its own only where that is unset, as in tests."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or _own_folder()}/quire"
+    """The folder that spark.checkpoint.dir names; where that is unset, one of its own in local mode, else an error."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        at = _own_folder()
+    return f"{at}/quire"
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -93,8 +99,6 @@ def redact(df: DataFrame, text: bool = True, paths: bool = True) -> DataFrame:
     """Replaces columns and nested fields with secrets, drops those with paths and replaces text, by their names."""
 
     def rewrite(col, kind, name):
-        import re
-
         if re.search(SECRET_KEYS, name) or (text and name in TEXT_KEYS):
             return F.when(col.isNotNull(), F.lit(REDACTED)).cast("string")
         if isinstance(kind, T.StructType):
@@ -106,8 +110,6 @@ def redact(df: DataFrame, text: bool = True, paths: bool = True) -> DataFrame:
             return F.regexp_replace(col, r"([a-z][a-z0-9+.-]*://)[^/\s@]+@", f"$1{REDACTED}@")
         return col
 
-    import re
-
     kept = [f for f in df.schema.fields if not (paths and re.search(PATH_KEYS, f.name))]
     return df.select(*[rewrite(F.col(f.name), f.dataType, f.name).alias(f.name) for f in kept])
 

@@ -60,14 +60,20 @@ def run_to_end(frame: DataFrame, name: str, checkpoint: str, mode: str = "comple
     return frame.sparkSession.table(name)
 
 
-def into_batches(frame: DataFrame, sink, checkpoint: str, mode: str = "update"):
-    """Hands each micro-batch to sink(df, id); a sink that raises is reported and doesn't stop the others' batches."""
+def into_batches(frame: DataFrame, sink, checkpoint: str, mode: str = "update", dead_letters: str | None = None):
+    """Hands each micro-batch to sink(df, id); reports those at which the sink raised, and keeps their rows.
+
+    dead_letters: folder for the rows of such batches, as Parquet by batch, so that the stream goes on without losing any;
+    beside the checkpoint unless given. If they can't be written either, the query fails and the batch comes again.
+    """
     failures: list[tuple[int, str]] = []
+    kept = dead_letters or f"{checkpoint.rstrip('/')}-dead-letters"
 
     def each(df: DataFrame, batch: int) -> None:
         try:
             sink(df, batch)
         except Exception as e:  # isolated, as a broken listener must not end a run
+            df.write.mode("overwrite").parquet(f"{kept}/batch={batch}")
             failures.append((batch, f"{type(e).__name__}: {e}"))
 
     q = frame.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

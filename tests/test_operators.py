@@ -325,7 +325,37 @@ def test_pipeline_keeps_its_invariants(spark):
     assert {x["caption_id"]: x["parent_id"] for x in out.captions.collect()} == {4: 3}
     assert {x["child_id"]: x["accepted_parent_id"] for x in out.hierarchy.collect()}[5] == 3
     assert out.tables.first()["notes"] == [7]
-    assert out.trace.count() == 3 and [e["stage"] for e in seen][:2] == ["filters", "overlaps"]
+    assert out.trace.count() == 5 and out.status == "complete"
+    names = [e["stage"] for e in seen]
+    assert names.index("filters") < names.index("overlaps") < names.index("hierarchy") < names.index("tables") < names.index("caption_groups")
+
+
+def test_documents_with_equal_ids_stay_apart(spark):
+    """A caption associated in one document protects nothing in another; graph checks and neighbours take string ids."""
+    rows = [("Figure", (100, 100, 500, 500)), ("Caption", (110, 490, 490, 510), "Figure 1. x"), ("Formula", (600, 300, 800, 330)), ("Text", (600, 200, 800, 250), "above"), ("Text", (600, 400, 800, 450), "below")]
+    one = regions(spark, *rows).withColumn("region_id", F.concat(F.lit("r"), F.col("region_id").cast("string")))
+    inside = F.col("region_id") == "r2"
+    two = one.withColumn("doc_id", F.lit("e")).withColumn("y0", F.when(inside, 300.0).otherwise(F.col("y0"))).withColumn("y1", F.when(inside, 320.0).otherwise(F.col("y1")))
+    both = one.unionByName(two)
+    out = pipeline.run(both, keep=sinks.written)
+    assert {(x["doc_id"], x["child_id"]) for x in out.hierarchy.where("accepted_parent_id IS NOT NULL").collect()} == {("e", "r2")}
+    assert {(x["doc_id"], x["above_id"], x["below_id"]) for x in captions.text_neighbours(both).collect()} == {("d", "r4", "r5"), ("e", "r4", "r5")}
+    edges = spark.createDataFrame([("d", "r1", "r2", "k", "s"), ("e", "r1", "r9", "k", "s"), ("e", "r2", "r1", "k", "s")], "doc_id string, left_id string, right_id string, kind string, status string")
+    assert [(x["doc_id"], x["issue"], x["subject"]) for x in hierarchy.integrity(both, edges).collect()] == [("e", "missing_endpoint", "r9")]
+
+
+def test_a_stage_that_fails_in_execution_falls_back(spark):
+    r = regions(spark, ("Text", (0, 0, 10, 10), "x"))
+    run = pipeline.Run(strict=False, keep=sinks.written)
+    bad = r.withColumn("text", F.raise_error(F.lit("broken row")))
+    assert run.stage("s", lambda: bad, lambda: r).count() == 1
+    assert run.issues[0]["stage"] == "s" and pipeline.status_of(run.issues) == "partial"
+    pages = spark.range(100).selectExpr("'d' AS doc_id", "id AS page_number")
+    assert run.check_pages(pages.where("page_number < 3"), pages) == 3 and len(run.issues) == 1
+    run.check_pages(pages.where("page_number < 4"), pages)
+    assert pipeline.status_of(run.issues) == "failed"
+    with pytest.raises(pipeline.BudgetExceeded):
+        pipeline.Run().check_pages(pages, pages)
 
 
 def test_stage_failures_fall_back_or_raise():
@@ -348,6 +378,8 @@ def test_batches_isolate_a_broken_sink(spark, tmp_path):
     s = events.stream(spark, "/root/testdata/sf0.001/events.parquet")
     failures = events.into_batches(s, lambda df, n: 1 / 0, str(tmp_path / "c"), mode="append")
     assert failures and "ZeroDivisionError" in failures[0][1]
+    kept = spark.read.parquet(str(tmp_path / "c-dead-letters"))
+    assert kept.count() == spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
 
 
 def test_image_kernels(spark):
