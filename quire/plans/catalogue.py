@@ -314,7 +314,7 @@ def post_body_assets(spark, d):
 def metadata_fields(spark, d):
     from quire.operators import metadata
 
-    return metadata.fields(_headed(spark, d))
+    return metadata.fields(_headed(spark, d)).select("page_number", "region_id", "field", "category", "inline", "value", "members")
 
 
 # Snapshots and invariants

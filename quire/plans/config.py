@@ -92,6 +92,13 @@ class Filters:
     role_gap_ratio: float = 0.035
     role_overlap: float = 0.45
     role_words: int = 120
+    metadata_fields: int = 2
+    metadata_heading_words: int = 10
+    metadata_heading_gap_ratio: float = 0.025
+    metadata_min_gap_ratio: float = 0.008
+    metadata_max_gap_ratio: float = 0.035
+    metadata_overlap: float = 0.35
+    metadata_left_ratio: float = 0.025
 
 
 @dataclass(frozen=True)

@@ -117,9 +117,21 @@ def test_front_matter_needs_semantics_and_structure(spark):
 
 
 def test_metadata_values_follow_their_labels(spark):
-    r = regions(spark, ("Text", (50, 50, 200, 60), "Keywords:"), ("Text", (50, 63, 200, 73), "one, two"), ("Text", (50, 76, 200, 86), "three"), ("Text", (50, 300, 200, 310), "far away"), ("Text", (50, 320, 200, 330), "DOI: 10.1/x"))
-    got = [tuple(x)[2:] for x in metadata.fields(r).orderBy("region_id").collect()]
-    assert got == [(1, "keywords", "one, two three", 3), (5, "identifier", "10.1/x", 1)]
+    r = regions(
+        spark, ("Section-header", (50, 30, 200, 42), "A R T I C L E  I N F O"), ("Text", (50, 50, 200, 60), "Keywords:"), ("Text", (50, 63, 200, 73), "one, two"), ("Text", (50, 76, 200, 86), "three"), ("Text", (50, 300, 200, 310), "far away"),
+        ("Text", (50, 320, 200, 330), "DOI: 10.1/x"), ("Text", (500, 55, 900, 65), "Introduction"), ("Text", (50, 400, 200, 430), "Article history\nReceived 1 May"), ("Text", (50, 433, 200, 443), "Accepted 2 May"), ("Text", (50, 446, 200, 456), "Abstract"), ("Text", (50, 900, 200, 910), "Contact: far down"),
+    )
+    got = [(x["region_id"], x["category"], x["value"], x["members"]) for x in metadata.fields(r).orderBy("region_id").collect()]
+    assert got == [(2, "scientific_descriptors", "one, two\nthree", 2), (6, "identifiers", "DOI: 10.1/x", 1), (8, "administrative_history", "Article history\nReceived 1 May\nAccepted 2 May", 2)]
+    role = {x["region_id"]: (x["role"], x["field"]) for x in metadata.roles(r).collect()}
+    assert role == {
+        1: ("metadata_container_heading", None), 2: ("metadata_field_label", 1), 3: ("metadata_field_value", 1), 4: ("metadata_field_value", 1), 6: ("metadata_field_label_and_value", 2),
+        8: ("metadata_field_label_and_value", 3), 9: ("metadata_field_value", 3),
+    }
+    many = r
+    for n in range(2, 40):
+        many = many.unionByName(r.withColumn("page_number", F.lit(n).cast("long")))
+    assert metadata.fields(many.repartition(7)).count() == 39 * 3 and metadata.roles(many.where("false")).count() == 0
 
 
 def test_cycles_of_any_length(spark):
