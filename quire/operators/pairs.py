@@ -56,48 +56,52 @@ def candidates(regions: DataFrame, near_ratio: float, band: float | None = None)
     return joined.drop("band") if band else joined
 
 
-def features(pairs: DataFrame) -> DataFrame:
-    """Adds the geometric and textual evidence of pairs, symmetric and by direction."""
+def features(pairs: DataFrame, full: bool = True) -> DataFrame:
+    """Adds the geometric and textual evidence of pairs, symmetric and by direction. full: also what no rule asks for."""
     a, b = Box.of("a_"), Box.of("b_")
     w, h = F.col("page_w"), F.col("page_h")
     inter, iw, ih = a.intersection(b), a.overlap_x(b), a.overlap_y(b)
     words = lambda c: F.array_distinct(F.filter(F.split(c, " "), lambda x: x != ""))
-    p = fixed(pairs, intersection=inter, iw=iw, ih=ih, a_area=a.area, b_area=b.area, a_tokens=words("a_norm"), b_tokens=words("b_norm"))
+    tokens = {"a_tokens": words("a_norm"), "b_tokens": words("b_norm")} if full else {}
+    p = fixed(pairs, intersection=inter, iw=iw, ih=ih, a_area=a.area, b_area=b.area, **tokens)
     i, aa, ba = F.col("intersection"), F.col("a_area"), F.col("b_area")
     met = F.size(F.array_intersect("a_tokens", "b_tokens"))
 
     def overhang(x: Box, y: Box) -> Column:
         return F.greatest(positive(y.x0 - x.x0) / w, positive(x.x1 - y.x1) / w, positive(y.y0 - x.y0) / h, positive(x.y1 - y.y1) / h)
 
+    rest = {
+        "over_larger": ratio(i, F.greatest(aa, ba)),
+        "a_vertical_coverage": ratio(F.col("ih"), a.height),
+        "b_vertical_coverage": ratio(F.col("ih"), b.height),
+        "a_token_coverage": ratio(met, F.size("a_tokens")),
+        "b_token_coverage": ratio(met, F.size("b_tokens")),
+        "token_jaccard": ratio(met, F.size(F.array_union("a_tokens", "b_tokens"))),
+        "center_distance": F.sqrt(((a.cx - b.cx) / w) * ((a.cx - b.cx) / w) + ((a.cy - b.cy) / h) * ((a.cy - b.cy) / h)),
+        "horizontal_gap": a.gap_x(b) / w,
+        "left_alignment": F.abs(a.x0 - b.x0) / w,
+        "right_alignment": F.abs(a.x1 - b.x1) / w,
+    }
     return fixed(
         p,
+        **(rest if full else {}),
         iou=ratio(i, aa + ba - i),
         a_containment=ratio(i, aa),
         b_containment=ratio(i, ba),
         over_smaller=ratio(i, F.least(aa, ba)),
-        over_larger=ratio(i, F.greatest(aa, ba)),
         a_horizontal_coverage=ratio(F.col("iw"), a.width),
         b_horizontal_coverage=ratio(F.col("iw"), b.width),
         horizontal_overlap=ratio(F.col("iw"), F.least(a.width, b.width)),
-        a_vertical_coverage=ratio(F.col("ih"), a.height),
-        b_vertical_coverage=ratio(F.col("ih"), b.height),
         vertical_overlap=ratio(F.col("ih"), F.least(a.height, b.height)),
         area_ratio=ratio(F.least(aa, ba), F.greatest(aa, ba)),
         a_page_area=ratio(aa, w * h),
         b_page_area=ratio(ba, w * h),
         a_center_inside=a.center_inside(b),
         b_center_inside=b.center_inside(a),
-        a_token_coverage=ratio(met, F.size("a_tokens")),
-        b_token_coverage=ratio(met, F.size("b_tokens")),
-        token_jaccard=ratio(met, F.size(F.array_union("a_tokens", "b_tokens"))),
-        center_distance=F.sqrt(((a.cx - b.cx) / w) * ((a.cx - b.cx) / w) + ((a.cy - b.cy) / h) * ((a.cy - b.cy) / h)),
         edge_delta=F.greatest(F.abs(a.x0 - b.x0) / w, F.abs(a.x1 - b.x1) / w, F.abs(a.y0 - b.y0) / h, F.abs(a.y1 - b.y1) / h),
         a_protrusion=overhang(a, b),
         b_protrusion=overhang(b, a),
-        horizontal_gap=(a.gap_x(b) / w),
         vertical_gap=(a.gap_y(b) / h),
-        left_alignment=(F.abs(a.x0 - b.x0) / w),
-        right_alignment=(F.abs(a.x1 - b.x1) / w),
         text_relation=T.relation(F.col("a_norm"), F.col("b_norm")),
         same_class=(F.col("a_type") == F.col("b_type")),
         a_family=family(F.col("a_type")),
@@ -139,7 +143,15 @@ def classified(pairs: DataFrame, config: Config = DEFAULT) -> DataFrame:
 
 def relationships(regions: DataFrame, config: Config = DEFAULT, band: float | None = None) -> DataFrame:
     """All classified pairs of the regions, with candidate parent and child where one contains the other."""
-    found = classified(features(candidates(regions, config.overlap.fragment_gap_ratio, band)), config)
+    found = classified(features(candidates(regions, config.overlap.fragment_gap_ratio, band), full=False), config)
     a_inside = F.col("a_containment") >= F.col("b_containment")
     contains = F.col("kind") == "CONTAINMENT_CANDIDATE"
     return found.withColumn("parent_id", F.when(contains, F.when(a_inside, F.col("b_region_id")).otherwise(F.col("a_region_id")))).withColumn("child_id", F.when(contains, F.when(a_inside, F.col("a_region_id")).otherwise(F.col("b_region_id"))))
+
+
+def duplicates(regions: DataFrame, config: Config = DEFAULT, band: float | None = None) -> DataFrame:
+    """The DUPLICATE pairs of relationships() alone: edges that lie close together are asked for before any feature."""
+    near = config.overlap.duplicate_edge_ratio
+    close = [F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")) / F.col(size) <= near for c, size in (("x0", "page_w"), ("x1", "page_w"), ("y0", "page_h"), ("y1", "page_h"))]
+    some = candidates(regions, config.overlap.fragment_gap_ratio, band).where(close[0] & close[1] & close[2] & close[3])
+    return classified(features(some, full=False), config).where("kind = 'DUPLICATE'")

@@ -83,7 +83,8 @@ def _duplicates(spark, d):
 
 @query(O.li(O.SNAP_PAIRS, O.DUPES, select="SELECT page_number, array_to_string(members, ',') AS members, len(members) AS size FROM co"))
 def duplicate_components(spark, d):
-    return _duplicates(spark, d)[2].select("page_number", F.array_join("members", ",").alias("members"), F.size("members").alias("size"))
+    found = resolve.duplicate_components(pairs.duplicates(A.snapped(_li(spark, d))))
+    return found.select("page_number", F.array_join("members", ",").alias("members"), F.size("members").alias("size"))
 
 
 @query(O.li(O.SNAP_PAIRS, O.DUPES, select="SELECT page_number, region_id, canonical_id, members FROM ca"))
@@ -292,10 +293,16 @@ def policy_carry_forward(spark, d):
     return p.groupBy("section", "action", "policy_reason").agg(F.count("*").alias("n"), F.min("region_id").alias("first_region"))
 
 
-@query(r"""WITH b AS (SELECT regexp_extract_all(html, '<(h1|h2|h3|p|li|td|th|title)[^>]*>([^<]+)', 1) AS tags FROM pages)
-SELECT tag, CASE tag WHEN 'h1' THEN 'Title' WHEN 'h2' THEN 'Section-header' WHEN 'h3' THEN 'Section-header' WHEN 'p' THEN 'Text' WHEN 'li' THEN 'List' WHEN 'td' THEN 'Field-value' WHEN 'th' THEN 'Field-key' ELSE 'Page-header' END AS type, count(*) AS n FROM (SELECT unnest(tags) AS tag FROM b) GROUP BY ALL""")
+_BLOCKS = r"""WITH m AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<(?:script|style)[^>]*>.*?</(?:script|style)>|<!--.*?-->', ' ', 'g'), '(?i)<(h1|h2|h3|p|li|td|th|title)(?:\s[^>]*)?>', chr(1) || '\1' || chr(2), 'g') AS h FROM pages),
+b AS (SELECT page_id, unnest(list_filter(string_split(h, chr(1)), lambda x: contains(x, chr(2)))) AS part FROM m),
+t AS (SELECT page_id, lower(split_part(part, chr(2), 1)) AS tag, trim(regexp_replace(regexp_replace(regexp_replace(split_part(part, chr(2), 2),
+  '(?is)</(?:h1|h2|h3|p|li|td|th|title|ul|ol|tr|table|div|article|section|header|footer|nav|head|body|html)\s*>.*$', ''), '<[^>]*>', '', 'g'), '[\s\p{Z}]+', ' ', 'g')) AS text FROM b)"""
+
+
+@query(_BLOCKS + """ SELECT tag, CASE tag WHEN 'h1' THEN 'Title' WHEN 'h2' THEN 'Section-header' WHEN 'h3' THEN 'Section-header' WHEN 'p' THEN 'Text' WHEN 'li' THEN 'List' WHEN 'td' THEN 'Field-value' WHEN 'th' THEN 'Field-key' ELSE 'Page-header' END AS type,
+  count(*) AS n, sum(length(text))::BIGINT AS chars FROM t WHERE text <> '' GROUP BY tag""")
 def label_map_counts(spark, d):
-    return A.html_blocks(spark, d).groupBy("tag", "type").agg(F.count("*").alias("n"))
+    return A.html_blocks(spark, d).groupBy("tag", "type").agg(F.count("*").alias("n"), F.sum(F.length("text")).cast("long").alias("chars"))
 
 
 @query()

@@ -87,7 +87,11 @@ TYPES = {
 }
 # Html tags and the labels that stand for them.
 TAGS = {"h1": "title", "h2": "section_header", "h3": "section_header", "p": "paragraph", "li": "list_item", "td": "field_value", "th": "field_key", "title": "page_header"}
-BLOCK = r"<(h1|h2|h3|p|li|td|th|title)[^>]*>([^<]+)"
+#: What is no text; where a block begins; where one ends, if no other begins before; inline markup.
+SILENT = r"(?is)<(?:script|style)[^>]*>.*?</(?:script|style)>|<!--.*?-->"
+BEGIN = r"(?i)<(h1|h2|h3|p|li|td|th|title)(?:\s[^>]*)?>"
+END = r"(?is)</(?:h1|h2|h3|p|li|td|th|title|ul|ol|tr|table|div|article|section|header|footer|nav|head|body|html)\s*>.*$"
+MARKUP = r"<[^>]*>"
 
 
 def region_type(label):
@@ -98,12 +102,19 @@ def region_type(label):
 
 
 def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """page_id, pos, tag, text and type of the text blocks of raw pages."""
+    """page_id, pos, tag, text and type of the text blocks of raw pages, with all the text within their inline markup.
+
+    A block runs from its tag to the next block's, or to where its own or what holds it ends; empty ones are left out.
+    """
     p = table(spark, sf_dir, "pages").select("page_id", "html")
-    both = F.arrays_zip(F.regexp_extract_all("html", F.lit(BLOCK), 1).alias("tag"), F.regexp_extract_all("html", F.lit(BLOCK), 2).alias("text"))
+    # Two control characters that texts don't hold mark a tag and its end; what stands before the first is no block.
+    marked = F.regexp_replace(F.regexp_replace("html", SILENT, " "), BEGIN, "\x01$1\x02")
+    parts = F.filter(F.split(marked, "\x01"), lambda x: F.contains(x, F.lit("\x02")))
+    b = p.select("page_id", F.posexplode(parts).alias("pos", "part"))
+    inner = F.regexp_replace(F.regexp_replace(F.split_part("part", F.lit("\x02"), F.lit(2)), END, ""), MARKUP, "")
+    b = b.select("page_id", "pos", F.lower(F.split_part("part", F.lit("\x02"), F.lit(1))).alias("tag"), F.trim(F.regexp_replace(inner, r"[\s\p{Z}]+", " ")).alias("text")).where("text <> ''")
     tags = F.create_map(*[F.lit(x) for kv in TAGS.items() for x in kv])
-    out = p.select("page_id", F.posexplode(both).alias("pos", "b")).select("page_id", "pos", F.col("b.tag").alias("tag"), F.col("b.text").alias("text"))
-    return out.withColumn("type", region_type(F.try_element_at(tags, F.col("tag"))))
+    return b.withColumn("type", region_type(F.try_element_at(tags, F.col("tag"))))
 
 
 def run_events(spark: SparkSession, sf_dir: str) -> DataFrame:
