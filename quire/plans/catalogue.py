@@ -305,10 +305,32 @@ def label_map_counts(spark, d):
     return A.html_blocks(spark, d).groupBy("tag", "type").agg(F.count("*").alias("n"), F.sum(F.length("text")).cast("long").alias("chars"))
 
 
-@query()
+_ROLES = r"""f0 AS (SELECT *, trim(regexp_replace(text, '[\s\p{Z}]+', ' ', 'g')) AS body FROM hd),
+f1 AS (SELECT *, len(regexp_extract_all(body, '[^\s\p{Z}]+')) AS words, y0 / 1000.0 AS top, y1 / 1000.0 AS bottom,
+  len(regexp_extract_all(body, '(?i)\b(receiv\w*|revis\w*|accept\w*|submit\w*|publish\w*|available\s+(?:on|in)line|first\s+published|version\s+of\s+record)\b')) AS events,
+  len(regexp_extract_all(body, '\b(?:\d{1,2}[\s./-]+(?:[A-Za-z]{3,12}|\d{1,2})[\s,./-]+\d{2,4}|(?:[A-Za-z]{3,12})\s+\d{1,2},?\s+\d{4}|\d{4}-\d{1,2}-\d{1,2})\b')) AS dates,
+  len(regexp_extract_all(body, '(?i)(?:©|\bcopyright\b|\blicen[cs](?:e|ed|ing)\b|\ball\s+rights?\b|\bright\s+to\s+(?:copy|reuse|reproduce|distribute)\b|\bcreative\s+commons\b|\bopen\s+access\b|\bpermissions?\b|\bpublished\s+by\b|\breproduction\b|\bredistribution\b)')) AS legal,
+  regexp_matches(body, '(?i)^\s*(article|manuscript|publication|submission)\s*(history|information|details?|record|timeline)\b') AS heading, regexp_matches(body, '(?i)^\s*(abstract|summary)\b') AS abstract,
+  regexp_matches(body, '(?i)^\s*(?:(?:section\s+)?(?:\d+(?:\.\d+)*|[ivxlcdm]+)[\s.)\-:]*)?(introduction|background|materials?\s+and\s+methods?|methods?|results?)\b') AS starts,
+  regexp_matches(body, '(?i)^\s*(key\s*words?|index\s+terms?)\b') AS keywords, regexp_matches(body, '[.!?](?:\s|$)') AS ends FROM f0),
+f2 AS (SELECT *, words >= 18 AND (ends OR words >= 34) AS prose, type = 'Caption' OR abstract OR keywords OR starts AS protected, min(CASE WHEN starts THEN top END) OVER (PARTITION BY page_number) AS start, bool_or(abstract) OVER (PARTITION BY page_number) AS has_abstract FROM f1),
+f3 AS (SELECT *, (start IS NOT NULL OR has_abstract) AND top < COALESCE(start, 1.0) AS before, words <= 45 AND (y1 - y0) / 1000.0 <= 0.09 AS compact, events >= 2 OR (events >= 1 AND dates >= 1) OR heading AS history FROM f2),
+f4 AS (SELECT *, CASE WHEN history THEN 'article_history' WHEN legal >= 1 THEN 'publisher_legal' END AS role, least(1.0, 0.62::DOUBLE * CASE WHEN history THEN least(1.0, 0.48::DOUBLE + 0.16::DOUBLE * events + 0.14::DOUBLE * dates + CASE WHEN heading THEN 0.2::DOUBLE ELSE 0.0 END) ELSE least(1.0, 0.64::DOUBLE + 0.12::DOUBLE * least(legal, 3)) END
+  + 0.38::DOUBLE * (CASE WHEN before THEN 0.45::DOUBLE ELSE 0.0 END + CASE WHEN compact THEN 0.25::DOUBLE ELSE 0.0 END + CASE WHEN NOT prose THEN 0.2::DOUBLE ELSE 0.0 END)) - CASE WHEN prose THEN 0.2::DOUBLE ELSE 0.0 END AS confidence FROM f3),
+f5 AS (SELECT *, COALESCE(role IS NOT NULL AND NOT protected AND body <> '' AND words <= 120 AND before AND compact AND confidence >= 0.78, false) AS seed FROM f4),
+f6 AS (SELECT r.page_number, r.region_id, arg_min(s.role, (s.src_order, s.region_id)) AS role, arg_min(s.confidence, (s.src_order, s.region_id)) AS confidence FROM f5 r JOIN f5 s ON s.page_number = r.page_number AND s.seed
+  WHERE NOT r.seed AND NOT r.protected AND NOT r.prose AND r.words <= 120 AND r.top < COALESCE(r.start, 1.0) AND (r.words <= 45 OR r.heading) AND greatest(0.0, greatest(r.y0, s.y0) - least(r.y1, s.y1)) / 1000.0 <= 0.035
+  AND greatest(0.0, least(r.x1, s.x1) - greatest(r.x0, s.x0)) / greatest(least(r.x1 - r.x0, s.x1 - s.x0), 0.000001) >= 0.45 GROUP BY r.page_number, r.region_id)"""
+
+
+@query(
+    O.doc(
+        O.HEADINGS, _ROLES,
+        select="SELECT page_number, region_id, role, 'semantic_structural_seed' AS decision, round(confidence, 6) AS confidence FROM f5 WHERE seed UNION ALL SELECT page_number, region_id, role, 'aligned_group_continuation', round(confidence, 6) FROM f6",
+    )
+)
 def front_matter_roles(spark, d):
-    """Roles by scores; the scores' sums of fractions are compared in the tests."""
-    return filters.front_matter_roles(_headed(spark, d)).select("page_number", "region_id", "role", "decision")
+    return filters.front_matter_roles(_headed(spark, d)).select("page_number", "region_id", "role", "decision", F.round("confidence", 6).alias("confidence"))
 
 
 @query(O.li("""ax AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page_number, src_order, region_id) AS asset_order FROM li WHERE type IN ('Figure', 'Table'))""",
