@@ -207,3 +207,14 @@ def figure_nearest_caption(spark, d):
     text = F.when((F.col("type") == "Caption") & (F.col("region_id") % 4 != 0), F.concat(F.lit("Fig. "), F.col("src_order").cast("string"), F.when(F.col("region_id") % 3 == 0, " (a) left (b) right").otherwise(" of it"))).otherwise(F.col("text"))
     r = A.lineitem_regions(spark, d).withColumn("text", text)
     return captions.caption_anchored_figures(r).select("caption_id", "figure_id", "gap", "multipanel_hint", "completed", "reason")
+
+
+@query(
+    r"""SELECT doc_id, COALESCE(nullif(regexp_replace(regexp_replace(regexp_replace(COALESCE(left(text, 60), ''), '[^A-Za-z0-9._-]+', '_', 'g'), '_+', '_', 'g'), '^[._-]+|[._-]+$', '', 'g'), ''), 'document') || '__' || left(sha256(COALESCE(text, '')), 12) AS document_id FROM documents"""
+)
+def document_ids(spark, d):
+    """Ids of documents from their first letters, as from a file's name, and the start of their digest."""
+    from quire.sources import runs
+
+    t = A.table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return t.select("doc_id", runs.document_id(F.substring("text", 1, 60), F.sha2(F.col("text").cast("binary"), 256)).alias("document_id"))

@@ -13,7 +13,7 @@ from quire.functions.geometry import Box, angle_distance, direction, normal_angl
 from quire.operators import caption_groups, captions, conflicts, filters, hierarchy, metadata, order, pairs, resolve, tables, trace
 from quire.plans import pipeline
 from quire.plans.config import DEFAULT
-from quire.sources import adapters, sinks
+from quire.sources import adapters, runs, sinks
 from quire.streaming import events
 
 SCHEMA = "doc_id string, page_number long, region_id long, src_order long, type string, x0 double, y0 double, x1 double, y1 double, text string, score double, page_w double, page_h double"
@@ -432,3 +432,44 @@ def test_completion_respects_columns(spark):
     p = r.where("type = 'Figure'").selectExpr("doc_id", "page_number", "region_id", "9.0 AS assignment", "50.0 AS n_x0", "100.0 AS n_y0", "800.0 AS n_x1", "300.0 AS n_y1")
     d = completion.decisions(r, p).first()
     assert (d["decision"], d["reason"], d["x1"]) == ("rejected_barrier_crossing", "proposal_crosses_column_gutter", 450.0)
+
+
+def test_paths_of_manifests_stay_under_their_root():
+    assert runs.confined("s3://b/run/", "regions/part-0.parquet") == "s3://b/run/regions/part-0.parquet"
+    for bad in ("", "/etc/passwd", "a/../b", "./a", "a//b", "c:\\x", "hdfs://x/y", "a\x00b", "..\\x", None):
+        with pytest.raises(runs.PathError):
+            runs.confined("/r", bad)
+
+
+def test_runs_leave_records(spark, tmp_path):
+    at = str(tmp_path)
+    context = runs.RunContext("r1", "d", "s", "c")
+    recorder = runs.Recorder(context, sink=lambda e: 1 / 0)
+    tokens = runs.bind(recorder, lambda: (_ for _ in ()).throw(pipeline.Cancelled("now")))
+    assert runs.current() is recorder
+    with pytest.raises(pipeline.Cancelled):
+        runs.check_cancelled()
+    runs.reset(tokens)
+    assert runs.current() is None and runs.check_cancelled() is None
+    assert recorder.emit("stage", api_key="x")["sink_error"] == "ZeroDivisionError" and recorder.events[0]["api_key"] == sinks.REDACTED
+    recorder.persist(spark, f"{at}/events.jsonl")
+    assert sinks.bounded_json(spark, f"{at}/events.jsonl", "run_id string, event string").first()["event"] == "stage"
+    runs.write_failure(spark, at, context, ValueError("quotes a document"))
+    assert "quotes" not in runs.read_text(spark, f"{at}/run_failure.json") and runs.read_text(spark, f"{at}/none") is None
+    r = regions(spark, ("Text", (0, 0, 10, 10), "x"))
+    sinks.write_artifacts({"regions": r}, f"{at}/run")
+    runs.record_run(spark, f"{at}/run", "abc", DEFAULT, "complete")
+    assert runs.mark_validated(spark, f"{at}/run") and runs.resumable(spark, f"{at}/run", "abc", DEFAULT)["run_status"] == "complete"
+    for sha, config in (("other", DEFAULT), ("abc", DEFAULT.with_options(caption={"accept": 0.5}))):
+        with pytest.raises(ValueError):
+            runs.resumable(spark, f"{at}/run", sha, config)
+    shots = trace.snapshot("source", r)
+    assert runs.update_golden(spark, f"{at}/golden.json", shots, "f", "first", True)["previous"] is None
+    assert runs.update_golden(spark, f"{at}/golden.json", shots, "f", "again", True)["previous"]["reason"] == "first"
+    with pytest.raises(ValueError):
+        runs.update_golden(spark, f"{at}/golden.json", shots, "f", "bad", False)
+    found = runs.doctor(spark, DEFAULT, at, least_free_mb=1, needed=("pyspark", "no-such-package"))
+    assert [c["name"] for c in found["checks"] if c["status"] == "fail"] == ["no-such-package"]
+    assert runs.environment(spark, DEFAULT)["environment_sha256"] == runs.environment(spark, DEFAULT)["environment_sha256"]
+    assert runs.inputs(spark, f"{at}/golden.json").first()["document_id"].startswith("golden__") and runs.folder_mb(spark, at) > 0
+    assert [runs.sensitivity(n) for n in ("raw_text", "trace", "config", "regions")] == ["raw_sensitive", "operational_metadata", "secret_redacted", "derived_sensitive"]
