@@ -58,7 +58,8 @@ class Merges:
         for b, i in self.whole.items():
             self.automaton.add_word(b.decode("latin-1"), (i, len(b)))
         self.automaton.make_automaton()
-        self._fits: dict[tuple[int, int], bool] = {}
+        #: By both tokens in one number, the second in the low bits.
+        self._fits: dict[int, bool] = {}
 
     def merge(self, data: bytes) -> list[bytes]:
         """The merges applied by rank, leftmost first: what defines an encoding. For short inputs."""
@@ -72,11 +73,11 @@ class Merges:
 
     def fits(self, a: int, b: int) -> bool:
         """Whether tokens a, b are the encoding of their bytes."""
-        got = self._fits.get((a, b))
+        got = self._fits.get(a << 32 | b)
         if got is None:
             if len(self._fits) > 200_000:
                 self._fits.clear()
-            got = self._fits[a, b] = self._apart(self.bytes_of[a], self.bytes_of[b])
+            got = self._fits[a << 32 | b] = self._apart(self.bytes_of[a], self.bytes_of[b])
         return got
 
     def _apart(self, x: bytes, y: bytes) -> bool:
@@ -139,7 +140,7 @@ class Transducer:
             if start < base:
                 continue
             before = last[start - base]
-            ok = before == -1 or known((before, t))
+            ok = before == -1 or known(before << 32 | t)
             if ok or ok is None and m.fits(before, t):  # of the tokens that end here, one fits
                 last.append(t)
                 done = at + 1
