@@ -198,23 +198,27 @@ def _ends(pairs: DataFrame) -> bytes:
     return bitmap(pairs.select(F.explode(F.array("a", "b")).alias("rep")), "rep", 2 * pairs.count())
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, p: Sketching) -> DataFrame:
-    """pairs: ids a, b (written). Those whose sketches may, and full sets do, reach the similarity."""
+def _verified(pairs: DataFrame, sets: DataFrame, p: Sketching, few: bool = False) -> DataFrame:
+    """pairs: ids a, b (written). Those whose sketches may, and full sets do, reach the similarity.
+
+    few: of the sets only those at the ends of the pairs are written out first. The joins themselves run no Python, as two
+    sides filtered in one task would be two workers more on each core.
+    """
 
     def side(x: DataFrame, of: str, *columns) -> DataFrame:
         return x.select(F.col("rep").alias(of), F.size("set").alias(f"n_{of}"), *[c.alias(f"set_{of}") for c in columns])
 
-    sets = narrowed(sets, "rep", _ends(pairs))
+    own = written(narrowed(sets, "rep", _ends(pairs))) if few else None
+    sets = own if few else sets
     sketch = F.slice("set", 1, p.k)
     known = pairs.join(side(sets, "a", sketch), "a").join(side(sets, "b", sketch), "b")
     least = F.least(F.ceil(F.greatest("n_a", "n_b") * p.percent / 100), F.lit(p.least))
     likely = known.where((100 * F.least("n_a", "n_b") >= p.percent * F.greatest("n_a", "n_b")) & (_estimated(F.col("set_a"), F.col("set_b"), p.k) >= least)).select("a", "b")
     likely = written(likely)
-    sets = narrowed(sets, "rep", _ends(likely))
     both = likely.join(side(sets, "a", F.col("set")), "a").join(side(sets, "b", F.col("set")), "b")
     shared = F.size(F.array_intersect("set_a", "set_b")).cast("long")
     found = written(both.withColumn("shared", shared).where(100 * F.col("shared") >= p.percent * (F.col("n_a") + F.col("n_b") - F.col("shared"))).select("a", "b"))
-    discard(likely)
+    discard(likely, *([own] if few else []))
     return found
 
 
@@ -253,7 +257,7 @@ def near_duplicates(docs: DataFrame, p: Sketching = Sketching()) -> DataFrame:
     component = written(connected_components(edges).withColumnRenamed("node", "rep"))
     rest = _rest(listed, sets, component, p)
     discard(listed)
-    more = _verified(rest, sets, p)
+    more = _verified(rest, sets, p, few=True)
     discard(rest, sets)
     if not more.isEmpty():
         before, component = component, written(connected_components(edges.unionByName(more)).withColumnRenamed("node", "rep"))
