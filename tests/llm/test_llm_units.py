@@ -230,6 +230,30 @@ def test_toxic_misspellings_share_vectors():
     assert np.array_equal(again.table, model.table)
 
 
+def test_scores_match_a_plain_forward_pass():
+    """Each window's mean of its distinct words' mean n-gram vectors through the softmax, word by word."""
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["good", "bad", "vile!", "words", "x", "--", "Ünï", "words"]) for _ in range(rng.randint(0, 45))) for _ in range(60)]
+    model = toxicity.train(texts, [i % 2 for i in range(60)], toxicity.Params(steps=30))
+    p = model.params
+
+    def vector(word):
+        of, rows = toxicity.gram_rows([word], p)
+        return model.table[rows].astype(np.float64).mean(0) if len(rows) else np.zeros(p.size)
+
+    def score(text):
+        words = toxicity.tokens(text)
+        best = 0.0 if not words else -np.inf
+        for at in range(0, max(1, len(words) - p.window // 2), p.window // 2) if words else ():
+            bag = sum((vector(w) for w in set(words[at : at + p.window])), np.zeros(p.size)) / p.window
+            logits = bag @ model.weight
+            best = max(best, logits[1] - logits[0])
+        return 1 / (1 + math.exp(-(best + float(model.bias[1] - model.bias[0]))))
+
+    got = toxicity.Scorer(model).scores([*texts, None, ""])
+    assert got == pytest.approx([score(t) for t in [*texts, None, ""]], abs=1e-6)
+
+
 def test_shingles():
     h = minhash._Hashes()
     sizes = [len(minhash.shingle_set(t, h)) for t in (None, "", " \t", "a", "a b", "a b c d e", "a b c d e f", "A B c d e f", "a a a a a a a")]
