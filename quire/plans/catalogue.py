@@ -339,13 +339,6 @@ def post_body_assets(spark, d):
     return filters.post_body_assets(_li(spark, d)).select("region_id", "type", "asset_order", F.array_join("linked", ",").alias("linked"))
 
 
-@query()
-def metadata_fields(spark, d):
-    from quire.operators import metadata
-
-    return metadata.fields(_headed(spark, d)).select("page_number", "region_id", "field", "category", "inline", "value", "members")
-
-
 # Snapshots and invariants
 
 

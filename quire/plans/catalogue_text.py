@@ -31,6 +31,9 @@ PLACED = (
     ("src_order = 5 AND page_number % 7 = 0", "Conclusions"),
     ("src_order = 6 AND page_number % 7 = 0", "References"),
     ("src_order = 8 AND page_number % 5 = 0", "e-mail a@b.org, University of Lines"),
+    ("src_order = 10 AND page_number % 2 = 0", "ARTICLE INFO"),
+    ("src_order = 11 AND page_number % 2 = 0", "Article history"),
+    ("src_order = 14 AND page_number % 3 = 0", "DOI: 10.1/x"),
 )
 _CASE = "CASE " + " ".join(f"WHEN {c} THEN '{t}'" for c, t in PLACED) + " ELSE text END"
 FURNISHED = f"fu AS (SELECT * REPLACE ({_CASE} AS text) FROM dl)"
@@ -124,7 +127,9 @@ def publisher_terms(spark, d):
 
 _REF = r"(?i)^((?:(?:supplementary|supplemental|extended\s+data)\s+)?(fig(?:ure)?\.?|table|tab\.?|equation|eq\.?|algorithm|listing)\s*((?:[A-Z]\s*[.\-]?\s*)?\d+(?:\s*[.\-]\s*\d+)?|[IVXLCDM]+|[A-Z]))(?:\s*[:.\-])?(\s|$)"
 _OCR = r"(?i)^((?:supplementary\s+|supplemental\s+)?(ta\s*b\s*[1il]\s*e)\s*((?:[A-Z]\s*)?\d+|[IVXLCDM]+))(?:\s*[:.\-])?(\s|$)"
-_MENTION = r"\b((?:(?:supplementary|supplemental)\s+)?(?:table|tab\.?)\s*((?:[A-Z]\s*[.\-]?\s*)?\d+(?:\s*[.\-]\s*\d+)?|[IVXLCDM]+|[A-Z]))\b"
+#: Words end at any letter's end; RE2's \b knows ASCII letters only.
+_CORE = r"((?:(?:supplementary|supplemental)\s+)?(?:table|tab\.?)\s*((?:[A-Z]\s*[.\-]?\s*)?\d+(?:\s*[.\-]\s*\d+)?|[IVXLCDM]+|[A-Z]))(?:[^\p{L}\p{N}_]|$)"
+_MENTION = r"(?:^|[^\p{L}\p{N}_])" + _CORE
 _CLEAN = r"""cl AS (SELECT region_id, type, trim(regexp_replace(translate(text, ' –—', ' --'), '[\s\p{Z}]+', ' ', 'g')) AS t FROM fu), c2 AS (SELECT *, regexp_replace(t, '^[\s•▪●|_]+', '') AS c FROM cl),
 c3 AS (SELECT *, regexp_extract(c, '""" + _REF + r"""', 2) AS raw FROM c2),
 c4 AS (SELECT *, CASE WHEN raw <> '' THEN regexp_extract(c, '""" + _REF + r"""', 0) END AS hit, CASE WHEN raw <> '' THEN regexp_extract(c, '""" + _REF + r"""', 4) END AS tail, length(t) - length(c) AS off FROM c3),
@@ -137,7 +142,7 @@ c5 AS (SELECT *, regexp_replace(substr(c, length(hit) + 1), '^[ .:\-]+', '') AS
         select=r"""SELECT region_id, CASE rtrim(lower(raw), '.') WHEN 'fig' THEN 'figure' WHEN 'tab' THEN 'table' WHEN 'eq' THEN 'equation' ELSE rtrim(lower(raw), '.') END AS kind, number, off::INT AS start, (off + length(hit) - length(tail))::INT AS stop,
   CASE WHEN off = 0 THEN 'leading' ELSE 'near_leading' END AS position, round(CASE WHEN off = 0 THEN 1.0::DOUBLE ELSE 0.94::DOUBLE END - CASE WHEN regexp_matches(number, '^[a-z]$') THEN 0.35::DOUBLE ELSE 0.0::DOUBLE END
   - CASE WHEN regexp_matches(suffix, '(?i)^(?:see\s+table\b|means?\s+(?:within|followed)\b|values?\s+in\s+parentheses\b|notes?\s*:|sources?\s*:)') THEN 0.75::DOUBLE ELSE 0.0::DOUBLE END
-  - CASE WHEN regexp_matches(suffix, '(?i)^.{0,8}?""" + _MENTION + r"""') THEN 0.55::DOUBLE ELSE 0.0::DOUBLE END, 6) AS score FROM c5 WHERE raw <> ''""",
+  - CASE WHEN regexp_matches(suffix, '(?i)^(?:.{0,7}?[^\p{L}\p{N}_])?""" + _CORE + r"""') THEN 0.55::DOUBLE ELSE 0.0::DOUBLE END, 6) AS score FROM c5 WHERE raw <> ''""",
     )
 )
 def caption_reference_parse(spark, d):
@@ -218,3 +223,11 @@ def document_ids(spark, d):
 
     t = A.table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     return t.select("doc_id", runs.document_id(F.substring("text", 1, 60), F.sha2(F.col("text").cast("binary"), 256)).alias("document_id"))
+
+
+@query()
+def metadata_fields(spark, d):
+    """Every text counts as a first page; the scan has no SQL form and is compared in the tests."""
+    from quire.operators import metadata
+
+    return metadata.fields(furnished(spark, d)).select("page_number", "region_id", "field", "category", "inline", "value", "members")
