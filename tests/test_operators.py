@@ -11,7 +11,7 @@ from quire.functions import images
 from quire.functions import text as T
 from quire.functions.geometry import Box, angle_distance, direction, normal_angle, parallel, points_to_pixels, reliable_conflict
 from quire.operators import caption_groups, captions, conflicts, filters, hierarchy, metadata, order, pairs, resolve, tables, trace
-from quire.plans import pipeline
+from quire.plans import pipeline, views
 from quire.plans.config import DEFAULT
 from quire.sources import adapters, runs, sinks
 from quire.streaming import events
@@ -339,6 +339,9 @@ def test_pipeline_keeps_its_invariants(spark):
     assert out.tables.first()["notes"] == [7]
     assert out.trace.count() == 5 and out.status == "complete"
     names = [e["stage"] for e in seen]
+    assert views.invariants(out, r).first()["holds"] and views.nested(out).count() == 1 and views.formula_candidates(out).isEmpty()
+    assert views.page_records(out).first()["counts"]["Table"] == 1 and views.exclusions(out, "page1_upper_before_title").count() == 1
+    assert [(x["region_id"], x["ordinal"]) for x in views.table_associations(out).collect()] == [(7, 1)] and views.semantic_captions(out).isEmpty()
     assert names.index("filters") < names.index("overlaps") < names.index("hierarchy") < names.index("tables") < names.index("caption_groups")
 
 
