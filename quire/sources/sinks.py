@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import functools
 import json
 import re
@@ -35,13 +36,25 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{at}/quire"
 
 
+_written: list[tuple[SparkSession, str]] = []
+
+
 def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage of loops, and outlives a lost executor."""
+    """df as a Parquet table in the shared folder: cuts the lineage of loops, and outlives a lost executor. Goes with the driver."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append((df.sparkSession, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@atexit.register
+def _sweep() -> None:
+    for spark, path in _written:
+        if spark.sparkContext._jsc is not None:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def files(spark: SparkSession, path: str, suffix: str | None = None) -> DataFrame:
     """Inventory of a folder: path, bytes and SHA-256 of each file, read by Spark."""
     r = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
