@@ -525,3 +525,14 @@ def test_stages_use_what_earlier_ones_found(spark, monkeypatch):
     assert len(calls) == 1 and {x["caption_id"]: x["parent_id"] for x in out.captions.collect()} == {4: 3}
     assert sum("page1_upper_before_title" in plan for _, plan in frames) == 1
     assert views.invariants(out, r).first().asDict() == {"doc_id": "d", "inputs": 4, "lost": 0, "invented": 0, "repeated": 0, "holds": True}
+
+
+def test_members_of_captions_are_told_from_the_regions_around_tables(spark):
+    from quire.plans import catalogue_tables
+
+    data = "/root/testdata/sf0.001"
+    near, grouped = catalogue_tables._groups(spark, data)
+    tabled = adapters.lineitem_regions(spark, data).where("type = 'Table'").select("page_number").distinct().count()
+    assert 0 < near.select("page_number").distinct().count() < tabled
+    told = {x["region_id"] for x in caption_groups.annotated(near, grouped).where("parent_table_id IS NOT NULL").collect()}
+    assert told == {i for x in grouped.collect() for i in x["ordered"]}
