@@ -12,7 +12,9 @@ from __future__ import annotations
 import codecs
 import functools
 import hashlib
+import itertools
 import json
+import re
 from collections.abc import Iterable, Iterator
 
 import ahocorasick
@@ -20,7 +22,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm.common import tidy
+from quire.llm.common import chunks, tidy
+from quire.llm.lockstep import Lockstep
 
 # Fixed value: the pieces within which byte-level BPE merges.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -29,6 +32,23 @@ _RUNS = [regex.compile(p) for p in (r"\p{L}+", r"\p{N}+", r"[^\p{White_Space}\p{
 _SPACES = regex.compile(r"\p{White_Space}+")
 
 
+@functools.cache
+def _near_pieces() -> re.Pattern:
+    """PIECES for texts of characters up to U+FFFF, with each class spelled out: what `re` looks up in a table."""
+    every = "".join(map(chr, itertools.chain(range(0xD800), range(0xE000, 0x10000))))
+    pattern = PIECES.replace(r"\P{White_Space}", r"[^\p{White_Space}]")
+    for name in (r"\p{White_Space}", r"\p{L}", r"\p{N}"):
+        found = [m[0] for part in (every[:0xD800], every[0xD800:]) for m in regex.finditer(f"{name}+", part)]
+        ranges = "".join(f"\\u{ord(x[0]):04x}-\\u{ord(x[-1]):04x}" for x in found)
+        pattern = re.sub(rf"\[\^[^]]*\]|{re.escape(name)}", lambda m: m[0].replace(name, ranges) if m[0][0] == "[" else f"[{ranges}]", pattern)
+    return re.compile(pattern)
+
+
+def pieces_of(text: str) -> list[str]:
+    near = len(text.encode("utf-16-le", "surrogatepass")) == 2 * len(text)
+    return (_near_pieces() if near else _PIECES).findall(text)
+
+
 def byte_alphabet() -> dict[str, int]:
     """The characters that stand for bytes in a byte-level vocabulary: printable Latin-1 as itself, the rest from U+0100 on."""
     itself = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
@@ -50,6 +70,7 @@ class Merges:
         self.made = {a + b: (r, a, b) for (a, b), r in reversed(self.rank.items())}
         self.bytes_of = {i: b for b, i in self.id_of.items()} | {i: s.encode() for s, i in self.special.items()}
         self.text_of = {i: str(i) for i in self.bytes_of}
+        self.size_of = {i: len(b) for i, b in self.bytes_of.items()}
         #: Bytes that decide a boundary: no merge makes a longer token.
         self.lookahead = max(map(len, self.id_of))
         # The tokens that are ever emitted: their own bytes merge to them.
@@ -60,6 +81,14 @@ class Merges:
         self.automaton.make_automaton()
         #: By both tokens in one number, the second in the low bits.
         self._fits: dict[int, bool] = {}
+        #: By token: rank of the merge that makes it, or -1, and its left and right parts. By both tokens of a pair in one number: its rank.
+        parts = {self.id_of[x]: (r, self.id_of[a], self.id_of[b]) for x, (r, a, b) in self.made.items()}
+        self.rank_of, self.left_of, self.right_of = zip(*(parts.get(i, (-1, -1, -1)) for i in range(max(self.bytes_of) + 1)))
+        self.pair = {self.id_of[a] << 32 | self.id_of[b]: r for (a, b), r in self.rank.items()}
+
+    @functools.cached_property
+    def lockstep(self) -> Lockstep:
+        return Lockstep(self.whole, self.pair, self.rank_of, self.left_of, self.right_of)
 
     def merge(self, data: bytes) -> list[bytes]:
         """The merges applied by rank, leftmost first: what defines an encoding. For short inputs."""
@@ -77,26 +106,26 @@ class Merges:
         if got is None:
             if len(self._fits) > 200_000:
                 self._fits.clear()
-            got = self._fits[a << 32 | b] = self._apart(self.bytes_of[a], self.bytes_of[b])
+            got = self._fits[a << 32 | b] = self._apart(a, b)
         return got
 
-    def _apart(self, x: bytes, y: bytes) -> bool:
+    def _apart(self, x: int, y: int) -> bool:
         """Whether no merge joins x and y while both are built up, from the last merge at their boundary back to bytes.
 
         before: merges of a lower rank came before x or y was merged into something larger. Equal ranks go left to
         right: a merge across the boundary comes before that of y's right side, and after that of x's left side.
         """
-        made, rank, before = self.made, self.rank, float("inf")
+        pair, rank_of, before = self.pair.get, self.rank_of, float("inf")
         while True:
-            if rank.get((x, y), before) < before:
+            if pair(x << 32 | y, before) < before:
                 return False
-            r, q = made.get(x), made.get(y)
-            if r is None and q is None:
-                return True
-            if q is None or r is not None and r[0] > q[0]:
-                before, x = r[0], r[2]
+            r, q = rank_of[x], rank_of[y]
+            if r > q:
+                before, x = r, self.right_of[x]
+            elif q >= 0:
+                before, y = q + 0.5, self.left_of[y]
             else:
-                before, y = q[0] + 0.5, q[1]
+                return True
 
 
 class Transducer:
@@ -148,11 +177,11 @@ class Transducer:
             raise ValueError("the merge list has no encoding for this input")
 
     def _path(self, end: int) -> list[int]:
-        out, last, bytes_of = [], self.last, self.m.bytes_of
+        out, last, size_of = [], self.last, self.m.size_of
         while end:
             t = last[end]
             out.append(t)
-            end -= len(bytes_of[t])
+            end -= size_of[t]
         return out[::-1]
 
     def _emit(self) -> list[int]:
@@ -162,7 +191,7 @@ class Transducer:
         while len(live) > 1:
             top = max(live)
             live.remove(top)
-            live.add(top - len(self.m.bytes_of[self.last[top]]) if top else 0)
+            live.add(top - self.m.size_of[self.last[top]] if top else 0)
         (at,) = live
         if not at:
             return []
@@ -177,19 +206,55 @@ class Transducer:
         return out
 
 
+class Recent(dict):
+    """Tokens of pieces. Two generations: what the older one gives is recent again."""
+
+    #: Pieces of a generation that are remembered, of up to LONGEST characters.
+    SIZE, LONGEST = 100_000, 64
+
+    def __init__(self, through: Transducer):
+        self.older: dict[str, tuple[int, ...]] = {}
+        self.through = through
+
+    def meet(self, pieces: set[str]) -> None:
+        """Works out in lockstep those that aren't remembered."""
+        self._turn()
+        new, older = [], self.older.get
+        for piece in pieces:
+            if piece not in self:
+                ids = older(piece)
+                if ids is not None:
+                    self[piece] = ids
+                elif len(piece) <= self.LONGEST:
+                    new.append(piece)
+        self.update(zip(new, self.through.m.lockstep([p.encode() for p in new])))
+
+    def _turn(self) -> None:
+        if len(self) >= self.SIZE:
+            self.older = dict(self)
+            self.clear()
+
+    def __missing__(self, piece: str) -> Iterable[int]:
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = (*self.through.feed(piece.encode()), *self.through.finish())
+        if len(piece) <= self.LONGEST:
+            self._turn()
+            self[piece] = ids
+        return ids
+
+
 class Encoder:
     """Text in, in chunks of any size; token ids out as soon as they are stable."""
 
     #: Characters of a piece that is kept before it goes through a transducer as it comes.
     HELD = 1024
-    #: Pieces of a generation that are remembered, of up to 64 characters.
-    CACHE = 100_000
 
     def __init__(self, merges: Merges, special: bool = True):
         self.m, self.carry, self.open, self.run = merges, "", None, None
-        self.whole = Transducer(merges)
-        self.cache: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.recent = Recent(Transducer(merges))
+        #: Pieces of what prepare() was given, until it comes.
+        self.split: dict[str, list[str]] = {}
         self.special = dict(merges.special) if special else {}
         self._split = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self._keep = max(map(len, self.special), default=1) - 1
@@ -219,14 +284,11 @@ class Encoder:
         out: list[int] = []
         if self.open is not None:
             buf = self._go_on(buf, last, out)
-        pieces, end = _PIECES.findall(buf), len(buf)
+        pieces, end = self.split.pop(buf, None) or pieces_of(buf), len(buf)
         if not last:  # a contraction may take two more letters, and the last piece any
             while pieces and end > len(buf) - 3:
                 end -= len(pieces.pop())
-        found = self.cache
-        for piece in pieces:
-            ids = found.get(piece)
-            out += self._look_up(piece) if ids is None else ids
+        out += itertools.chain.from_iterable(map(self.recent.__getitem__, pieces))
         rest = buf[end:]
         if not last and len(rest) > self.HELD:
             # One piece, but for the last few characters: it goes through a transducer from here on.
@@ -239,21 +301,6 @@ class Encoder:
         self.carry = rest
         return out
 
-    def _look_up(self, piece: str) -> Iterable[int]:
-        """A piece that isn't among the recent ones. Two generations: what the older one gives is recent again."""
-        if len(piece) > 64:  # not remembered
-            return self.whole.feed(piece.encode()) + self.whole.finish()
-        if len(self.cache) >= self.CACHE:
-            self.older = dict(self.cache)
-            self.cache.clear()
-        ids = self.older.get(piece)
-        if ids is None:
-            data = piece.encode()
-            t = self.m.whole.get(data)
-            ids = (t,) if t is not None else (*self.whole.feed(data), *self.whole.finish())
-        self.cache[piece] = ids
-        return ids
-
     def _go_on(self, buf: str, last: bool, out: list[int]) -> str:
         """Feeds the open piece; what is left of buf is no part of it, or may not be."""
         x = self.run.match(buf)
@@ -270,6 +317,11 @@ class Encoder:
             self.open = None
         return buf[end:]
 
+    def prepare(self, texts: Iterable[str]) -> None:
+        """Meets the pieces of texts that are about to come; of long ones, of their first STEP characters."""
+        self.split = {text[:STEP]: pieces_of(text[:STEP]) for text in texts}
+        self.recent.meet(set(itertools.chain.from_iterable(self.split.values())))
+
     def finish(self) -> list[int]:
         return self.feed("", True)
 
@@ -293,8 +345,8 @@ def _encoder(data: str) -> Encoder:
     return Encoder(Merges(data))
 
 
-#: Characters of a text that are encoded at a time.
-STEP = 1 << 16
+#: Characters of a text that are encoded at a time, and bytes of texts whose pieces are worked out together.
+STEP, TOGETHER = 1 << 16, 1 << 19
 
 
 def round_trip(encoder: Encoder, text: str) -> tuple[int, str, str]:
@@ -318,7 +370,11 @@ _ARROW = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha2
 def _map(batches: Iterator[pa.RecordBatch], data: str) -> Iterator[pa.RecordBatch]:
     encoder = _encoder(data)
     for b in batches:
-        rows = [(doc, *round_trip(encoder, text.as_py() or "")) for doc, text in zip(b["doc_id"].to_pylist(), b["text"], strict=True)]
+        rows = []
+        for start, stop in chunks(b["text"], TOGETHER):
+            part = b.slice(start, stop - start)
+            encoder.prepare(text.as_py() or "" for text in part["text"])
+            rows += [(doc, *round_trip(encoder, text.as_py() or "")) for doc, text in zip(part["doc_id"].to_pylist(), part["text"], strict=True)]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), _ARROW.types)], schema=_ARROW)
 
@@ -339,7 +395,11 @@ def tokenize(docs: DataFrame, vocabulary: str) -> DataFrame:
 def _ids(batches: Iterator[pa.RecordBatch], data: str) -> Iterator[pa.RecordBatch]:
     encoder = _encoder(data)
     for b in batches:
-        ids = [encoder.encode(text.as_py() or "") for text in b["text"]]
+        ids = []
+        for start, stop in chunks(b["text"], TOGETHER):
+            part = b["text"].slice(start, stop - start).to_pylist()
+            encoder.prepare(text or "" for text in part)
+            ids += [encoder.encode(text or "") for text in part]
         yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
 

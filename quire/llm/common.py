@@ -190,12 +190,12 @@ def by_bitmap(batches: Iterator[pa.RecordBatch], column: str, data: bytes, throu
 CHUNK_BYTES = 3 << 19
 
 
-def chunks(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """Slices of a batch of texts with about CHUNK_BYTES each."""
+def chunks(texts: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
+    """Slices of a batch of texts with about `most` bytes each."""
     start = held = 0
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
     for i, size in enumerate(sizes):
-        if held and held + size > CHUNK_BYTES:
+        if held and held + size > most:
             yield start, i
             start, held = i, 0
         held += size

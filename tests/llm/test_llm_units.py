@@ -163,6 +163,33 @@ def test_bpe_streams_long_pieces_in_little_memory():
         assert most < 2100
 
 
+def test_bpe_works_out_short_pieces_together(monkeypatch):
+    rng, library, encoder = random.Random(4), Tokenizer.from_file(VOCABULARY), bpe.Encoder(bpe._encoder(open(VOCABULARY).read()).m)
+    monkeypatch.setattr(bpe.Recent, "SIZE", 300)
+    parts = ["tion", "ou", "the", "x", "é", "ß", "中", "😀", "́", "'s", "'", "  ", "\n", "_", "7", "½", "--", "\x00", "\x85", "\u3000", "<|endoftext|>"]
+    texts = ["".join(rng.choice(parts) + " " * (rng.random() < 0.2) for _ in range(rng.randint(0, 40))) for _ in range(900)]
+    texts[5:8] = [texts[4], "", "\n" * 64]
+    texts = [t for t in texts if all(len(p) <= 64 for p in bpe.pieces_of(t))]
+    for at in range(0, len(texts), 100):
+        some = texts[at : at + 100]
+        encoder.prepare(some)
+        with monkeypatch.context() as m:
+            m.setattr(bpe.Transducer, "feed", None)  # no piece goes alone
+            got = [encoder.encode(t) for t in some if "<|" not in t]
+        assert got == [library.encode(t, add_special_tokens=False).ids for t in some if "<|" not in t]
+        assert [encoder.encode(t) for t in some] == [library.encode(t, add_special_tokens=False).ids for t in some]
+    m = encoder.m
+    ids = [rng.choice(list(m.whole.values())) for _ in range(6000)]
+    assert m.lockstep.fits(np.array(ids[::2]), np.array(ids[1::2])).tolist() == [m.fits(a, b) for a, b in zip(ids[::2], ids[1::2])]
+    assert [b"".join(map(m.bytes_of.get, x)) for x in m.lockstep([b"\xff\x00", b"a" * 300])] == [b"\xff\x00", b"a" * 300] and m.lockstep([]) == []
+
+
+def test_pieces_are_the_same_with_classes_spelled_out():
+    every = [chr(c) for c in [*range(0xD800), *range(0xE000, 0x10000)]]
+    for t in ("".join(f"a{c}1{c}{c} {c}'{c}!" for c in every), "a  b\n\n c's 're x'll'd \t", "😀 a" + "".join(every)):
+        assert bpe.pieces_of(t) == bpe._PIECES.findall(t) and "".join(bpe.pieces_of(t)) == t
+
+
 def test_decoder_replaces_bad_bytes():
     m = bpe._encoder(open(VOCABULARY).read()).m
     d = bpe.Decoder(m)
